@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard_join
+from . import jaccard_join, suffix_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,9 +20,15 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
     return jaccard_join.ngram_jaccard_join(table(spark, sf, "documents"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """What is left of each document when repeated strings of 400 bytes go."""
+    return suffix_dedup.repeat_report(table(spark, sf, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+        "op5_suffix_dedup": op5_suffix_dedup,
     }
 
 
