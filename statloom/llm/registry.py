@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard_join, suffix_dedup
+from . import jaccard_join, packing, suffix_dedup, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +20,11 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
     return jaccard_join.ngram_jaccard_join(table(spark, sf, "documents"))
 
 
+def op2_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as token pieces, packed into sequences of 4096 tokens."""
+    return packing.best_fit_pack(table(spark, sf, "documents"), tokens.vocabulary("word_bpe_49k.json"))
+
+
 def op5_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
     """What is left of each document when repeated strings of 400 bytes go."""
     return suffix_dedup.repeat_report(table(spark, sf, "documents"))
@@ -28,6 +33,7 @@ def op5_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+        "op2_best_fit_packing": op2_best_fit_packing,
         "op5_suffix_dedup": op5_suffix_dedup,
     }
 
