@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard_join, packing, suffix_dedup, tokens
+from . import jaccard_join, packing, quality_rules, suffix_dedup, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,11 +30,17 @@ def op5_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return suffix_dedup.repeat_report(table(spark, sf, "documents"))
 
 
+def op7_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """Base counts of each document and whether the rules and the classifier keep it."""
+    return quality_rules.quality_report(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
         "op2_best_fit_packing": op2_best_fit_packing,
         "op5_suffix_dedup": op5_suffix_dedup,
+        "op7_quality_rules": op7_quality_rules,
     }
 
 
