@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard_join, packing, quality_rules, suffix_dedup, tokens
+from . import decontaminate, jaccard_join, packing, quality_rules, suffix_dedup, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -35,14 +35,28 @@ def op7_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     return quality_rules.quality_report(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
 
+def op9_benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents and the benchmark items that they hold, with equal or other slot values."""
+    return decontaminate.benchmark_matches(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+def pipeline(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole corpus pipeline."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf)
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
         "op2_best_fit_packing": op2_best_fit_packing,
         "op5_suffix_dedup": op5_suffix_dedup,
         "op7_quality_rules": op7_quality_rules,
+        "op9_benchmark_decontamination": op9_benchmark_decontamination,
+        "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_benchmark_decontamination": decontaminate.SQL}
