@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, packing, quality_rules, suffix_dedup, tokens
+from . import chat_format, decontaminate, jaccard_join, license_scan, packing, quality_rules, suffix_dedup, tokens, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -40,6 +41,51 @@ def op9_benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return decontaminate.benchmark_matches(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
 
+#: Rules of the URL filter: verdict, host, path prefix.
+URL_RULES = [
+    ("allow", "org", "/"),
+    ("block", "example.org", "/es/"),
+    ("block", "example.org", "/en/1"),
+    ("allow", "com", "/fr/"),
+    ("block", "com", "/de/"),
+]
+#: Host labels of sites that are listed as unwanted.
+LISTED_LABELS = ("ads-track", "spam-farm", "casino-win", "adult-x", "cheap-pills", "free-bets")
+
+
+def op10_url_filters(spark: SparkSession, sf: str) -> DataFrame:
+    """The verdict of each page's url: a rule's, or the cascade's over listed hosts."""
+    pages = table(spark, sf, "pages")
+    hosts = pages.select(url_filter.host("url").alias("host")).distinct()
+    listed = hosts.where(F.arrays_overlap(F.split("host", r"\."), F.array(*map(F.lit, LISTED_LABELS))))
+    return url_filter.url_verdicts(pages, URL_RULES, listed)
+
+
+def _url_sql() -> str:
+    rest = "CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END"
+    rules = sorted(URL_RULES, key=lambda r: -len(r[1] + r[2]))
+    fits = [f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')" for _, h, p in rules]
+    rule = " ".join(f"WHEN {f} THEN '{h + p}'" for f, (_, h, p) in zip(fits, rules, strict=True))
+    said = " ".join(f"WHEN {f} THEN '{v}'" for f, (v, _, _) in zip(fits, rules, strict=True))
+    labels = ", ".join(f"'{x}'" for x in LISTED_LABELS)
+    return f"""WITH r AS (SELECT page_id, coalesce({rest}, '') AS rest FROM pages),
+    u AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+      regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r)
+    SELECT page_id, host, path, CASE {rule} END AS rule,
+      CASE {said} WHEN list_has_any(string_split(host, '.'), [{labels}]) THEN 'block' ELSE 'allow' END AS verdict FROM u"""
+
+
+def op4_chat_formatting(spark: SparkSession, sf: str) -> DataFrame:
+    """Neighbouring conversations as chosen and rejected: shared prompt, masked completions."""
+    turns = table(spark, sf, "conversations")
+    return chat_format.segments(turns, chat_format.neighbour_pairs(turns))
+
+
+def op8_license_scans(spark: SparkSession, sf: str) -> DataFrame:
+    """The licence that each document is, and the licence notices among its lines."""
+    return license_scan.scan(table(spark, sf, "documents"), license_scan.known_licenses(spark))
+
+
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     """The whole corpus pipeline."""
     import corpus_pipeline
@@ -51,12 +97,20 @@ def queries() -> dict[str, Query]:
     return {
         "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
         "op2_best_fit_packing": op2_best_fit_packing,
+        "op4_chat_formatting": op4_chat_formatting,
         "op5_suffix_dedup": op5_suffix_dedup,
         "op7_quality_rules": op7_quality_rules,
+        "op8_license_scans": op8_license_scans,
         "op9_benchmark_decontamination": op9_benchmark_decontamination,
+        "op10_url_filters": op10_url_filters,
         "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_benchmark_decontamination": decontaminate.SQL}
+    return {
+        "op4_chat_formatting": chat_format.SQL,
+        "op8_license_scans": license_scan.SQL,
+        "op9_benchmark_decontamination": decontaminate.SQL,
+        "op10_url_filters": _url_sql(),
+    }
