@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, jaccard_join, license_scan, packing, quality_rules, suffix_dedup, tokens, url_filter
+from . import chat_format, decontaminate, importance, jaccard_join, language_id, license_scan, packing, quality_rules, suffix_dedup, tokens, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,6 +26,17 @@ def op2_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.best_fit_pack(table(spark, sf, "documents"), tokens.vocabulary("word_bpe_49k.json"))
 
 
+def op3_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    """The language of each document, learned from four of five folds."""
+    return language_id.language_report(table(spark, sf, "documents"))
+
+
+def op6_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
+    """Log importance weights towards good documents, and a sample of three quarters of all rows."""
+    good = table(spark, sf, "labels").where("quality = 1").select("doc_id")
+    return importance.importance_sample(table(spark, sf, "documents"), good, fraction=0.75)
+
+
 def op5_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
     """What is left of each document when repeated strings of 400 bytes go."""
     return suffix_dedup.repeat_report(table(spark, sf, "documents"))
@@ -97,8 +108,10 @@ def queries() -> dict[str, Query]:
     return {
         "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
         "op2_best_fit_packing": op2_best_fit_packing,
+        "op3_language_id": op3_language_id,
         "op4_chat_formatting": op4_chat_formatting,
         "op5_suffix_dedup": op5_suffix_dedup,
+        "op6_quality_classifier": op6_quality_classifier,
         "op7_quality_rules": op7_quality_rules,
         "op8_license_scans": op8_license_scans,
         "op9_benchmark_decontamination": op9_benchmark_decontamination,
