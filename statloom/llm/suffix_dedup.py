@@ -8,16 +8,17 @@ anywhere else too, in the same text or another one.  The plan:
     repeat is seen at its anchors, about one for every 170 bytes of text.
 2.  Copies.  Whole copies are one class; a text that occurs twice goes whole,
     and only one of a class takes part in the rest.
-3.  Anchors found once are dropped.  The others fetch their context: 336 bytes
-    to the left and 400 to the right.
+3.  Anchors found once are dropped.  The context of the others has 336 bytes to
+    the left and 400 to the right.  Equal contexts, known by hash, are repeats
+    from end to end; only one of each goes on, and none if there is no other.
 4.  Interval tree.  The contexts of one anchor string are the suffixes of a
     sparse suffix array: they are sorted by right context, and a stack scan of
     the common-prefix lengths of neighbours yields the intervals.  In each
     interval the left contexts are sorted and scanned likewise: an interval
-    whose left extensions differ is a maximal repeat, output with *all* its
-    occurrences.  A repeat of ``l`` bytes to the left and ``r`` to the right
-    with ``l + r >= 400`` covers its occurrences.
-5.  Anchor strings with more than ``GROUP_LIMIT`` occurrences are too many for
+    whose left extensions differ is a maximal repeat with *all* its occurrences
+    (``maximal_repeats``).  A repeat of ``l`` bytes to the left and ``r`` to the
+    right with ``l + r >= 400`` covers its occurrences.
+5.  Anchor strings with more than ``GROUP_LIMIT`` contexts are too many for
     one task.  Their windows are hashed and counted instead, with partial
     aggregation, and joined back: exact as well, and spread over all tasks.
 6.  The covered ranges of a text are merged and cut out.
@@ -42,7 +43,7 @@ from ._stage import written
 
 #: Bytes of an anchor string.
 GRAM = 64
-#: Occurrences of one anchor string that one task handles (16 MB of context).
+#: Different contexts of one anchor string that one task handles (16 MB).
 GROUP_LIMIT = 20_000
 #: Digests of texts with shared anchors are broadcast up to this many rows (20 MB).
 BROADCAST_ROWS = 400_000
@@ -77,18 +78,34 @@ def anchors(data: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray,
     return pos, h[pos]
 
 
+_ANCHOR = "k binary, h array<long>, c array<long>, pos array<int>, lo array<int>, hi array<int>, s array<int>, e array<int>"
+
+
 def _anchor_rows(length: int):
+    """Each text's anchors with a hash of their context, and ranges that repeat within the text."""
+
+    def lists(ends: np.ndarray, *values: np.ndarray) -> list[pa.Array]:
+        return [pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(v)) for v in values]
+
     def run(batches):
         for batch in batches:
             key = batch.column("k")
             data, off = T.string_buffers(batch.column("text"))
-            for i, j in T.slices(off, T.CHUNK_BYTES):
+            for i, j in T.slices(off):
                 o = off[i : j + 1] - off[i]
-                pos, h = anchors(data[off[i] : off[j]], o, length)
-                ends = np.searchsorted(pos, o)
-                place = pos - np.repeat(o[:-1], np.diff(ends))
-                lists = [pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(x)) for x in (h.view(np.int64), place.astype(np.int32))]
-                yield pa.RecordBatch.from_arrays([key.slice(i, j - i), *lists], ["k", "h", "pos"])
+                part = data[off[i] : off[j]]
+                pos, h = anchors(part, o, length)
+                text = np.searchsorted(o, pos, side="right") - 1
+                lo = np.minimum(pos - o[text], length - GRAM)
+                hi = np.minimum(o[text + 1] - pos, length)
+                c = T.mix(T.span_hash(T.prefix_hash(part), pos - lo, pos + hi) + (lo * 1024 + hi).astype(np.uint64))
+                _, first, inverse, count = np.unique(T.mix(c ^ h) + text.astype(np.uint64) * T._BASE, return_index=True, return_inverse=True, return_counts=True)
+                twice = np.flatnonzero((count[inverse] > 1) & (lo + hi >= length))
+                one = np.sort(first)
+                place = pos - o[text]
+                kept = lists(np.searchsorted(text[one], np.arange(j - i + 1)), h[one].view(np.int64), c[one].view(np.int64), *(x[one].astype(np.int32) for x in (place, lo, hi)))
+                own = lists(np.searchsorted(text[twice], np.arange(j - i + 1)), (place - lo)[twice].astype(np.int32), (place + hi)[twice].astype(np.int32))
+                yield pa.RecordBatch.from_arrays([key.slice(i, j - i), *kept, *own], ["k", "h", "c", "pos", "lo", "hi", "s", "e"])
 
     return run
 
@@ -141,49 +158,93 @@ def _common(a: bytes, b: bytes) -> int:
     return lo
 
 
-def _intervals(values: list[bytes], members: list[int], floor: int):
-    """Stack scan: (common prefix, members) of every interval of the sorted values.
+def _sorted_with_prefixes(values: list[bytes]) -> tuple[list[int], np.ndarray]:
+    """The sorted order of values, and the common prefix of each with the one before (first: 0)."""
+    order = sorted(range(len(values)), key=values.__getitem__)
+    return order, np.array([0, *(_common(values[a], values[b]) for a, b in zip(order, order[1:], strict=False))])
 
-    ``members`` index ``values``.  Intervals come inner before outer; only those
-    whose common prefix has ``floor`` bytes at least.
-    """
-    order = sorted(members, key=values.__getitem__)
+
+def _intervals(prefixes: np.ndarray, floor: int):
+    """Stack scan of common prefixes: (prefix, first, end) of every interval, inner before outer."""
     stack: list[tuple[int, int]] = []  # (common prefix, first row)
-    for i in range(1, len(order) + 1):
-        c = _common(values[order[i - 1]], values[order[i]]) if i < len(order) else -1
+    for i, c in enumerate([*prefixes[1:].tolist(), -1], 1):
         first = i - 1
         while stack and stack[-1][0] > c:
             depth, first = stack.pop()
             if depth >= floor:
-                yield depth, order[first:i]
+                yield depth, first, i
         if c >= 0 and (not stack or stack[-1][0] < c):
             stack.append((c, first))
 
 
+class _LeftOrder:
+    """The left contexts in order, with range minima of their common prefixes."""
+
+    def __init__(self, lefts: list[bytes]):
+        order, prefixes = _sorted_with_prefixes(lefts)
+        self.rank = np.empty(len(lefts), np.int64)
+        self.rank[order] = np.arange(len(lefts))
+        self.order = np.array(order)
+        self.table = [prefixes]
+        step = 1
+        while 2 * step <= len(prefixes):
+            last = self.table[-1]
+            self.table.append(np.minimum(last[:-step], last[step:]))
+            step *= 2
+
+    def prefixes(self, ranks: np.ndarray) -> np.ndarray:
+        """The common prefix of each of some sorted ranks with the one before (first: 0)."""
+        out = np.zeros(len(ranks), np.int64)
+        a, n = ranks[:-1] + 1, np.diff(ranks)
+        level = np.log2(n).astype(np.int64)
+        for k in np.unique(level):
+            at = np.flatnonzero(level == k)
+            t = self.table[k]
+            out[at + 1] = np.minimum(t[a[at]], t[a[at] + n[at] - (1 << k)])
+        return out
+
+
+def interval_tree(lefts: list[bytes], rights: list[bytes], length: int):
+    """(r, members, l) of each interval of the suffixes ``rights`` that has a repeat of ``length`` bytes.
+
+    The members share ``r`` bytes to the right; they are in the order of their
+    left contexts, and ``l`` has the bytes that each shares with the one before.
+    """
+    order, prefixes = _sorted_with_prefixes(rights)
+    left, order = _LeftOrder(lefts), np.array(order)
+    for r, first, end in _intervals(prefixes, GRAM):
+        ranks = np.sort(left.rank[order[first:end]])
+        shared = left.prefixes(ranks)
+        if shared.max() + r >= length:
+            yield r, left.order[ranks], shared
+
+
 def maximal_repeats(lefts: list[bytes], rights: list[bytes], length: int):
-    """(l, r, members) of each maximal repeat of ``length`` bytes at least through one anchor string."""
-    for r, inside in _intervals(rights, list(range(len(rights))), GRAM):
-        for l, those in _intervals(lefts, inside, max(0, length - r)):
-            if l + r >= length:
-                yield l, r, those
-
-
-def _covered(lefts: list[bytes], rights: list[bytes], length: int) -> list[tuple[int, int, int]]:
-    """(member, l, r): what the maximal repeats cover, less what others of a member hold inside."""
-    best: dict[int, dict[int, int]] = {}
-    for l, r, those in maximal_repeats(lefts, rights, length):
-        for x in those:
-            mine = best.setdefault(x, {})
-            if mine.get(l, 0) < r:
-                mine[l] = r
-    out = []
-    for x, mine in best.items():
-        top = 0
-        for l in sorted(mine, reverse=True):
-            if mine[l] > top:
-                top = mine[l]
-                out.append((x, l, top))
-    return out
+    """(l, r, members) of each maximal repeat of ``length`` bytes at least: all its occurrences."""
+    for r, members, shared in interval_tree(lefts, rights, length):
+        for l, first, end in _intervals(shared, max(0, length - r)):
+            yield l, r, members[first:end].tolist()
+
+
+def covered(lefts: list[bytes], rights: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
+    """How far to the left and right of each anchor its repeats reach; -1 for none.
+
+    All repeats through an anchor hold it, so together they cover one range.
+    """
+    n = len(lefts)
+    to_left, to_right = np.full(n, -1), np.full(n, -1)
+    if n == 2:
+        l, r = _common(*lefts), _common(*rights)
+        if l + r >= length and r >= GRAM:
+            to_left[:], to_right[:] = l, r
+        return to_left, to_right
+    for r, members, shared in interval_tree(lefts, rights, length):
+        l = np.maximum(shared, np.append(shared[1:], 0))
+        far = l + r >= length
+        who, l = members[far], l[far]
+        to_left[who] = np.maximum(to_left[who], l)
+        to_right[who] = np.maximum(to_right[who], r)
+    return to_left, to_right
 
 
 def _tree_rows(length: int):
@@ -198,10 +259,11 @@ def _tree_rows(length: int):
         for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(h)], strict=True):
             if b - a < 2:
                 continue
-            for x, l, r in _covered(lefts[a:b], rights[a:b], length):
+            to_left, to_right = covered(lefts[a:b], rights[a:b], length)
+            for x in np.flatnonzero(to_left >= 0).tolist():
                 ks.append(keys[a + x])
-                ss.append(pos[a + x] - l)
-                es.append(pos[a + x] + r)
+                ss.append(pos[a + x] - int(to_left[x]))
+                es.append(pos[a + x] + int(to_right[x]))
         return pa.RecordBatch.from_arrays([pa.array(ks, pa.binary()), pa.array(ss, pa.int32()), pa.array(es, pa.int32())], ["k", "s", "e"])
 
     def run(batches):
@@ -284,22 +346,33 @@ def repeat_cuts(docs: DataFrame, length: int = 400, group_limit: int = GROUP_LIM
     if length <= GRAM:
         raise ValueError(f"length must be over {GRAM}")
     texts = docs.select(digest("text").alias("k"), "text").where(F.octet_length("text") >= length)
-    found = written(texts.mapInArrow(_anchor_rows(length), "k binary, h array<long>, pos array<int>"), "anchors")
-    one = found.groupBy("k").agg(F.count(F.lit(1)).alias("copies"), F.any_value(F.arrays_zip("h", "pos")).alias("at"))
-    one = written(one, "texts")
+    found = texts.mapInArrow(_anchor_rows(length), _ANCHOR).groupBy("k").agg(
+        F.count(F.lit(1)).alias("copies"), F.any_value(F.arrays_zip("h", "c", "pos", "lo", "hi")).alias("at"), F.any_value(F.arrays_zip("s", "e")).alias("own")
+    )
+    one = written(found, "anchors")
+    # anchor strings that occur with another context, or in another text
     spots = one.select("k", F.inline("at"))
-    shared = spots.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    spots = written(spots.join(shared, "h").groupBy("k").agg(F.collect_list(F.struct("h", "pos", "m")).alias("spots")), "spots")
-    ids = spots.select("k")
-    ids = F.broadcast(ids) if spots.count() <= BROADCAST_ROWS else ids
-    some = written(texts.join(ids, "k", "left_semi").groupBy("k").agg(F.any_value("text").alias("text")), "shared-texts")
-    contexts = some.join(spots, "k").mapInArrow(_context_rows(length), "h long, m long, k binary, pos int, l binary, r binary")
+    shared = spots.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+    spots = written(spots.join(shared, "h"), "spots")
+    same = spots.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k", "pos")).alias("rep"))
+    same = written(same, "contexts")
+    ranges = one.select("k", F.inline("own"))
+    twice = same.where("n > 1").select("h", "c")
+    ranges = ranges.unionByName(spots.join(twice, ["h", "c"]).where(F.col("lo") + F.col("hi") >= length).select("k", (F.col("pos") - F.col("lo")).alias("s"), (F.col("pos") + F.col("hi")).alias("e")))
+    groups = same.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    reps = same.join(groups, "h").select("h", "m", "rep.k", "rep.pos").groupBy("k").agg(F.collect_list(F.struct("h", "pos", "m")).alias("spots"))
+    reps = written(reps, "representatives")
+    ranges = written(ranges, "ranges")
+    ids = written(reps.select("k").unionByName(ranges.select("k")).distinct(), "affected")
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+    some = written(texts.join(ids, "k", "left_semi").groupBy("k").agg(F.any_value("text").alias("text")), "affected-texts")
+    contexts = some.join(reps, "k").mapInArrow(_context_rows(length), "h long, m long, k binary, pos int, l binary, r binary")
     small = contexts.where(F.col("m") <= group_limit).drop("m")
-    ranges = small.repartition("h").sortWithinPartitions("h").mapInArrow(_tree_rows(length), "k binary, s int, e int")
-    if not shared.where(F.col("m") > group_limit).isEmpty():
+    ranges = ranges.unionByName(small.repartition("h").sortWithinPartitions("h").mapInArrow(_tree_rows(length), "k binary, s int, e int"))
+    if not groups.where(F.col("m") > group_limit).isEmpty():
         large = contexts.where(F.col("m") > group_limit).mapInArrow(_window_rows(length), "h long, w long, k binary, s int")
-        twice = large.groupBy("h", "w").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-        ranges = ranges.unionByName(large.join(twice, ["h", "w"]).select("k", "s", (F.col("s") + length).alias("e")))
+        again = large.groupBy("h", "w").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+        ranges = ranges.unionByName(large.join(again, ["h", "w"]).select("k", "s", (F.col("s") + length).alias("e")))
     spans = written(ranges.groupBy("k").agg(F.collect_list(F.struct("s", "e")).alias("spans")), "spans")
     cuts = some.join(spans, "k").mapInArrow(_cut_rows, "k binary, n_removed long, n_spans long, sha string, kept string")
     return one.where("copies > 1").select("k"), cuts
