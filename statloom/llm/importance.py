@@ -30,6 +30,8 @@ from ._stage import written
 
 #: Hashed n-grams that are told apart.
 BUCKETS = 1 << 14
+#: N-grams that the prior of the target's model counts for.
+PRIOR = 1000.0
 #: Ids of target texts are broadcast up to this many rows (8 MB), else joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -74,7 +76,8 @@ def log_ratios(docs: DataFrame) -> np.ndarray:
     raw[at], target[at] = found["raw"].to_numpy(), found["target"].to_numpy()
     if not target.sum():
         return np.zeros(BUCKETS)
-    return np.log((target + 1) / (target.sum() + BUCKETS)) - np.log((raw + 1) / (raw.sum() + BUCKETS))
+    base = (raw + 1) / (raw.sum() + BUCKETS)  # also the prior of the target's model
+    return np.log((target / base + PRIOR) / (target.sum() + PRIOR))
 
 
 def _weight_rows(ratios: np.ndarray):

@@ -268,12 +268,14 @@ def quality_filter(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     model = fit_quality(docs, labels, id_col, text_col, label_col, rows)
     keep = _score_rows(model, threshold)
     names = list(docs.columns)
+    plainly = docs.toDF(*[f"c{i}" for i in range(len(names))])  # names with dots don't reach Arrow functions
+    at = names.index(text_col)
 
     def run(batches):
         for batch in batches:
-            plain = pa.RecordBatch.from_arrays([batch.column(names.index(text_col))], ["text"])
+            plain = pa.RecordBatch.from_arrays([batch.column(at)], ["text"])
             kept = [out.column(out.schema.names.index("kept")) for out in keep([plain])]
             if kept:
                 yield batch.filter(pa.concat_arrays(kept))
 
-    return docs.mapInArrow(run, docs.schema)
+    return plainly.mapInArrow(run, plainly.schema).toDF(*names)
