@@ -230,7 +230,7 @@ def kolmogorov_sf(d, n):
     return np.clip(np.where(x < 0.2, 1.0, total), 0, 1)
 
 
-_FUNCTIONS: dict[str, Callable] = {f.__name__: f for f in (gamma_ln, gamma, log_factorial, factorial, binomial, beta, gamma_p, beta_i, erf, erfc, digamma, normal_cdf, normal_pdf, normal_quantile, t_cdf, t_two_sided, t_quantile, chi2_sf, chi2_quantile, f_sf, normal_two_sided, kolmogorov_sf)}
+_FUNCTIONS: dict[str, Callable] = {f.__name__: f for f in (gamma_ln, gamma, log_factorial, factorial, log_binomial, binomial, beta_ln, beta, gamma_p, beta_i, erf, erfc, digamma, normal_cdf, normal_pdf, normal_quantile, t_cdf, t_two_sided, t_quantile, chi2_sf, chi2_quantile, f_sf, normal_two_sided, kolmogorov_sf)}
 
 
 def column(name: str, *args: Column | str | float) -> Column:

@@ -61,14 +61,29 @@ def with_average_rank(df: DataFrame, value: str, name: str = "rank") -> DataFram
     return df.join(ranks, F.col(value) == F.col("__v"), "left").drop("__v")
 
 
-def running_total(df: DataFrame, index: str, value: str, name: str, block: int = 100_000) -> DataFrame:
-    """Adds the running sum of a value in the order of a dense index, in blocks that tasks share."""
+def running(df: DataFrame, index: str, value: str, name: str, how: str = "sum", backward: bool = False, block: int = 100_000) -> DataFrame:
+    """Adds the running sum, min or max of a value in the order of a dense index.
+
+    Blocks of the index are folded by the tasks that own them; what the blocks
+    before one add is a window over one row per block.
+    """
     from pyspark.sql import Window
 
+    fold = {"sum": F.sum, "min": F.min, "max": F.max}[how]
+    order = (lambda c: F.col(c).desc()) if backward else F.col
     rows = df.withColumn("__b", F.floor(F.col(index) / block))
-    sums = rows.groupBy("__b").agg(F.sum(value).alias("__s"))
-    before = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)  # one row per block
-    base = sums.select("__b", F.coalesce(F.sum("__s").over(before), F.lit(0)).alias("__base"))
-    within = Window.partitionBy("__b").orderBy(index).rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("__own", F.sum(value).over(within)).join(F.broadcast(base), "__b")
-    return rows.withColumn(name, F.col("__base") + F.col("__own")).drop("__b", "__own", "__base")
+    sums = rows.groupBy("__b").agg(fold(value).alias("__s"))
+    before = Window.orderBy(order("__b")).rowsBetween(Window.unboundedPreceding, -1)  # one row per block
+    base = sums.select("__b", fold("__s").over(before).alias("__base"))
+    within = Window.partitionBy("__b").orderBy(order(index)).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("__own", fold(value).over(within)).join(F.broadcast(base), "__b")
+    if how == "sum":
+        both = F.coalesce("__base", F.lit(0)) + F.col("__own")
+    else:
+        both = (F.least if how == "min" else F.greatest)("__base", "__own")
+    return rows.withColumn(name, both).drop("__b", "__own", "__base")
+
+
+def running_total(df: DataFrame, index: str, value: str, name: str, block: int = 100_000) -> DataFrame:
+    """Adds the running sum of a value in the order of a dense index."""
+    return running(df, index, value, name, "sum", block=block)

@@ -13,25 +13,38 @@ _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 
 
-def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    """Register a query under a name, with the SQL that gives the same rows."""
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def register(name: str, sql: str | None = None, rounded: tuple[str, ...] = (), digits: int = 6) -> Callable[[Query], Query]:
+    """Register a query under a name, with the SQL that gives the same rows.
+
+    Both round the columns ``rounded``: sums of doubles depend on their order in the last digits.
+    """
 
     def put(f: Query) -> Query:
         if name in _QUERIES:
             raise ValueError(f"query {name!r} is registered twice")
         _QUERIES[name] = f
+        if rounded:
+            _QUERIES[name] = lambda spark, sf: f(spark, sf).withColumns({c: F.round(c, digits) for c in rounded})
         if sql is not None:
-            _SQL[name] = sql
+            _SQL[name] = sql if not rounded else "SELECT * REPLACE ({}) FROM ({}) AS q".format(", ".join(f"round(CAST({c} AS DOUBLE), {digits}) AS {c}" for c in rounded), sql)
         return f
 
     return put
 
 
 def queries() -> dict[str, Query]:
+    from . import queries as _  # noqa: F401
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import queries as _  # noqa: F401
+
     return dict(_SQL)
 
 
