@@ -7,6 +7,7 @@ p * (p + 1) / 2 numbers, whatever the number of rows.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,12 +26,36 @@ def matrix(row, p: int) -> np.ndarray:
     return out
 
 
-def gram(df: DataFrame, columns: list[str | Column], weight: Column | None = None) -> np.ndarray:
-    """X'WX of the columns over the rows in which none is null."""
+#: Columns up to which the products are expressions of one aggregate; wider matrices are multiplied in blocks.
+WIDE = 24
+
+
+def _block_sums(df: DataFrame, cols: list[Column]) -> np.ndarray:
+    """X'X summed by each task over its batches; p * p numbers a task are added up by position."""
+    p = len(cols)
+
+    def run(batches):
+        total = np.zeros((p, p))
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+            total += x.T @ x
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(p * p)), pa.array(total.ravel())], ["at", "v"])
+
+    narrow = df.select(*[c.alias(f"c{i}") for i, c in enumerate(cols)])
+    sums = narrow.mapInArrow(run, "at long, v double").groupBy("at").agg(F.sum("v").alias("v")).toArrow()
+    out = np.zeros(p * p)
+    out[sums["at"].to_numpy()] = sums["v"].to_numpy()
+    return out.reshape(p, p)
+
+
+def gram(df: DataFrame, columns: list[str | Column], weight: Column | None = None, whole: bool = False) -> np.ndarray:
+    """X'WX of the columns over the rows in which none is null; ``whole``: there are no others."""
     cols = [(F.col(c) if isinstance(c, str) else c).cast("double") for c in columns]
     full = df
-    for c in cols:
+    for c in () if whole else cols:
         full = full.where(c.isNotNull())
+    if len(cols) > WIDE and weight is None:
+        return _block_sums(full, cols)
     return matrix(full.agg(*products(cols, weight)).first(), len(cols))
 
 
@@ -42,4 +67,4 @@ def centred(df: DataFrame, columns: list[str]) -> tuple[int, np.ndarray, np.ndar
     if not n:
         raise ValueError("no complete rows")
     mean = np.array([first[f"m{i}"] for i in range(len(columns))])
-    return n, mean, gram(full, [F.col(c).cast("double") - F.lit(float(m)) for c, m in zip(columns, mean, strict=True)])
+    return n, mean, gram(full, [F.col(c).cast("double") - F.lit(float(m)) for c, m in zip(columns, mean, strict=True)], whole=True)

@@ -15,9 +15,6 @@ def _group_by(spark, sf):
     return frame.group_by(table(spark, sf, "orders"), ["o_orderpriority"], aggs)
 
 
-_KEYED = "SELECT {k} AS key, {c} FROM {t}"
-
-
 @register(
     "frame_join_null_keys",
     """WITH l AS (SELECT CASE WHEN c_nationkey % 5 = 0 THEN NULL ELSE c_nationkey END AS key, count(*) AS n FROM customer GROUP BY 1),
@@ -159,12 +156,12 @@ def _missing(spark, sf):
     return D.missing_summary(_gaps(spark, sf), ["v"], ["event_type"])
 
 
-@register("fill_mean", f"SELECT event_id, coalesce(v, avg(v) OVER (PARTITION BY event_type)) AS v FROM ({_GAPS})", rounded=("v",))
+@register("fill_mean", f"SELECT event_id, coalesce(v, avg(v) OVER (PARTITION BY event_type)) AS v FROM ({_GAPS})", rounded=("v",), digits=9)
 def _fill_mean(spark, sf):
     return D.fill_with(_gaps(spark, sf), "v", "mean", ["event_type"]).select("event_id", "v")
 
 
-@register("fill_median", f"SELECT event_id, coalesce(v, median(v) OVER (PARTITION BY event_type)) AS v FROM ({_GAPS})", rounded=("v",))
+@register("fill_median", f"SELECT event_id, coalesce(v, median(v) OVER (PARTITION BY event_type)) AS v FROM ({_GAPS})", rounded=("v",), digits=9)
 def _fill_median(spark, sf):
     return D.fill_with(_gaps(spark, sf), "v", "median", ["event_type"]).select("event_id", "v")
 
@@ -190,7 +187,7 @@ def _forward(spark, sf):
     a AS (SELECT event_id, i, v, last_value(v IGNORE NULLS) OVER b AS av, last_value(k IGNORE NULLS) OVER b AS ak, first_value(v IGNORE NULLS) OVER f AS bv, first_value(k IGNORE NULLS) OVER f AS bk FROM w
       WINDOW b AS (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING), f AS (PARTITION BY user_id ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
     SELECT event_id, coalesce(v, av + (bv - av) * (i - ak) / (bk - ak), bv, av) AS v FROM a""",
-    rounded=("v",),
+    rounded=("v",), digits=9,
 )
 def _interpolate(spark, sf):
     return D.interpolate(_gaps(spark, sf), "v", "ts", ["user_id"]).select("event_id", "v")

@@ -18,7 +18,6 @@ def _t1(spark, sf):
     return H.one_sample_t(table(spark, sf, "lineitem"), "l_discount", 0.05, ["l_returnflag"]).drop("p_value")
 
 
-_SIDES = "WITH s AS (SELECT {r}(l_quantity) FILTER (l_returnflag = 'A') AS x FROM lineitem)"
 _TWO = """WITH s AS (SELECT count(*) FILTER (l_returnflag = 'A') AS n1, count(*) FILTER (l_returnflag = 'R') AS n2, avg(l_extendedprice) FILTER (l_returnflag = 'A') AS mean1,
 avg(l_extendedprice) FILTER (l_returnflag = 'R') AS mean2, var_samp(l_extendedprice) FILTER (l_returnflag = 'A') AS v1, var_samp(l_extendedprice) FILTER (l_returnflag = 'R') AS v2 FROM lineitem)"""
 
