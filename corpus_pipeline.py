@@ -3,7 +3,8 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame.  Between two
 stages the rows are written as Parquet and read again, so a stage never repeats
 the work of those before it.  All stages but the last keep the columns of
-documents; rows that repeat an id count as one document.
+documents.  A document is a row: ids may be null, repeat or stand for several
+texts.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from statloom.llm import decontaminate, jaccard_join, packing, quality_rules, suffix_dedup, tokens
 from statloom.llm._stage import written
 
-#: Ids of near copies are broadcast up to this many rows (16 MB), else joined by a shuffle.
+#: Keys of near copies are broadcast up to this many rows (some 80 MB), else joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 
 
@@ -24,11 +25,24 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near copies."""
-    found = jaccard_join.ngram_jaccard_join(docs).where("doc_id != component_id")
-    gone = written(found.select(F.col("doc_id").alias("__gone")).distinct(), "near-copies")
-    gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    """Keeps one row of each group of near copies: the smallest id, null last, then the smallest digest.
+
+    Of rows with equal id and text any one stays.  Texts without words have no copies.
+    """
+    rows = jaccard_join.near_copy_groups(docs).groupBy("group", "id", "k").agg(F.count(F.lit(1)).alias("n"))
+    rows = written(rows, "near-copy-rows")
+    key = F.struct(F.col("id").isNull().alias("lost"), "id", "k")
+    best = rows.groupBy("group").agg(F.min(key).alias("best"), F.sum("n").alias("size")).where("size > 1")
+    marked = rows.join(best.hint("shuffle_merge"), "group").select("id", "k", "n", (key == F.col("best")).alias("stays"))
+    marked = written(marked.where("not stays or n > 1"), "near-copies")
+    gone, twice = (marked.where(c).select(F.col("id").alias("__id"), F.col("k").alias("__key")) for c in ("not stays", "stays"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__k") == F.col("__key"))
+    left = docs.withColumn("__k", F.unhex(F.md5(F.col("text").cast("string").cast("binary"))))
+    left = left.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, same, "left_anti")
+    if not twice.isEmpty():
+        twice = F.broadcast(twice) if twice.count() <= BROADCAST_ROWS else twice
+        left = left.join(twice, same, "left_anti").unionByName(left.join(twice, same, "left_semi").dropDuplicates(["doc_id", "__k"]))
+    return left.drop("__k")
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -121,6 +121,20 @@ def _rows(n: int, percent: int, what: str):
     return run
 
 
+def _signed(n: int):
+    """A mapInArrow function: all columns but the text, then the size and the signature of each row's set."""
+
+    def run(batches):
+        for batch in batches:
+            found = np.zeros((batch.num_rows, 3), np.int64)
+            for k, h in _sets(batch, n):
+                found[k] = (len(h), *_signature(h))
+            names = [c for c in batch.schema.names if c != "text"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *(pa.array(found[:, k].copy()) for k in range(3))], [*names, "a", "s1", "s2"])
+
+    return run
+
+
 def _hash_sets(docs: DataFrame, n: int, percent: int, what: str) -> DataFrame:
     schema = "id long, a long, s1 long, s2 long" + ("" if what == "meta" else ", grams array<long>")
     return docs.mapInArrow(_rows(n, percent, what), schema)
@@ -296,3 +310,21 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     out = meta.join(reps.hint("shuffle_merge"), ["a", "s1", "s2"], "left")
     comp_id = F.when(F.col("id").isNull(), F.lit(None)).otherwise(F.coalesce("component", "id"))
     return out.select(F.col("id").alias(id_col), F.col("a").alias("n_shingles"), comp_id.cast("long").alias("component_id"))
+
+
+def near_copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
+    """One row per row of ``docs`` whose text has words: id, k (digest of the text), group.
+
+    A group is a component of the links, whatever the ids: rows without an id
+    take part, and the texts of one id are in one group only if links say so.
+    """
+    one = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    one = one.select(F.coalesce("id", F.xxhash64("text")).alias("id"), F.col("id").isNull().alias("lost"), F.unhex(F.md5(F.col("text").cast("binary"))).alias("k"), "text")
+    _, links = jaccard_links(one.select("id", "text"), n, percent)
+    comp = written(components(links).select(F.col("node.rep").alias("cr"), F.col("node.s").alias("cs"), "component"), "components")
+    meta = written(one.mapInArrow(_signed(n), "id long, lost boolean, k binary, a long, s1 long, s2 long").where("a > 0"), "meta")
+    reps = meta.groupBy("a", "s1", "s2").agg(F.min("id").alias("rep"))
+    node = F.struct("rep", F.col("s1").alias("s"))
+    reps = reps.join(comp, (F.col("rep") == F.col("cr")) & (F.col("s1") == F.col("cs")), "left").select("a", "s1", "s2", F.coalesce("component", node).alias("group"))
+    out = meta.join(reps.hint("shuffle_merge"), ["a", "s1", "s2"])
+    return out.select(F.when(~F.col("lost"), F.col("id")).alias("id"), "k", "group")

@@ -361,3 +361,18 @@ def test_pipeline_stages(spark, sf, tmp_path):
         before, rows = after, new
     packed = corpus_pipeline.STAGES[-1][1](spark, before, sf)
     assert {r["doc_id"] for r in packed.collect()} == set(rows)
+
+
+def test_near_copies_keep_one_row_of_each_group(spark):
+    import corpus_pipeline
+
+    a, b, c, d, e = (X.prose(120, 900 + i) for i in range(5))
+    near = a + " end"
+    rows = [(1, a), (1, a), (2, a), (1, b), (7, near), (7, c), (None, d), (None, d), (None, b), (None, None), (8, ""), (None, e), (9, e), (9, e), (3, X.prose(110, 910))]
+    frame = X.frame(spark, rows)
+    out = corpus_pipeline.near_copies(spark, frame, "")
+    assert out.schema == frame.schema
+    want = Counter([(1, a), (1, b), (7, c), (None, d), (None, None), (8, ""), (9, e), (3, X.prose(110, 910))])
+    assert Counter((r["doc_id"], r["text"]) for r in out.collect()) == want
+    left = corpus_pipeline.repeated_passages(spark, out, "")
+    assert Counter((r["doc_id"], r["text"]) for r in left.collect()) == want
