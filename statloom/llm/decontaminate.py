@@ -12,6 +12,12 @@ compared: the same value of the item must stand for the same value of the
 document and the other way round.  An alignment with changed but consistent
 slots is a re-parameterised item; one with inconsistent slots is no match.
 
+A name is told by its case, so a copy in another case has other templates.
+Plain windows, in which only numbers and units are placeholders and all words
+are lower-cased, are hashed and joined as well.  They add the pairs that
+templates leave out: alignments in which the case of a word differs, or that
+have no template window at all.
+
 DataFrame functions only, no Python on the executors.  The benchmark's windows
 are broadcast up to ``BROADCAST_ROWS``; beyond, the join shuffles.
 
@@ -36,33 +42,59 @@ BROADCAST_ROWS = 1_000_000
 UNITS = ("km", "m", "cm", "mm", "mile", "miles", "kg", "g", "mg", "lb", "lbs", "pounds", "l", "ml", "litre", "litres", "liter", "liters", "s", "sec", "seconds", "min", "minutes", "h", "hour", "hours", "day", "days", "week", "weeks", "month", "months", "year", "years", "percent", "dollars", "euros", "cents")
 
 _BLANK = "\t\n\u000b\f\r "
+_BLANKS = r"[\t-\r ]+"
+
+
+def _bare(text: str | Column) -> Column:
+    return F.btrim(F.regexp_replace(text, r"[^\p{L}\p{N}\t-\r ]+", ""), F.lit(_BLANK))
 
 
 def words(text: str | Column) -> Column:
     """The words of a text without punctuation; no words for a null or empty text."""
-    bare = F.btrim(F.regexp_replace(text, r"[^\p{L}\p{N}\t-\r ]+", ""), F.lit(_BLANK))
-    return F.when(F.length(bare) > 0, F.split(bare, r"[\t-\r ]+")).otherwise(F.array().cast("array<string>"))
+    bare = _bare(text)
+    return F.when(F.length(bare) > 0, F.split(bare, _BLANKS)).otherwise(F.array().cast("array<string>"))
 
 
 def template(word: Column) -> Column:
     """The word's placeholder, or the word in lower case."""
+    return _shape(word, F.lower(word))
+
+
+def _shape(word: Column, low: Column) -> Column:
     one, two = F.substring(word, 1, 1), F.substring(word, 2, 1)
     return (
         F.when((word >= "0") & (word < ":"), "<num>")
-        .when(F.lower(word).isin(*UNITS), "<unit>")
-        .when((one != F.lower(one)) & (two == F.lower(two)), "<name>")
-        .otherwise(F.lower(word))
+        .when(low.isin(*UNITS), "<unit>")
+        .when((word != low) & (one != F.lower(one)) & (two == F.lower(two)), "<name>")
+        .otherwise(low)
     )
 
 
+def plain(word: Column, shape: Column) -> Column:
+    """The word's placeholder if it is a number or a unit, or the word in lower case."""
+    return F.when(shape == "<name>", F.lower(word)).otherwise(shape)
+
+
 def _windows(codes: str, width: int) -> Column:
     n = F.size(codes)
     hashed = F.transform(F.sequence(F.lit(1), n - width + 1), lambda i: F.xxhash64(F.slice(codes, i, width)))
     return F.when(n >= width, hashed)
 
 
+def _salted(codes: str, width: int) -> Column:
+    """Hashes of plain windows; a template window of the same words has another hash."""
+    n = F.size(codes)
+    hashed = F.transform(F.sequence(F.lit(1), n - width + 1), lambda i: F.xxhash64(F.slice(codes, i, width), F.lit("plain")))
+    return F.when(n >= width, hashed)
+
+
 def _coded(df: DataFrame, key: str, text: str) -> DataFrame:
-    return df.select(key, F.transform(words(text), lambda t: F.xxhash64(template(t))).alias("codes"))
+    """Codes of the templates and of the plain words of each text that has words."""
+    df = df.select(key, _bare(text).alias("bare")).where(F.length("bare") > 0)
+    df = df.select(key, F.split("bare", _BLANKS).alias("own"), F.split(F.lower("bare"), _BLANKS).alias("low"))
+    df = df.select(key, "low", F.zip_with("own", "low", lambda t, l: F.xxhash64(_shape(t, l))).alias("codes"))
+    name = F.xxhash64(F.lit("<name>"))
+    return df.select(key, "codes", F.zip_with("codes", "low", lambda c, l: F.when(c == name, F.xxhash64(l)).otherwise(c)).alias("plains"))
 
 
 def alignments(docs: DataFrame, items: DataFrame, width: int = WIDTH, literals: int = LITERALS) -> DataFrame:
@@ -71,39 +103,54 @@ def alignments(docs: DataFrame, items: DataFrame, width: int = WIDTH, literals:
     ``docs`` has a column text, ``items`` item and text.
     """
     items = items.withColumn("tokens", words("text")).where(F.size("tokens") >= MIN_WORDS)
-    items = written(items.select("item", "tokens", F.transform("tokens", template).alias("shape")), "items")
+    items = items.select("item", "tokens", F.transform("tokens", template).alias("shape"))
+    items = written(items.withColumn("low", F.zip_with("tokens", "shape", plain)), "items")
     sizes = items.select(F.least(F.size("shape"), F.lit(width)).alias("w")).distinct()
     lengths = sorted(r["w"] for r in sizes.collect())  # at most width values
     texts = docs.select(F.unhex(F.md5(F.col("text").cast("binary"))).alias("k"), "text").where("text is not null")
     coded = _coded(texts, "k", "text")
     hits = None
     for w in lengths:
-        base = items.where(F.size("shape") >= w) if w == width else items.where(F.size("shape") == w)
-        base = base.select("item", "shape", F.transform("shape", lambda t: F.xxhash64(t)).alias("codes"))
-        base = base.select("item", "shape", F.posexplode(_windows("codes", w)).alias("at", "h"))
-        literal = F.size(F.filter(F.slice("shape", F.col("at") + 1, w), lambda t: ~t.isin("<num>", "<unit>", "<name>")))
-        base = written(base.where(literal >= min(literals, w)).select("item", "at", "h"), "windows")
+        whole = items.where(F.size("shape") >= w) if w == width else items.where(F.size("shape") == w)
+        base = None
+        for kind, (shape, hashed) in enumerate([("shape", _windows), ("low", _salted)]):
+            side = whole.select("item", F.col(shape).alias("words"), F.transform(shape, lambda t: F.xxhash64(t)).alias("codes"))
+            side = side.select("item", "words", F.posexplode(hashed("codes", w)).alias("at", "h"))
+            literal = F.size(F.filter(F.slice("words", F.col("at") + 1, w), lambda t: ~t.isin("<num>", "<unit>", "<name>")))
+            side = side.where(literal >= min(literals, w)).select("item", "at", "h", F.lit(kind).alias("kind"))
+            base = side if base is None else base.unionByName(side)
+        base = written(base, "windows")
         base = F.broadcast(base) if base.count() <= BROADCAST_ROWS else base
-        found = coded.select("k", F.posexplode(_windows("codes", w)).alias("pos", "h")).join(base, "h")
-        found = found.select("k", "item", (F.col("pos") - F.col("at")).alias("shift"), "pos", F.lit(w).alias("w"))
+        both = F.concat(_windows("codes", w), _salted("plains", w))
+        found = coded.select("k", F.size("codes").alias("n"), F.posexplode(both).alias("p", "h")).join(base, "h")
+        pos = F.col("p") - F.col("kind") * (F.col("n") - (w - 1))
+        found = found.select("k", "item", "kind", pos.alias("pos"), (pos - F.col("at")).alias("shift"), F.lit(w).alias("w"))
         hits = found if hits is None else hits.unionByName(found)
     if hits is None:
-        hits = texts.sparkSession.createDataFrame([], "k binary, item long, shift int, pos int, w int")
-    runs = hits.groupBy("k", "item", "shift").agg(F.min("pos").alias("lo"), F.max(F.col("pos") + F.col("w")).alias("hi"), F.countDistinct("pos").alias("n_windows"))
+        hits = texts.sparkSession.createDataFrame([], "k binary, item long, kind int, pos int, shift int, w int")
+    runs = hits.groupBy("k", "item", "shift", "kind").agg(F.min("pos").alias("lo"), F.max(F.col("pos") + F.col("w")).alias("hi"), F.countDistinct("pos").alias("n_windows"))
     runs = written(runs, "runs")
     keys = runs.select("k").distinct()
     keys = F.broadcast(keys) if runs.count() <= BROADCAST_ROWS else keys
     tokens = texts.join(keys, "k", "left_semi").dropDuplicates(["k"]).select("k", words("text").alias("own"))
-    both = runs.join(tokens, "k").join(items, "item")
+    templates = runs.groupBy("k", "item", "shift").agg(F.min("kind").alias("first_kind"))
+    both = runs.join(templates, ["k", "item", "shift"]).join(tokens, "k").join(items.select("item", "tokens"), "item")
     length = F.col("hi") - F.col("lo")
-    mine = F.slice("own", F.col("lo") + 1, length)
-    theirs = F.slice("tokens", F.col("lo") - F.col("shift") + 1, length)
-    slots = F.filter(F.arrays_zip(mine.alias("d"), theirs.alias("i")), lambda x: (template(x["d"]) == template(x["i"])) & template(x["i"]).isin("<num>", "<unit>", "<name>"))
-    both = both.withColumn("slots", F.array_distinct(slots))
+    both = both.withColumn("pairs", F.arrays_zip(F.slice("own", F.col("lo") + 1, length).alias("d"), F.slice("tokens", F.col("lo") - F.col("shift") + 1, length).alias("i")))
+    slots = F.filter("pairs", lambda x: (template(x["d"]) == template(x["i"])) & template(x["i"]).isin("<num>", "<unit>", "<name>"))
+    typed = F.filter("pairs", lambda x: (plain(x["d"], template(x["d"])) == plain(x["i"], template(x["i"]))) & template(x["i"]).isin("<num>", "<unit>"))
+    typed = F.transform(typed, lambda x: F.struct(F.lower(x["d"]).alias("d"), F.lower(x["i"]).alias("i")))
+    recased = F.exists("pairs", lambda x: (x["d"] != x["i"]) & (F.lower(x["d"]) == F.lower(x["i"])))
+    both = both.where((F.col("kind") == 0) | (F.col("first_kind") == 1) | recased)
+    both = both.withColumn("slots", F.array_distinct(F.when(F.col("kind") == 0, slots).otherwise(typed)))
     size = F.size("slots")
     even = (F.size(F.array_distinct(F.col("slots")["d"])) == size) & (F.size(F.array_distinct(F.col("slots")["i"])) == size)
     changed = F.exists("slots", lambda x: x["d"] != x["i"])
-    return both.where(even).select("k", "item", F.col("lo").alias("first_word"), (F.col("hi") - 1).alias("last_word"), "n_windows", changed.alias("changed"))
+    out = both.where(even).select("k", "item", "kind", F.col("lo").alias("first_word"), (F.col("hi") - 1).alias("last_word"), "n_windows", changed.alias("changed"))
+    # plain windows speak only for pairs that templates leave out
+    out = written(out, "alignments")
+    told = out.groupBy("k", "item").agg(F.min("kind").alias("kind"))
+    return out.join(told, ["k", "item", "kind"]).drop("kind")
 
 
 def benchmark_matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", width: int = WIDTH, literals: int = LITERALS) -> DataFrame:

@@ -308,6 +308,22 @@ def test_decontamination(spark, empty):
     assert decontaminate.benchmark_matches(X.frame(spark, rows), items.limit(0)).collect() == []
 
 
+def test_decontamination_in_any_case(spark):
+    item = "If Anna Berg buys 12 kg of fresh apples from Carl and gives Bob 5 kg then how many apples does Anna still have"
+    names = "Anna Bea Carl Dora met Emil Fred Gina Hugo near Ines Jan Kurt Lena"
+    items = spark.createDataFrame([(1, item), (2, "What colour is the Sky"), (3, names), (4, X.prose(40, 70))], "item_id long, text string")
+    rows = []
+    for k, case in enumerate((str.lower, str.upper, str.title, str)):
+        rows += [(10 * k + 1, f"{X.prose(30, k)} {case(item)} {X.prose(30, 9 + k)}"), (10 * k + 2, case("What colour is the Sky")), (10 * k + 3, case(names)), (10 * k + 4, case(X.prose(40, 70)))]
+    rows += [(50, item.upper().replace("12", "340").replace("5", "9")), (51, X.prose(200, 71))]
+    found = decontaminate.benchmark_matches(X.frame(spark, rows), items).collect()
+    got = {(r["doc_id"], r["item_id"]): r["changed"] for r in found}
+    assert got == {**{(10 * k + i, i): False for k in range(4) for i in (1, 2, 3, 4)}, (50, 1): True}
+    assert len(found) == len(got)
+    left = decontaminate.drop_contaminated(X.frame(spark, rows), items)
+    assert [r["doc_id"] for r in left.collect()] == [51]
+
+
 # 10. url filters
 
 
