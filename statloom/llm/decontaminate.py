@@ -10,7 +10,10 @@ documents are hashed and hash-joined with those of the benchmark.
 Windows that agree on item and displacement form an alignment.  Its slots are
 compared: the same value of the item must stand for the same value of the
 document and the other way round.  An alignment with changed but consistent
-slots is a re-parameterised item; one with inconsistent slots is no match.
+slots is a re-parameterised item.  One with inconsistent slots may still hold
+matches: its runs of consecutive windows are judged by themselves, and in a run
+that is inconsistent too, twice ``width`` words in a row that equal the item's
+are a copy, whatever the other words say.
 
 A name is told by its case, so a copy in another case has other templates.
 Plain windows, in which only numbers and units are placeholders and all words
@@ -21,7 +24,8 @@ have no template window at all.
 DataFrame functions only, no Python on the executors.  The benchmark's windows
 are broadcast up to ``BROADCAST_ROWS``; beyond, the join shuffles.
 
-Nulls and empty texts have no windows; null ids keep their rows.  Repeated rows
+Nulls and empty texts have no windows; null ids keep their rows, an item's too.
+Items are told apart by their text: one id may have several, whose windows add up.  Repeated rows
 each get their own result rows.  Items of under ``MIN_WORDS`` words can't be told
 from chance and match nothing.  Other columns are ignored.
 """
@@ -49,6 +53,10 @@ def _bare(text: str | Column) -> Column:
     return F.btrim(F.regexp_replace(text, r"[^\p{L}\p{N}\t-\r ]+", ""), F.lit(_BLANK))
 
 
+def _digest(text: str) -> Column:
+    return F.unhex(F.md5(F.col(text).cast("binary")))
+
+
 def words(text: str | Column) -> Column:
     """The words of a text without punctuation; no words for a null or empty text."""
     bare = _bare(text)
@@ -97,17 +105,36 @@ def _coded(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(key, "codes", F.zip_with("codes", "low", lambda c, l: F.when(c == name, F.xxhash64(l)).otherwise(c)).alias("plains"))
 
 
+def _judged(runs: DataFrame) -> DataFrame:
+    """Adds to runs (kind, pairs) whether their slots are consistent (even), and whether any is changed."""
+    slots = F.filter("pairs", lambda x: (template(x["d"]) == template(x["i"])) & template(x["i"]).isin("<num>", "<unit>", "<name>"))
+    typed = F.filter("pairs", lambda x: (plain(x["d"], template(x["d"])) == plain(x["i"], template(x["i"]))) & template(x["i"]).isin("<num>", "<unit>"))
+    typed = F.transform(typed, lambda x: F.struct(F.lower(x["d"]).alias("d"), F.lower(x["i"]).alias("i")))
+    runs = runs.withColumn("slots", F.array_distinct(F.when(F.col("kind") == 0, slots).otherwise(typed)))
+    size = F.size("slots")
+    even = (F.size(F.array_distinct(F.col("slots")["d"])) == size) & (F.size(F.array_distinct(F.col("slots")["i"])) == size)
+    return runs.withColumns({"even": even, "changed": F.exists("slots", lambda x: x["d"] != x["i"])}).drop("slots")
+
+
+def _cut(runs: DataFrame, lo: Column, hi: Column) -> DataFrame:
+    """The part of each run from word ``lo`` to before word ``hi``, with its hits."""
+    runs = runs.withColumns({"to_lo": lo, "to_hi": hi})
+    inside = F.filter("at", lambda p: (p >= F.col("to_lo")) & (p + F.col("w") <= F.col("to_hi")))
+    pairs = F.slice("pairs", F.col("to_lo") - F.col("lo") + 1, F.col("to_hi") - F.col("to_lo"))
+    return runs.select("k", "item", "kind", inside.alias("at"), "w", F.col("to_lo").alias("lo"), F.col("to_hi").alias("hi"), pairs.alias("pairs"))
+
+
 def alignments(docs: DataFrame, items: DataFrame, width: int = WIDTH, literals: int = LITERALS) -> DataFrame:
-    """Consistent alignments: k (digest of a document's text), item, first and last word, n_windows, changed.
+    """Consistent alignments: k (digest of a document's text), item (of an item's), first and last word, n_windows, changed.
 
-    ``docs`` has a column text, ``items`` item and text.
+    ``docs`` and ``items`` have a column text.
     """
-    items = items.withColumn("tokens", words("text")).where(F.size("tokens") >= MIN_WORDS)
+    items = items.select(_digest("text").alias("item"), "text").dropDuplicates(["item"]).withColumn("tokens", words("text")).where(F.size("tokens") >= MIN_WORDS)
     items = items.select("item", "tokens", F.transform("tokens", template).alias("shape"))
     items = written(items.withColumn("low", F.zip_with("tokens", "shape", plain)), "items")
     sizes = items.select(F.least(F.size("shape"), F.lit(width)).alias("w")).distinct()
     lengths = sorted(r["w"] for r in sizes.collect())  # at most width values
-    texts = docs.select(F.unhex(F.md5(F.col("text").cast("binary"))).alias("k"), "text").where("text is not null")
+    texts = docs.select(_digest("text").alias("k"), "text").where("text is not null")
     coded = _coded(texts, "k", "text")
     hits = None
     for w in lengths:
@@ -127,26 +154,35 @@ def alignments(docs: DataFrame, items: DataFrame, width: int = WIDTH, literals:
         found = found.select("k", "item", "kind", pos.alias("pos"), (pos - F.col("at")).alias("shift"), F.lit(w).alias("w"))
         hits = found if hits is None else hits.unionByName(found)
     if hits is None:
-        hits = texts.sparkSession.createDataFrame([], "k binary, item long, kind int, pos int, shift int, w int")
-    runs = hits.groupBy("k", "item", "shift", "kind").agg(F.min("pos").alias("lo"), F.max(F.col("pos") + F.col("w")).alias("hi"), F.countDistinct("pos").alias("n_windows"))
-    runs = written(runs, "runs")
+        hits = texts.sparkSession.createDataFrame([], "k binary, item binary, kind int, pos int, shift int, w int")
+    runs = hits.groupBy("k", "item", "shift", "kind").agg(F.collect_set("pos").alias("at"), F.max("w").alias("w"))
+    runs = written(runs.withColumns({"lo": F.array_min("at"), "hi": F.array_max("at") + F.col("w")}), "runs")
     keys = runs.select("k").distinct()
     keys = F.broadcast(keys) if runs.count() <= BROADCAST_ROWS else keys
     tokens = texts.join(keys, "k", "left_semi").dropDuplicates(["k"]).select("k", words("text").alias("own"))
     templates = runs.groupBy("k", "item", "shift").agg(F.min("kind").alias("first_kind"))
     both = runs.join(templates, ["k", "item", "shift"]).join(tokens, "k").join(items.select("item", "tokens"), "item")
     length = F.col("hi") - F.col("lo")
-    both = both.withColumn("pairs", F.arrays_zip(F.slice("own", F.col("lo") + 1, length).alias("d"), F.slice("tokens", F.col("lo") - F.col("shift") + 1, length).alias("i")))
-    slots = F.filter("pairs", lambda x: (template(x["d"]) == template(x["i"])) & template(x["i"]).isin("<num>", "<unit>", "<name>"))
-    typed = F.filter("pairs", lambda x: (plain(x["d"], template(x["d"])) == plain(x["i"], template(x["i"]))) & template(x["i"]).isin("<num>", "<unit>"))
-    typed = F.transform(typed, lambda x: F.struct(F.lower(x["d"]).alias("d"), F.lower(x["i"]).alias("i")))
+    pairs = F.arrays_zip(F.slice("own", F.col("lo") + 1, length).alias("d"), F.slice("tokens", F.col("lo") - F.col("shift") + 1, length).alias("i"))
+    both = both.select("k", "item", "kind", "first_kind", "at", "w", "lo", "hi", pairs.alias("pairs"))
     recased = F.exists("pairs", lambda x: (x["d"] != x["i"]) & (F.lower(x["d"]) == F.lower(x["i"])))
-    both = both.where((F.col("kind") == 0) | (F.col("first_kind") == 1) | recased)
-    both = both.withColumn("slots", F.array_distinct(F.when(F.col("kind") == 0, slots).otherwise(typed)))
-    size = F.size("slots")
-    even = (F.size(F.array_distinct(F.col("slots")["d"])) == size) & (F.size(F.array_distinct(F.col("slots")["i"])) == size)
-    changed = F.exists("slots", lambda x: x["d"] != x["i"])
-    out = both.where(even).select("k", "item", "kind", F.col("lo").alias("first_word"), (F.col("hi") - 1).alias("last_word"), "n_windows", changed.alias("changed"))
+    hulls = written(_judged(both.where((F.col("kind") == 0) | (F.col("first_kind") == 1) | recased)), "hulls")
+    # hulls with inconsistent slots: their runs of consecutive hits, then their verbatim stretches
+    at = F.col("at")
+    starts = F.array_sort(F.filter("at", lambda p: ~F.array_contains(at, p - 1)))
+    ends = F.array_sort(F.filter("at", lambda p: ~F.array_contains(at, p + 1)))
+    parts = hulls.where("not even").withColumn("part", F.explode(F.arrays_zip(starts.alias("s"), ends.alias("e"))))
+    parts = _judged(_cut(parts, F.col("part.s"), F.col("part.e") + F.col("w")))
+    equal = F.when(F.col("kind") == 0, F.transform("pairs", lambda x: x["d"] == x["i"])).otherwise(F.transform("pairs", lambda x: F.lower(x["d"]) == F.lower(x["i"])))
+    rest = parts.where("not even").withColumn("same", equal)
+    n, same = F.size("pairs"), F.col("same")
+    cuts = F.concat(F.array(F.lit(-1)), F.filter(F.sequence(F.lit(0), n - 1), lambda x: ~F.element_at(same, x + 1)), F.array(n))
+    rest = rest.withColumn("cuts", cuts)
+    spans = F.arrays_zip(F.slice("cuts", 1, F.size("cuts") - 1).alias("s"), F.slice("cuts", 2, F.size("cuts") - 1).alias("e"))
+    rest = rest.withColumn("part", F.explode(F.filter(spans, lambda x: x["e"] - x["s"] > 2 * width)))
+    rest = _judged(_cut(rest, F.col("lo") + F.col("part.s") + 1, F.col("lo") + F.col("part.e")))
+    names = ["k", "item", "kind", F.col("lo").alias("first_word"), (F.col("hi") - 1).alias("last_word"), F.size("at").cast("long").alias("n_windows"), "changed"]
+    out = hulls.where("even").select(*names).unionByName(parts.where("even").select(*names)).unionByName(rest.select(*names))
     # plain windows speak only for pairs that templates leave out
     out = written(out, "alignments")
     told = out.groupBy("k", "item").agg(F.min("kind").alias("kind"))
@@ -159,10 +195,13 @@ def benchmark_matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id",
     ``changed`` says that every alignment of the two has other slot values.
     """
     small = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    found = alignments(small, items.select(F.col(item_col).alias("item"), F.col(item_text).cast("string").alias("text")), width, literals)
-    found = found.groupBy("k", "item").agg(F.sum("n_windows").alias("n_windows"), F.min("first_word").alias("first_word"), F.max("last_word").alias("last_word"), F.min("changed").alias("changed"))
-    found = written(found, "matches")
-    ids = small.where("text is not null").select("id", F.unhex(F.md5(F.col("text").cast("binary"))).alias("k"))
+    items = items.select(F.col(item_col).alias("item_id"), F.col(item_text).cast("string").alias("text"))
+    found = alignments(small, items, width, literals)
+    named = items.where("text is not null").select("item_id", _digest("text").alias("item")).distinct()
+    which = F.when(F.col("item_id").isNull(), F.col("item"))  # items without an id are told apart by their text
+    found = found.join(named, "item").groupBy("k", F.col("item_id").alias("item"), which.alias("which")).agg(F.sum("n_windows").alias("n_windows"), F.min("first_word").alias("first_word"), F.max("last_word").alias("last_word"), F.min("changed").alias("changed"))
+    found = written(found.drop("which"), "matches")
+    ids = small.where("text is not null").select("id", _digest("text").alias("k"))
     found = F.broadcast(found) if found.count() <= BROADCAST_ROWS else found
     return ids.join(found, "k").select(F.col("id").alias(id_col), F.col("item").alias(item_col), "n_windows", "first_word", "last_word", "changed")
 
@@ -170,7 +209,7 @@ def benchmark_matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id",
 def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", width: int = WIDTH, literals: int = LITERALS) -> DataFrame:
     """The rows of documents that match no benchmark item, with all their columns."""
     small = docs.select(F.col(text_col).cast("string").alias("text"))
-    found = alignments(small, items.select(F.col(item_col).alias("item"), F.col(item_text).cast("string").alias("text")), width, literals)
+    found = alignments(small, items.select(F.col(item_text).cast("string").alias("text")), width, literals)
     keys = written(found.select(F.col("k").alias("__k")).distinct(), "contaminated")
     keys = F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
     rows = docs.withColumn("__digest", F.unhex(F.md5(F.col(text_col).cast("string").cast("binary"))))

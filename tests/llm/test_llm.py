@@ -324,6 +324,19 @@ def test_decontamination_in_any_case(spark):
     assert [r["doc_id"] for r in left.collect()] == [51]
 
 
+def test_decontamination_by_parts_and_item_texts(spark):
+    head, tail = X.prose(25, 80), X.prose(25, 81)
+    item = f"{head} Anna {tail} Anna bakes"
+    middle = f"{X.prose(14, 82)} Karl {X.prose(3, 83)} Karl {X.prose(14, 84)}"
+    other = f"{X.prose(14, 82)} Karl {X.prose(3, 85)} Lena {X.prose(14, 84)}"
+    items = spark.createDataFrame([(1, item), (None, X.prose(30, 86)), (None, X.prose(30, 87)), (5, middle), (5, X.prose(20, 88)), (5, X.prose(20, 88))], "item_id long, text string")
+    rows = [(1, item.replace("Anna bakes", "Clara bakes")), (2, item), (3, X.prose(30, 86) + " " + X.prose(30, 87)), (4, other.replace("Karl", "Otto")), (5, X.prose(20, 88)), (6, X.prose(90, 89))]
+    got = Counter((r["doc_id"], r["item_id"], r["n_windows"]) for r in decontaminate.benchmark_matches(X.frame(spark, rows), items).collect())
+    assert got == Counter({(1, 1, 42): 1, (2, 1, 44): 1, (3, None, 21): 2, (4, 5, 12): 1, (5, 5, 11): 1})
+    left = decontaminate.drop_contaminated(X.frame(spark, rows), items)
+    assert [r["doc_id"] for r in left.collect()] == [6]
+
+
 # 10. url filters
 
 
