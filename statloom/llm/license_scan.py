@@ -88,9 +88,7 @@ def scan(docs: DataFrame, licenses: DataFrame, id_col: str = "doc_id", text_col:
     known = F.broadcast(known) if licenses.count() <= BROADCAST_ROWS else known
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     lines = rows.select(F.md5(F.col("text").cast("binary")).alias("k"), "text").select("k", F.explode(F.split("text", "\n")).alias("line"))
-    # a line that is no longer than the known texts can be one of them
-    longest = licenses.agg(F.max(F.length("text"))).first()[0] or 0
-    lines = lines.where((F.length("line") > 0) & (F.length("line") <= 4 * longest))
+    lines = lines.where(F.length("line") > 0)
     found = lines.select("k", digest("line").alias("digest")).join(known, "digest")
     found = found.groupBy("k", "name").agg(F.count(F.lit(1)).alias("n"))
     found = found.groupBy("k").agg(F.sum("n").alias("n"), F.array_join(F.array_sort(F.collect_set("name")), ",").alias("notices"))
