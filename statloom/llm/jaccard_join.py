@@ -215,6 +215,8 @@ def jaccard_links(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, Dat
     """The classes of equal sets (rep, a, s1, s2) and links between them that connect all that are similar.
 
     ``docs`` has columns id and text.  Links are rows (u, v) of structs (rep, s).
+    Inside a component they are a connecting subset, not all similar pairs: pairs
+    that are connected already are not verified, so no number of links is given.
     """
     classes = (
         _hash_sets(docs, n, percent, "prefix")
