@@ -7,7 +7,8 @@ are kept from a fixed threshold on.
 
 The model is fitted on a bounded sample of labelled rows: ``rows`` of each
 label, the first ones in the order of a hash of the id, half of them for the
-calibration if there are enough.  Counting and scoring cover every text whole.
+calibration if there are enough.  An id that repeats gives the sample the text
+with the smallest digest.  Counting and scoring cover every text whole.
 
 Features are relative frequencies of hashed words, word pairs and four-byte
 strings, so a text's length does not matter, and long texts need no more room
@@ -233,7 +234,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     parts = [y.where(F.col("y") == k).orderBy(F.xxhash64("id"), "id").limit(rows) for k in (0, 1)]
     few = parts[0].unionByName(parts[1])  # at most 2 * rows rows
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    found = texts.join(F.broadcast(few), "id").select("id", "y", "text").mapInArrow(_feature_rows, "id long, y int, where binary, value binary").collect()
+    one = F.min_by("text", F.md5(F.coalesce("text", F.lit("")).cast("binary")))  # an id may repeat: one text stands for it
+    found = texts.join(F.broadcast(few), "id").groupBy("id", "y").agg(one.alias("text")).mapInArrow(_feature_rows, "id long, y int, where binary, value binary").collect()
     found.sort(key=lambda r: (r["id"], bytes(r["where"])))
     target = np.array([r["y"] for r in found], np.float64)
     if len(set(target)) < 2:
