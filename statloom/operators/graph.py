@@ -89,12 +89,17 @@ def modularity(edges: DataFrame, communities: DataFrame) -> DataFrame:
     return s.agg(F.sum(F.col("inside") / F.col("m2") - F.pow(F.col("deg") / F.col("m2"), 2)).alias("modularity"))
 
 
-def distances_from(edges: DataFrame, sources: DataFrame, directed: bool = False, limit: int = 64) -> DataFrame:
-    """Breadth-first distances (source, id, hops) from a table of sources (id), a join a round."""
+def distances_from(edges: DataFrame, sources: DataFrame, directed: bool = False, limit: int | None = None) -> DataFrame:
+    """Breadth-first distances (source, id, hops) from a table of sources (id), a join a round.
+
+    All that can be reached; with ``limit``, what is at most so many hops away.
+    """
     e = staged(clean(edges, directed=directed), "edges")
     seen = staged(sources.select(F.col("id").alias("source"), "id", F.lit(0).alias("hops")), "seen")
     edge = seen
-    for hop in range(1, limit + 1):
+    hop = 0
+    while limit is None or hop < limit:
+        hop += 1
         step = edge.join(e, edge["id"] == e["src"]).select("source", F.col("dst").alias("id")).distinct()
         edge = staged(step.join(seen, ["source", "id"], "left_anti").withColumn("hops", F.lit(hop)), "frontier")
         if edge.isEmpty():
