@@ -23,6 +23,8 @@ _SEP[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _rng = np.random.Generator(np.random.PCG64(20240229))
 #: A random odd-free table of byte codes, the same in every process.
 _CODE = _rng.integers(1, 2**63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: A second table, for hashes of 128 bits.
+_CODE2 = _rng.integers(1, 2**63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _LOWER_CODE = _CODE.copy()
 _LOWER_CODE[ord("A") : ord("Z") + 1] = _CODE[ord("a") : ord("z") + 1]
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -97,11 +99,14 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def prefix_hash(data: np.ndarray, lower: bool = False) -> np.ndarray:
-    """Running polynomial sums; ``span_hash`` takes the hash of any byte range from them."""
+def prefix_hash(data: np.ndarray, lower: bool = False, second: bool = False) -> np.ndarray:
+    """Running polynomial sums; ``span_hash`` takes the hash of any byte range from them.
+
+    ``second`` takes other byte codes, so that both hashes together have 128 bits.
+    """
     up, _ = _power_tables(len(data) + 1)
     out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((_LOWER_CODE if lower else _CODE)[data] * up[: len(data)], out=out[1:])
+    np.cumsum((_LOWER_CODE if lower else _CODE2 if second else _CODE)[data] * up[: len(data)], out=out[1:])
     return out
 
 

@@ -38,8 +38,8 @@ def op6_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op5_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    """What is left of each document when repeated strings of 400 bytes go."""
-    return suffix_dedup.repeat_report(table(spark, sf, "documents"))
+    """What is left of each document when repeated strings of 400 bytes go; its text without passages of 50 words."""
+    return suffix_dedup.repeat_report(table(spark, sf, "documents"), passage=suffix_dedup.PASSAGE)
 
 
 def op7_quality_rules(spark: SparkSession, sf: str) -> DataFrame:

@@ -1,26 +1,34 @@
 """Removal of repeated passages with a sparse enhanced suffix array.
 
 A byte goes when some string of ``length`` (400) bytes that covers it starts
-anywhere else too, in the same text or another one.  The plan:
+anywhere else too, in the same text or another one.  Several lengths can be
+judged at once.  The plan, where the shortest length sets the anchors and the
+longest the contexts:
 
-1.  Anchors.  Of each window of 400 bytes, the 64-byte string with the least
-    hash is its anchor.  Equal windows have equal anchors at equal places, so a
-    repeat is seen at its anchors, about one for every 170 bytes of text.
+1.  Anchors.  Of each window of the shortest length, the 64-byte string with
+    the least hash is its anchor.  Equal windows have equal anchors at equal
+    places, so a repeat is seen at its anchors.
 2.  Copies.  Whole copies are one class; a text that occurs twice goes whole,
     and only one of a class takes part in the rest.
-3.  Anchors found once are dropped.  The context of the others has 336 bytes to
-    the left and 400 to the right.  Equal contexts, known by hash, are repeats
-    from end to end; only one of each goes on, and none if there is no other.
+3.  Anchors found once are dropped.  The context of the others reaches as far
+    as a repeat of the longest length can.  Equal contexts, known by a 128-bit
+    hash, are repeats from end to end; only one of each goes on, and none if
+    there is no other.
 4.  Interval tree.  The contexts of one anchor string are the suffixes of a
     sparse suffix array: they are sorted by right context, and a stack scan of
     the common-prefix lengths of neighbours yields the intervals.  In each
-    interval the left contexts are sorted and scanned likewise: an interval
-    whose left extensions differ is a maximal repeat with *all* its occurrences
-    (``maximal_repeats``).  A repeat of ``l`` bytes to the left and ``r`` to the
-    right with ``l + r >= 400`` covers its occurrences.
-5.  Anchor strings with more than ``GROUP_LIMIT`` contexts are too many for
-    one task.  Their windows are hashed and counted instead, with partial
-    aggregation, and joined back: exact as well, and spread over all tasks.
+    interval the left contexts are sorted and scanned likewise, and a run of
+    them is a maximal repeat if its extensions differ on both sides: it has
+    *all* occurrences of that string (``maximal_repeats``).  A repeat of ``l``
+    bytes to the left and ``r`` to the right covers its occurrences if
+    ``l + r >= length``.  ``repeat_groups`` returns the groups themselves.
+5.  An anchor string with more than ``GROUP_LIMIT`` contexts is split by longer
+    context: a repeat's window starts ``t`` bytes before the anchor, and those
+    with ``a <= t <= b`` share ``a`` bytes to the left and ``length - b`` to the
+    right.  Groups of these longer strings go to the tree when they are small
+    enough, else the range of ``t`` is split again, down to one ``t``: then all
+    members share the window, which is the whole tree.  Nothing is left out and
+    no task gets more than ``GROUP_LIMIT`` contexts of one group.
 6.  The covered ranges of a text are merged and cut out.
 
 Matches never cross texts.  Repeats are reported up to the context's bounds;
@@ -39,12 +47,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._stage import written
+from ._stage import discard, written
 
 #: Bytes of an anchor string.
 GRAM = 64
-#: Different contexts of one anchor string that one task handles (16 MB).
-GROUP_LIMIT = 20_000
+#: Bytes that nearly any passage of over 50 words has.
+PASSAGE = 270
+#: Different contexts of one anchor string that go to one task together; larger groups are split.
+GROUP_LIMIT = 500
+#: Parts into which a range of window starts is split.
+FAN = 4
 #: Digests of texts with shared anchors are broadcast up to this many rows (20 MB).
 BROADCAST_ROWS = 400_000
 
@@ -78,10 +90,10 @@ def anchors(data: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray,
     return pos, h[pos]
 
 
-_ANCHOR = "k binary, h array<long>, c array<long>, pos array<int>, lo array<int>, hi array<int>, s array<int>, e array<int>"
+_ANCHOR = "k binary, h array<long>, c array<long>, d array<long>, pos array<int>, lo array<int>, hi array<int>, s array<int>, e array<int>"
 
 
-def _anchor_rows(length: int):
+def _anchor_rows(shortest: int, longest: int):
     """Each text's anchors with a hash of their context, and ranges that repeat within the text."""
 
     def lists(ends: np.ndarray, *values: np.ndarray) -> list[pa.Array]:
@@ -94,25 +106,27 @@ def _anchor_rows(length: int):
             for i, j in T.slices(off):
                 o = off[i : j + 1] - off[i]
                 part = data[off[i] : off[j]]
-                pos, h = anchors(part, o, length)
+                pos, h = anchors(part, o, shortest)
                 text = np.searchsorted(o, pos, side="right") - 1
-                lo = np.minimum(pos - o[text], length - GRAM)
-                hi = np.minimum(o[text + 1] - pos, length)
-                c = T.mix(T.span_hash(T.prefix_hash(part), pos - lo, pos + hi) + (lo * 1024 + hi).astype(np.uint64))
+                lo = np.minimum(pos - o[text], longest - GRAM)
+                hi = np.minimum(o[text + 1] - pos, longest)
+                bounds = (lo * 4 * longest + hi).astype(np.uint64)
+                c = T.mix(T.span_hash(T.prefix_hash(part), pos - lo, pos + hi) + bounds)
+                d = T.mix(T.span_hash(T.prefix_hash(part, second=True), pos - lo, pos + hi) + bounds)
                 _, first, inverse, count = np.unique(T.mix(c ^ h) + text.astype(np.uint64) * T._BASE, return_index=True, return_inverse=True, return_counts=True)
-                twice = np.flatnonzero((count[inverse] > 1) & (lo + hi >= length))
+                twice = np.flatnonzero((count[inverse] > 1) & (lo + hi >= shortest))
                 one = np.sort(first)
                 place = pos - o[text]
-                kept = lists(np.searchsorted(text[one], np.arange(j - i + 1)), h[one].view(np.int64), c[one].view(np.int64), *(x[one].astype(np.int32) for x in (place, lo, hi)))
+                kept = lists(np.searchsorted(text[one], np.arange(j - i + 1)), *(x[one].view(np.int64) for x in (h, c, d)), *(x[one].astype(np.int32) for x in (place, lo, hi)))
                 own = lists(np.searchsorted(text[twice], np.arange(j - i + 1)), (place - lo)[twice].astype(np.int32), (place + hi)[twice].astype(np.int32))
-                yield pa.RecordBatch.from_arrays([key.slice(i, j - i), *kept, *own], ["k", "h", "c", "pos", "lo", "hi", "s", "e"])
+                yield pa.RecordBatch.from_arrays([key.slice(i, j - i), *kept, *own], ["k", "h", "c", "d", "pos", "lo", "hi", "s", "e"])
 
     return run
 
 
-def _context_rows(length: int):
+def _context_rows(longest: int):
     """For each shared anchor of a text: the bytes before it, reversed, and from it on."""
-    left, right = length - GRAM, length
+    left, right = longest - GRAM, longest
 
     def run(batches):
         for batch in batches:
@@ -205,66 +219,99 @@ class _LeftOrder:
 
 
 def interval_tree(lefts: list[bytes], rights: list[bytes], length: int):
-    """(r, members, l) of each interval of the suffixes ``rights`` that has a repeat of ``length`` bytes.
+    """(r, members, l, child) of each interval of the suffixes ``rights`` that has a repeat of ``length`` bytes.
 
     The members share ``r`` bytes to the right; they are in the order of their
-    left contexts, and ``l`` has the bytes that each shares with the one before.
+    left contexts.  ``l`` has the bytes that each shares with the one before,
+    ``child`` the interval below this one that each is in.
     """
     order, prefixes = _sorted_with_prefixes(rights)
     left, order = _LeftOrder(lefts), np.array(order)
     for r, first, end in _intervals(prefixes, GRAM):
-        ranks = np.sort(left.rank[order[first:end]])
+        inner = left.rank[order[first:end]]
+        by_left = np.argsort(inner)
+        ranks = inner[by_left]
         shared = left.prefixes(ranks)
         if shared.max() + r >= length:
-            yield r, left.order[ranks], shared
+            child = np.append(0, np.cumsum(prefixes[first + 1 : end] == r))
+            yield r, left.order[ranks], shared, child[by_left]
 
 
 def maximal_repeats(lefts: list[bytes], rights: list[bytes], length: int):
-    """(l, r, members) of each maximal repeat of ``length`` bytes at least: all its occurrences."""
-    for r, members, shared in interval_tree(lefts, rights, length):
+    """(l, r, members) of each maximal repeat of ``length`` bytes at least: all its occurrences.
+
+    A run of left contexts has different bytes before its ``l`` common ones.  It
+    is maximal if its members come from more than one interval below too, so
+    that the bytes after the ``r`` common ones differ as well.
+    """
+    if len(lefts) == 2:  # the tree of two suffixes is one interval
+        l, r = _common(*lefts), _common(*rights)
+        if l + r >= length and r >= GRAM:
+            yield l, r, np.arange(2)
+        return
+    for r, members, shared, child in interval_tree(lefts, rights, length):
+        differs = np.append(0, np.cumsum(child[1:] != child[:-1]))
         for l, first, end in _intervals(shared, max(0, length - r)):
-            yield l, r, members[first:end].tolist()
+            if differs[end - 1] > differs[first]:
+                yield l, r, members[first:end]
 
 
-def covered(lefts: list[bytes], rights: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
-    """How far to the left and right of each anchor its repeats reach; -1 for none.
+def covered(lefts: list[bytes], rights: list[bytes], lengths: tuple[int, ...]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each length, how far to the left and right of each anchor its maximal repeats reach; -1 for none.
 
     All repeats through an anchor hold it, so together they cover one range.
     """
-    n = len(lefts)
-    to_left, to_right = np.full(n, -1), np.full(n, -1)
-    if n == 2:
-        l, r = _common(*lefts), _common(*rights)
-        if l + r >= length and r >= GRAM:
-            to_left[:], to_right[:] = l, r
-        return to_left, to_right
-    for r, members, shared in interval_tree(lefts, rights, length):
-        l = np.maximum(shared, np.append(shared[1:], 0))
-        far = l + r >= length
-        who, l = members[far], l[far]
-        to_left[who] = np.maximum(to_left[who], l)
-        to_right[who] = np.maximum(to_right[who], r)
-    return to_left, to_right
+    out = [(np.full(len(lefts), -1), np.full(len(lefts), -1)) for _ in lengths]
+    for l, r, members in maximal_repeats(lefts, rights, min(lengths)):
+        for length, (to_left, to_right) in zip(lengths, out, strict=True):
+            if l + r >= length:
+                to_left[members] = np.maximum(to_left[members], l)
+                to_right[members] = np.maximum(to_right[members], r)
+    return out
+
+
+def _ranges(lengths: tuple[int, ...]):
+    """Solver of ``_tree_rows``: the covered ranges (k, s, e) and the length w that their repeats reach."""
+
+    def solve(groups):
+        ks, ss, es, ws = [], [], [], []
+        for _, keys, pos, lefts, rights in groups:
+            for length, (to_left, to_right) in zip(lengths, covered(lefts, rights, lengths), strict=True):
+                for x in np.flatnonzero(to_left >= 0).tolist():
+                    ks.append(keys[x])
+                    ss.append(pos[x] - int(to_left[x]))
+                    es.append(pos[x] + int(to_right[x]))
+                    ws.append(length)
+        return pa.RecordBatch.from_arrays([pa.array(ks, pa.binary()), pa.array(ss, pa.int32()), pa.array(es, pa.int32()), pa.array(ws, pa.int32())], ["k", "s", "e", "w"])
+
+    return solve
 
 
-def _tree_rows(length: int):
-    """Covered ranges (k, s, e) from contexts that come sorted by anchor string."""
+def _groups(length: int):
+    """Solver of ``_tree_rows``: one row for each maximal repeat of a group and each of its members."""
+
+    def solve(groups):
+        out: list[tuple] = []
+        for h, keys, pos, lefts, rights in groups:
+            for n, (l, r, members) in enumerate(maximal_repeats(lefts, rights, length)):
+                out.extend((h, n, l + r, keys[x], pos[x] - l) for x in members.tolist())
+        kinds = [("h", pa.int64()), ("repeat", pa.int32()), ("length", pa.int32()), ("k", pa.binary()), ("start", pa.int32())]
+        cols = list(zip(*out, strict=True)) if out else [[] for _ in kinds]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, kinds, strict=True)], [n for n, _ in kinds])
+
+    return solve
+
+
+def _tree_rows(solver):
+    """What the solver makes of each group of contexts, which come sorted by anchor string."""
 
     def solve(rows: pa.Table):
         h = rows["h"].to_numpy()
         cut = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
         keys, pos = rows["k"].to_pylist(), rows["pos"].to_pylist()
         lefts, rights = rows["l"].to_pylist(), rows["r"].to_pylist()
-        ks, ss, es = [], [], []
-        for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(h)], strict=True):
-            if b - a < 2:
-                continue
-            to_left, to_right = covered(lefts[a:b], rights[a:b], length)
-            for x in np.flatnonzero(to_left >= 0).tolist():
-                ks.append(keys[a + x])
-                ss.append(pos[a + x] - int(to_left[x]))
-                es.append(pos[a + x] + int(to_right[x]))
-        return pa.RecordBatch.from_arrays([pa.array(ks, pa.binary()), pa.array(ss, pa.int32()), pa.array(es, pa.int32())], ["k", "s", "e"])
+        pairs = zip(cut.tolist(), [*cut[1:].tolist(), len(h)], strict=True)
+        return solver((int(h[a]), keys[a:b], pos[a:b], lefts[a:b], rights[a:b]) for a, b in pairs if b - a > 1)
 
     def run(batches):
         held: list[pa.RecordBatch] = []
@@ -290,111 +337,185 @@ def _tree_rows(length: int):
     return run
 
 
-def _window_rows(length: int):
-    """Hashes of all windows around an anchor, for anchor strings of too many occurrences."""
+def _split(contexts: DataFrame, length: int, limit: int) -> tuple[list[DataFrame], DataFrame | None]:
+    """Groups too large for one task, split by longer context: (small groups, ranges of windows that large ones share).
+
+    Each level keeps, for a range a..b of window starts before the anchor, the
+    groups that agree on the bytes which all those windows have in common.
+    """
+    small: list[DataFrame] = []
+    width = length - GRAM + 1
+    rows = contexts.select("*", F.lit(0).alias("a"), F.lit(width - 1).alias("b"))
+    while True:
+        left, right = F.expr("substring(l, 1, a)"), F.substring("r", F.lit(1), length - F.col("b"))
+        whole = (F.octet_length("l") >= F.col("a")) & (F.octet_length("r") >= length - F.col("b"))
+        key = F.md5(F.concat(F.encode(F.concat_ws(",", F.col("h").cast("string"), F.col("a").cast("string")), "UTF-8"), left, F.lit(b"\x00"), right))
+        rows = written(rows.where(whole).withColumn("g", key), "split")
+        sizes = written(rows.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "split-sizes")
+        rows = rows.join(sizes, "g")
+        small.append(rows.where(F.col("n") <= limit).select(F.xxhash64("g").alias("h"), "k", "pos", "l", "r"))
+        rows = rows.where(F.col("n") > limit).drop("g", "n")
+        if width == 1:  # all members share the window that starts a bytes before the anchor
+            start = F.col("pos") - F.col("a")
+            return small, rows.select("k", start.alias("s"), (start + length).alias("e"), F.lit(length).alias("w"))
+        if sizes.where(F.col("n") > limit).isEmpty():
+            return small, None
+        step = -(-width // FAN)
+        rows = rows.withColumn("a", F.explode(F.sequence("a", "b", F.lit(step)))).withColumn("b", F.least(F.col("a") + (step - 1), "b"))
+        width = step
+
+
+def _cut_rows(lengths: tuple[int, ...]):
+    """Cuts the covered ranges out of each text, once for each length."""
+
+    def cut(raw: bytes, spans: list[tuple[int, int]]) -> tuple[int, int, bytes]:
+        kept, removed, runs, end = [], 0, 0, 0
+        for s, e in sorted(spans):
+            if runs and s <= end:
+                if e > end:
+                    removed, end = removed + e - end, e
+                continue
+            kept.append(raw[end:s])
+            removed, runs, end = removed + e - s, runs + 1, e
+        kept.append(raw[end:])
+        return removed, runs, b"".join(kept)
 
     def run(batches):
         for batch in batches:
-            for i in range(batch.num_rows):
-                l, r = batch.column("l")[i].as_py(), batch.column("r")[i].as_py()
-                data = np.frombuffer(l[::-1] + r, np.uint8)
-                count = min(len(data) - length, len(l)) + 1
-                if count < 1:
-                    continue
-                at = np.arange(count)
-                hashes = T.mix(T.span_hash(T.prefix_hash(data), at, at + length)).view(np.int64)
-                n = len(at)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, batch.column("h")[i].as_py())), pa.array(hashes), pa.array([batch.column("k")[i].as_py()] * n, pa.binary()), pa.array((batch.column("pos")[i].as_py() - len(l) + at).astype(np.int32))], ["h", "w", "k", "s"])
+            out: list[tuple] = []
+            keys, texts, spans = (batch.column(c) for c in ("k", "text", "spans"))
+            for i in range(len(keys)):
+                raw, found = texts[i].as_py().encode(), spans[i].as_py()
+                cuts = [cut(raw, [(x["s"], x["e"]) for x in found if x["w"] >= length]) for length in lengths]
+                removed, runs, rest = zip(*cuts, strict=True)
+                out.append((keys[i].as_py(), removed, runs, [hashlib.sha256(x).hexdigest() for x in rest], [x.decode("utf-8", "ignore") for x in rest]))
+            kinds = [("k", pa.binary()), ("n_removed", pa.list_(pa.int64())), ("n_spans", pa.list_(pa.int64())), ("sha", pa.list_(pa.string())), ("kept", pa.list_(pa.string()))]
+            cols = list(zip(*out, strict=True)) if out else [[] for _ in kinds]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, kinds, strict=True)], [n for n, _ in kinds])
 
     return run
 
 
-def _cut_rows(batches):
-    """Cuts the covered ranges out of each text."""
-    for batch in batches:
-        out: list[tuple] = []
-        keys, texts, spans = (batch.column(c) for c in ("k", "text", "spans"))
-        for i in range(len(keys)):
-            raw = texts[i].as_py().encode()
-            kept, removed, runs, end = [], 0, 0, 0
-            for s, e in sorted((x["s"], x["e"]) for x in spans[i].as_py()):
-                if runs and s <= end:
-                    if e > end:
-                        removed, end = removed + e - end, e
-                    continue
-                kept.append(raw[end:s])
-                removed, runs, end = removed + e - s, runs + 1, e
-            kept.append(raw[end:])
-            rest = b"".join(kept)
-            out.append((keys[i].as_py(), removed, runs, hashlib.sha256(rest).hexdigest(), rest.decode("utf-8", "ignore")))
-        kinds = [("k", pa.binary()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("sha", pa.string()), ("kept", pa.string())]
-        cols = list(zip(*out, strict=True)) if out else [[] for _ in kinds]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, kinds, strict=True)], [n for n, _ in kinds])
-
-
 def digest(text: str | Column) -> Column:
     """The 16 bytes that stand for a whole text."""
     return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
 
 
-def repeat_cuts(docs: DataFrame, length: int = 400, group_limit: int = GROUP_LIMIT) -> tuple[DataFrame, DataFrame]:
-    """(copies, cuts): the digests of texts that occur more than once, and what is cut from others.
-
-    ``docs`` needs a column text.  Rows of cuts: k (digest), n_removed, n_spans,
-    sha (of the bytes left), kept (the characters that are left whole).  Texts that keep all are absent.
-    """
-    if length <= GRAM:
+def _shared_contexts(docs: DataFrame, lengths: tuple[int, ...]) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(anchor rows by text, ranges of equal contexts, texts concerned, contexts of anchors that others share)."""
+    shortest, longest = min(lengths), max(lengths)
+    if shortest <= GRAM:
         raise ValueError(f"length must be over {GRAM}")
-    texts = docs.select(digest("text").alias("k"), "text").where(F.octet_length("text") >= length)
-    found = texts.mapInArrow(_anchor_rows(length), _ANCHOR).groupBy("k").agg(
-        F.count(F.lit(1)).alias("copies"), F.any_value(F.arrays_zip("h", "c", "pos", "lo", "hi")).alias("at"), F.any_value(F.arrays_zip("s", "e")).alias("own")
+    texts = docs.select(digest("text").alias("k"), "text").where(F.octet_length("text") >= shortest)
+    found = texts.mapInArrow(_anchor_rows(shortest, longest), _ANCHOR).groupBy("k").agg(
+        F.count(F.lit(1)).alias("copies"), F.any_value(F.arrays_zip("h", "c", "d", "pos", "lo", "hi")).alias("at"), F.any_value(F.arrays_zip("s", "e")).alias("own")
     )
     one = written(found, "anchors")
     # anchor strings that occur with another context, or in another text
     spots = one.select("k", F.inline("at"))
     shared = spots.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
     spots = written(spots.join(shared, "h"), "spots")
-    same = spots.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k", "pos")).alias("rep"))
+    same = spots.groupBy("h", "c", "d").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k", "pos")).alias("rep"))
     same = written(same, "contexts")
     ranges = one.select("k", F.inline("own"))
-    twice = same.where("n > 1").select("h", "c")
-    ranges = ranges.unionByName(spots.join(twice, ["h", "c"]).where(F.col("lo") + F.col("hi") >= length).select("k", (F.col("pos") - F.col("lo")).alias("s"), (F.col("pos") + F.col("hi")).alias("e")))
+    twice = same.where("n > 1").select("h", "c", "d")
+    ranges = ranges.unionByName(spots.join(twice, ["h", "c", "d"]).where(F.col("lo") + F.col("hi") >= shortest).select("k", (F.col("pos") - F.col("lo")).alias("s"), (F.col("pos") + F.col("hi")).alias("e")))
     groups = same.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     reps = same.join(groups, "h").select("h", "m", "rep.k", "rep.pos").groupBy("k").agg(F.collect_list(F.struct("h", "pos", "m")).alias("spots"))
     reps = written(reps, "representatives")
-    ranges = written(ranges, "ranges")
+    ranges = written(ranges.withColumn("w", F.col("e") - F.col("s")), "ranges")
     ids = written(reps.select("k").unionByName(ranges.select("k")).distinct(), "affected")
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
     some = written(texts.join(ids, "k", "left_semi").groupBy("k").agg(F.any_value("text").alias("text")), "affected-texts")
-    contexts = some.join(reps, "k").mapInArrow(_context_rows(length), "h long, m long, k binary, pos int, l binary, r binary")
-    small = contexts.where(F.col("m") <= group_limit).drop("m")
-    ranges = ranges.unionByName(small.repartition("h").sortWithinPartitions("h").mapInArrow(_tree_rows(length), "k binary, s int, e int"))
-    if not groups.where(F.col("m") > group_limit).isEmpty():
-        large = contexts.where(F.col("m") > group_limit).mapInArrow(_window_rows(length), "h long, w long, k binary, s int")
-        start = F.struct("k", "s")  # neighbouring anchors can show one window twice
-        again = large.groupBy("h", "w").agg(F.min(start).alias("a"), F.max(start).alias("b")).where("a != b").select("h", "w")
-        ranges = ranges.unionByName(large.join(again, ["h", "w"]).select("k", "s", (F.col("s") + length).alias("e")))
-    spans = written(ranges.groupBy("k").agg(F.collect_list(F.struct("s", "e")).alias("spans")), "spans")
-    cuts = some.join(spans, "k").mapInArrow(_cut_rows, "k binary, n_removed long, n_spans long, sha string, kept string")
-    return one.where("copies > 1").select("k"), cuts
-
-
-def repeat_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, group_limit: int = GROUP_LIMIT) -> DataFrame:
-    """Per document: id, n_bytes, n_removed, n_spans, kept_sha256 (of the bytes that stay)."""
+    discard(spots, same)
+    contexts = some.join(reps, "k").mapInArrow(_context_rows(longest), "h long, m long, k binary, pos int, l binary, r binary")
+    return one, ranges, some, contexts
+
+
+def _solved(contexts: DataFrame, solver, schema: str) -> DataFrame:
+    """Groups of contexts, each together in one task."""
+    return contexts.repartition("h").sortWithinPartitions("h").mapInArrow(_tree_rows(solver), schema)
+
+
+def repeat_cuts(docs: DataFrame, lengths: tuple[int, ...] = (400,), group_limit: int = GROUP_LIMIT) -> tuple[DataFrame, DataFrame]:
+    """(copies, cuts): the digests of texts that occur more than once, and what is cut from others.
+
+    ``docs`` needs a column text.  Rows of cuts: k (digest), and lists with one
+    entry for each of ``lengths``: n_removed, n_spans, sha (of the bytes left),
+    kept (the characters that are left whole).  Texts that keep all are absent.
+    """
+    one, ranges, some, contexts = _shared_contexts(docs, lengths)
+    schema = "k binary, s int, e int, w int"
+    ranges = ranges.unionByName(_solved(contexts.where(F.col("m") <= group_limit).drop("m"), _ranges(lengths), schema))
+    hot = written(contexts.where(F.col("m") > group_limit).drop("m"), "hot-contexts")
+    if not hot.isEmpty():
+        for length in lengths:
+            small, shared = _split(hot, length, group_limit)
+            for rows in small:
+                ranges = ranges.unionByName(_solved(rows, _ranges((length,)), schema))
+            if shared is not None:
+                ranges = ranges.unionByName(shared)
+    spans = written(ranges.groupBy("k").agg(F.collect_list(F.struct("s", "e", "w")).alias("spans")), "spans")
+    cuts = some.join(spans, "k").mapInArrow(_cut_rows(lengths), "k binary, n_removed array<long>, n_spans array<long>, sha array<string>, kept array<string>")
+    return one.where("copies > 1").select("k"), written(cuts, "cuts")
+
+
+def repeat_groups(docs: DataFrame, text_col: str = "text", length: int = 400, group_limit: int = GROUP_LIMIT) -> DataFrame:
+    """The maximal repeats of ``length`` bytes or more, with all their occurrences.
+
+    One row for each occurrence: h (anchor string), repeat (number of the
+    repeat at that anchor), length (bytes, up to twice ``length`` less 64), k
+    (digest of the text), start (byte offset).  Equal contexts are one
+    occurrence, that of the least text; a repeat with several anchors shows at
+    each.  An anchor with over ``group_limit`` contexts shows under the hashes
+    of the longer strings that it is split by.
+    """
+    docs = docs.select(F.col(text_col).cast("string").alias("text"))
+    _, _, _, contexts = _shared_contexts(docs, (length,))
+    schema = "h long, repeat int, length int, k binary, start int"
+    contexts = written(contexts, "all-contexts")
+    out = _solved(contexts.where(F.col("m") <= group_limit).drop("m"), _groups(length), schema)
+    hot = contexts.where(F.col("m") > group_limit).drop("m")
+    if not hot.isEmpty():
+        small, shared = _split(hot, length, group_limit)
+        for rows in small:
+            out = out.unionByName(_solved(rows, _groups(length), schema))
+        if shared is not None:
+            window = shared.join(docs.select(digest("text").alias("k"), "text").dropDuplicates(["k"]), "k")
+            bytes_ = F.substring(F.encode("text", "UTF-8"), F.col("s") + 1, F.lit(length))
+            out = out.unionByName(window.select(F.xxhash64(bytes_).alias("h"), F.lit(0).alias("repeat"), F.lit(length).alias("length"), "k", F.col("s").alias("start")))
+    return out
+
+
+def repeat_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, passage: int | None = None, group_limit: int = GROUP_LIMIT) -> DataFrame:
+    """Per document: id, n_bytes, n_removed, n_spans, kept_sha256 (of the bytes that stay).
+
+    With ``passage``, a shorter length, two columns more: n_passages, the runs
+    covered by repeated strings of that length, and text, what is left without
+    them (a null text stays null).
+    """
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    copies, cuts = repeat_cuts(docs, length, group_limit)
+    lengths = (length, passage) if passage else (length,)
+    copies, cuts = repeat_cuts(docs, lengths, group_limit)
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select("id", digest("text").alias("k"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("whole"))
+    rows = docs.select("id", digest("text").alias("k"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("whole"), *(["text"] if passage else []))
     twice = copies.select("k", F.lit(True).alias("twice"))
-    rows = rows.join(twice, "k", "left").join(cuts.drop("kept"), "k", "left")
-    gone = F.coalesce("twice", F.lit(False))
-    return rows.select(
+    rows = rows.join(twice, "k", "left").join(cuts if passage else cuts.drop("kept"), "k", "left")
+    gone = F.coalesce("twice", F.lit(False)) & (F.col("n_bytes") >= length)
+    out = [
         F.col("id").alias(id_col),
         "n_bytes",
-        F.when(gone, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
-        F.when(gone, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
-        F.when(gone, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("sha", "whole")).alias("kept_sha256"),
-    )
+        F.when(gone, F.col("n_bytes")).otherwise(F.coalesce(F.col("n_removed")[0], F.lit(0))).cast("long").alias("n_removed"),
+        F.when(gone, F.lit(1)).otherwise(F.coalesce(F.col("n_spans")[0], F.lit(0))).cast("long").alias("n_spans"),
+        F.when(gone, F.sha2(F.lit(""), 256)).otherwise(F.coalesce(F.col("sha")[0], "whole")).alias("kept_sha256"),
+    ]
+    if passage:
+        gone = F.coalesce("twice", F.lit(False))  # copies are of the shorter length at least
+        out += [
+            F.when(gone, F.lit(1)).otherwise(F.coalesce(F.col("n_spans")[1], F.lit(0))).cast("long").alias("n_passages"),
+            F.when(gone, F.lit("")).otherwise(F.coalesce(F.col("kept")[1], "text")).alias("text"),
+        ]
+    return rows.select(*out)
 
 
 def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = 400, group_limit: int = GROUP_LIMIT) -> DataFrame:
@@ -403,11 +524,10 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = 400, g
     Characters of which a cut leaves only some bytes are dropped; a null text stays null.
     """
     plain = docs.select(F.col(text_col).cast("string").alias("text"))
-    copies, cuts = repeat_cuts(plain, length, group_limit)
+    copies, cuts = repeat_cuts(plain, (length,), group_limit)
     key, twice, kept = "__digest", "__twice", "__kept"
     rows = docs.withColumn(key, digest(F.col(text_col).cast("string")))
     rows = rows.join(copies.select(F.col("k").alias(key), F.lit(True).alias(twice)), key, "left")
-    rows = rows.join(cuts.select(F.col("k").alias(key), F.col("kept").alias(kept)), key, "left")
+    rows = rows.join(cuts.select(F.col("k").alias(key), F.col("kept")[0].alias(kept)), key, "left")
     text = F.when(F.col(twice), F.lit("")).otherwise(F.coalesce(F.col(kept), F.col(text_col)))
     return rows.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
-

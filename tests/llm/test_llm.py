@@ -194,6 +194,54 @@ def test_suffix_dedup_equals_brute_force(spark, docs, limit):
     assert Counter(map(tuple, suffix_dedup.repeat_report(docs, group_limit=limit).collect())) == want
 
 
+@pytest.mark.parametrize("limit", [suffix_dedup.GROUP_LIMIT, 3])
+def test_suffix_dedup_of_two_lengths_at_once(spark, docs, limit):
+    rows = X.corpus()
+    long, short = (X.cut_repeats([t for _, t in rows], n) for n in (400, suffix_dedup.PASSAGE))
+    want = Counter(
+        (i, len((t or "").encode()), a[0], a[1], hashlib.sha256(a[2]).hexdigest(), b[1], None if t is None else b[2].decode("utf-8", "ignore")) for (i, t), a, b in zip(rows, long, short, strict=True)
+    )
+    assert Counter(map(tuple, suffix_dedup.repeat_report(docs, passage=suffix_dedup.PASSAGE, group_limit=limit).collect())) == want
+
+
+@pytest.mark.parametrize("limit", [500, 4])
+def test_hot_anchors_are_split_and_keep_all_repeats(spark, limit):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefgh", k=rng.randint(2, 8)))
+    core = " ".join(word() for _ in range(200))
+    rows = []
+    for i in range(40):  # one passage in many texts: whole, cut short on either side, or with a word changed
+        a, b = rng.randint(0, 300), rng.randint(700, len(core))
+        middle = core[a:b] if i % 3 else core[: 100 + 20 * i] + word() + core[100 + 20 * i :]
+        rows.append((i, " ".join(word() for _ in range(40)) + " " + middle + " " + " ".join(word() for _ in range(40))))
+    got = {x[0]: tuple(x[2:]) for x in suffix_dedup.repeat_report(X.frame(spark, rows), passage=suffix_dedup.PASSAGE, group_limit=limit).collect()}
+    long, short = (X.cut_repeats([t for _, t in rows], n) for n in (400, suffix_dedup.PASSAGE))
+    assert got == {i: (a[0], a[1], hashlib.sha256(a[2]).hexdigest(), b[1], b[2].decode()) for (i, _), a, b in zip(rows, long, short, strict=True)}
+    assert sum(x[0] > 0 for x in got.values()) > 15
+
+
+def test_suffix_dedup_of_a_very_long_text(spark):
+    rng = random.Random(6)
+    text = " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(300_000))  # 2 MB
+    rows = [(1, text), (2, "x " + text[1_000_000:1_000_900] + " y"), (3, None)]
+    got = {x[0]: tuple(x[1:4]) for x in suffix_dedup.repeat_report(X.frame(spark, rows)).collect()}
+    assert got == {1: (len(text), 900, 1), 2: (904, 900, 1), 3: (0, 0, 0)} or got == {1: (len(text), 902, 1), 2: (904, 902, 1), 3: (0, 0, 0)}
+
+
+def test_repeat_groups_have_all_occurrences(spark):
+    rng = random.Random(7)
+    fill = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    both = fill(500)
+    texts = [fill(300) + both + fill(200), fill(50) + both + fill(90), "q" + both[:430] + "q" + fill(20)]
+    rows = suffix_dedup.repeat_groups(X.frame(spark, list(enumerate(texts))), length=400).collect()
+    place = {hashlib.md5(t.encode()).digest(): t for t in texts}
+    groups: dict = {}
+    for r in rows:
+        groups.setdefault((r.h, r.repeat), []).append((place[bytes(r.k)][r.start : r.start + r.length]))
+    assert groups and all(len(set(g)) == 1 and len(g) > 1 for g in groups.values())
+    assert {len(g) for g in groups.values()} >= {2, 3}
+
+
 def test_suffix_dedup_of_random_repetitive_texts(spark):
     r = random.Random(5)
     parts = [X.prose(r.randint(5, 60), k) for k in range(9)] + ["ab" * 150, "a" * 420]
@@ -384,7 +432,7 @@ def test_pipeline_stages(spark, sf, tmp_path):
             assert new == {i: t for i, t in rows.items() if comp[(i, t)][1] == i}
         elif name == "suffix_array_dedup":
             ids = sorted(rows)
-            assert new == {i: kept.decode("utf-8", "ignore") for i, (_, _, kept) in zip(ids, X.cut_repeats([rows[i] for i in ids]), strict=True)}
+            assert new == {i: kept.decode("utf-8", "ignore") for i, (_, _, kept) in zip(ids, X.cut_repeats([rows[i] for i in ids], corpus_pipeline.PASSAGE_BYTES), strict=True)}
         else:
             assert set(new) <= set(rows) and len(new) > 0.9 * len(rows)
         before, rows = after, new
