@@ -17,6 +17,8 @@ from statloom.llm._stage import written
 
 #: Keys of near copies are broadcast up to this many rows (some 80 MB), else joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Repeated strings of so many bytes go: nearly any passage of over 50 words is as long.
+PASSAGE_BYTES = suffix_dedup.PASSAGE
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,8 +48,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts strings of 400 bytes that occur elsewhere; n_chars follows the text."""
-    left = suffix_dedup.remove_repeats(docs)
+    """Cuts strings of PASSAGE_BYTES bytes that occur elsewhere; n_chars follows the text."""
+    left = suffix_dedup.remove_repeats(docs, length=PASSAGE_BYTES)
     return left.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else left
 
 
