@@ -34,6 +34,8 @@ SIZES = (1, 2, 3, 4)
 #: Bytes of text that are solved at once.
 SOLVE_BYTES = 1 << 20
 UNDETERMINED = "und"
+#: Share of a language's penalty to which likelihoods are exact, and the rounds by which they are that at the latest.
+TOLERANCE, ROUNDS = 0.01, 2000
 
 _letters: np.ndarray | None = None
 
@@ -120,59 +122,74 @@ def fit_languages(labelled: DataFrame) -> LanguageModel | None:
     return LanguageModel(tuple(names.tolist()), n / n.sum(axis=0))
 
 
-def mixtures(likelihood: np.ndarray, owner: np.ndarray, gram: np.ndarray, texts: int, penalty: float, rounds: int) -> np.ndarray:
-    """The proportions of the languages (columns) in each text (rows); zeros for languages not in its set."""
+def mixtures(likelihood: np.ndarray, owner: np.ndarray, gram: np.ndarray, texts: int, penalty: float, rounds: int = ROUNDS) -> np.ndarray:
+    """The proportions of the languages (columns) in each text (rows); zeros for languages not in its set.
+
+    Each round of expectation-maximisation also bounds how much likelihood is
+    still to be won: with ``g`` the mean ratio of a language's likelihood to the
+    mixture's, at most ``n * (max(g) - 1)``.  A text is solved until that is
+    under TOLERANCE of the penalty, or until the bound decides its set.
+    """
     k = likelihood.shape[1]
     key, count = np.unique(owner * BUCKETS + gram, return_counts=True)
     who, p, count = key // BUCKETS, likelihood[key % BUCKETS], count.astype(float)
     first = np.searchsorted(who, np.arange(texts + 1))
     total = np.bincount(who, weights=count, minlength=texts)
     used = np.flatnonzero(np.diff(first))  # reduceat needs segments with rows
+    cost = penalty * np.log(np.maximum(total, 2))
 
-    def sums(x: np.ndarray) -> np.ndarray:
-        out = np.zeros((texts, x.shape[1]))
-        if len(used):
-            out[used] = np.add.reduceat(x, first[used], axis=0)
-        return out
+    def solve(start: np.ndarray, some: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Proportions and log-likelihood of the texts in ``some``, from a start whose zeros stay.
 
-    def solve(inside: np.ndarray, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Proportions and log-likelihood of the texts in ``some``, with the languages inside."""
+        A text is done early when its likelihood passes ``target`` or can no longer reach it; nan is no target.
+        """
+        mix, fit, inside = start.copy(), np.zeros(texts), start > 0
         rows = some[who]
         w, q, c = who[rows], p[rows], count[rows]
-        mix = inside / np.maximum(inside.sum(axis=1, keepdims=True), 1)
-        starts = np.flatnonzero(np.append(True, w[1:] != w[:-1])) if len(w) else np.zeros(0, np.int64)
-        ids = w[starts]
-        for _ in range(rounds):
-            share = mix[w] * q
-            share *= (c / np.maximum(share.sum(axis=1), 1e-300))[:, None]
-            mix[ids] = np.add.reduceat(share, starts, axis=0) / total[ids, None] if len(ids) else mix[ids]
-        fit = np.zeros(texts)
-        if len(ids):
-            fit[ids] = np.add.reduceat(c * np.log(np.maximum((mix[w] * q).sum(axis=1), 1e-300)), starts)
+        for done in range(1, rounds + 1):
+            if not len(w):
+                break
+            starts = np.flatnonzero(np.append(True, w[1:] != w[:-1]))
+            ids = w[starts]
+            s = np.maximum(np.einsum("ij,ij->i", mix[w], q), 1e-300)
+            g = np.add.reduceat(q * (c / s)[:, None], starts, axis=0) / total[ids, None]
+            left = total[ids] * (np.where(inside[ids], g, 0).max(axis=1) - 1)
+            if done % 4 == 1 or done == rounds:
+                fit[ids] = np.add.reduceat(c * np.log(s), starts)
+                over = (left <= TOLERANCE * cost[ids]) | (fit[ids] > target[ids]) | (fit[ids] + left <= target[ids])
+                if over.any():
+                    stays = np.zeros(texts, bool)
+                    stays[ids[~over]] = True
+                    kept = stays[w]
+                    w, q, c = w[kept], q[kept], c[kept]
+                    ids, g = ids[~over], g[~over]
+            mix[ids] *= g
         return mix, fit
 
-    inside = np.ones((texts, k), bool)
+    alone = np.zeros((texts, k))
+    if len(used):
+        alone[used] = np.add.reduceat(count[:, None] * np.log(p), first[used], axis=0)
+    best = np.zeros((texts, k))
+    best[np.arange(texts), alone.argmax(axis=1)] = 1
+    single = alone.max(axis=1)
     open_ = np.zeros(texts, bool)
     open_[used] = True
-    mix, fit = solve(inside, open_)
-    # most texts have one language: try the strongest alone first
-    best = np.zeros((texts, k), bool)
-    best[np.arange(texts), mix.argmax(axis=1)] = True
-    alone = sums(count[:, None] * np.log(p))[np.arange(texts), mix.argmax(axis=1)]
-    cost = penalty * np.log(np.maximum(total, 2))
-    single = open_ & (alone + (k - 1) * cost >= fit)
-    mix[single], inside[single], fit[single] = best[single], best[single], alone[single]
-    open_ &= ~single
+    # most texts have one language: more pay only if all together win more than one penalty
+    mix, fit = solve(0.7 * best + 0.3 / k, open_, single + cost)
+    open_ &= fit > single + cost
+    mix[~open_], fit[~open_] = best[~open_], single[~open_]
+    mix[open_], fit[open_] = (x[open_] for x in solve(mix, open_, np.full(texts, np.nan))) if open_.any() else (mix[open_], fit[open_])
     for _ in range(k - 1):  # drop the weakest language while that pays
+        inside = mix > 0
         open_ &= inside.sum(axis=1) > 1
         if not open_.any():
             break
-        weakest = np.where(inside, mix, np.inf).argmin(axis=1)
-        fewer = inside.copy()
-        fewer[np.flatnonzero(open_), weakest[open_]] = False
-        new, lower = solve(fewer, open_)
+        fewer = np.where(inside, np.maximum(mix, 1e-3), 0)
+        fewer[np.flatnonzero(open_), np.where(inside, mix, np.inf).argmin(axis=1)[open_]] = 0
+        fewer /= np.maximum(fewer.sum(axis=1, keepdims=True), 1e-300)
+        new, lower = solve(fewer, open_, np.full(texts, np.nan))
         better = open_ & (lower + cost >= fit)
-        mix[better], inside[better], fit[better] = new[better], fewer[better], lower[better]
+        mix[better], fit[better] = new[better], lower[better]
         open_ = better
     mix[np.diff(first) == 0] = 0
     return mix
@@ -198,7 +215,7 @@ def _predict_rows(model: LanguageModel | None, penalty: float, rounds: int):
     return run
 
 
-def identify_languages(docs: DataFrame, model: LanguageModel | None, text_col: str = "text", keep: tuple[str, ...] = (), penalty: float = 2.0, rounds: int = 6) -> DataFrame:
+def identify_languages(docs: DataFrame, model: LanguageModel | None, text_col: str = "text", keep: tuple[str, ...] = (), penalty: float = 2.0, rounds: int = ROUNDS) -> DataFrame:
     """The columns ``keep`` of each row, lang_pred and score."""
     rows = docs.select(*keep, F.col(text_col).cast("string").alias("text"))
     kinds = dict(rows.dtypes)
