@@ -2,16 +2,18 @@
 
 A rule names a host and a path prefix; it fits the host and its subdomains, and
 the longest fitting rule decides.  Where no rule fits, a cascade decides whether
-the host is listed.  Its first level is a Bloom filter of the listed hosts, the
-second one of the hosts that the first passes wrongly, and so on in turn until
-nothing is wrong.  The key universe is complete (all hosts of the pages and of
-the list), so membership is exact, and a page is judged by its own bits alone:
-no join with the list.
-
-The universe's distinct hosts are dealt into shards by hash, about
+the host or a domain that it is in is listed.  Its first level is a Bloom filter
+of the listed domains, the second one of the names that the first passes
+wrongly, and so on in turn until nothing is wrong.  The key universe is complete
+(all hosts of the pages and the domains they are in, and the list), so
+membership is exact, and a page is judged by its own bits alone: no join with
+the list.
+
+The universe's distinct names are dealt into shards by hash, about
 ``SHARD_KEYS`` in each, and each task builds the cascade of its shard.  The
-cascades take about two bytes for a listed host; up to ``BROADCAST_BYTES`` they
-are sent to the executors, beyond that they are joined to the pages by shard.
+cascades take about two bytes for a listed name and are broadcast; beyond
+``BROADCAST_BYTES`` the pages are judged in several passes, each with the
+cascades of some shards.
 
 A null url, or one without ``://``, has an empty host and path, fits no rule and
 is not listed.  Rows that repeat keep their own results; other columns are
@@ -30,7 +32,7 @@ from ._stage import written
 
 #: Distinct hosts that one task builds a cascade of.
 SHARD_KEYS = 200_000
-#: Bytes of all cascades up to which they are broadcast.
+#: Bytes of cascades that are broadcast at once.
 BROADCAST_BYTES = 64 << 20
 MAX_LEVELS = 64
 
@@ -97,10 +99,6 @@ def in_cascade(levels: list[tuple[int, int, np.ndarray]], h1: np.ndarray, h2: np
     return passed % 2 == 1
 
 
-def _hashes(batch, names=("h1", "h2")) -> tuple[np.ndarray, np.ndarray]:
-    return tuple(batch.column(n).to_numpy().view(np.uint64) for n in names)
-
-
 def _build_rows(table: pa.Table) -> pa.Table:
     listed = table["listed"].to_numpy()
     h = [table[c].to_numpy().view(np.uint64) for c in ("h1", "h2")]
@@ -109,68 +107,71 @@ def _build_rows(table: pa.Table) -> pa.Table:
     return pa.table({"shard": pa.array([table["shard"][0].as_py()] * n, pa.int64()), "level": pa.array(range(n), pa.int32()), "m": pa.array([x[0] for x in levels], pa.int64()), "k": pa.array([x[1] for x in levels], pa.int32()), "bits": pa.array([x[2] for x in levels], pa.binary())})
 
 
-def _keyed(df: DataFrame, shards: int) -> DataFrame:
-    h1 = F.xxhash64("host")
-    return df.withColumns({"h1": h1, "h2": F.xxhash64(F.reverse("host")), "shard": F.pmod(h1, F.lit(shards))})
-
-
 def host_cascades(universe: DataFrame, listed: DataFrame) -> tuple[DataFrame, int]:
     """(cascade levels by shard, number of shards) of two tables with a column host."""
     keys = universe.select("host", F.lit(False).alias("listed")).unionByName(listed.select("host", F.lit(True).alias("listed")))
     keys = written(keys.where("host is not null").groupBy("host").agg(F.max("listed").alias("listed")), "hosts")
     shards = max(16, -(-keys.count() // SHARD_KEYS))
-    rows = _keyed(keys, shards).drop("host")
+    h1 = F.xxhash64("host")
+    rows = keys.select(h1.alias("h1"), F.xxhash64(F.reverse("host")).alias("h2"), F.pmod(h1, F.lit(shards)).alias("shard"), "listed")
     built = rows.groupBy("shard").applyInArrow(_build_rows, "shard long, level int, m long, k int, bits binary")
     return written(built, "cascade"), shards
 
 
-def _probe_rows(cascades: dict[int, list[tuple[int, int, bytes]]]):
+def _domains(host_col: str) -> Column:
+    """A host and the domains that it is in, by cutting labels off; none for an empty host."""
+    labels = F.split(host_col, r"\.")
+    cut = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    return F.when(F.col(host_col) == "", F.array().cast("array<string>")).otherwise(cut)
+
+
+def _probe_rows(cascades, shards: int):
+    """Marks the rows of which some name is in the cascades that are at hand."""
+
     def run(batches):
-        ready = {s: [(m, k, np.frombuffer(b, np.uint8)) for m, k, b in x] for s, x in cascades.items()}
+        ready = {s: [(m, k, np.frombuffer(b, np.uint8)) for m, k, b in x] for s, x in cascades.value.items()}
         for batch in batches:
-            h1, h2 = _hashes(batch)
-            shard, out = batch.column("shard").to_numpy(), np.zeros(batch.num_rows, bool)
+            names = batch.column("h1")
+            owner = np.repeat(np.arange(batch.num_rows), names.value_lengths().fill_null(0).to_numpy())
+            h1, h2 = (batch.column(c).flatten().to_numpy().view(np.uint64) for c in ("h1", "h2"))
+            shard, out = h1.view(np.int64) % shards, batch.column("listed").to_numpy(zero_copy_only=False).copy()
             for s in np.unique(shard).tolist():
-                at = np.flatnonzero(shard == s)
-                out[at] = in_cascade(ready.get(s, []), h1[at], h2[at])
-            names = [n for n in batch.schema.names if n not in ("h1", "h2", "shard")]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(out)], [*names, "listed"])
+                if s in ready:
+                    at = np.flatnonzero(shard == s)
+                    out[owner[at[in_cascade(ready[s], h1[at], h2[at])]]] = True
+            yield pa.RecordBatch.from_arrays([pa.array(out) if c == "listed" else batch.column(c) for c in batch.schema.names], batch.schema.names)
 
     return run
 
 
-def _joined_rows(batches):
-    for batch in batches:
-        h1, h2 = _hashes(batch)
-        out = np.zeros(batch.num_rows, bool)
-        shard, levels, last = batch.column("shard").to_pylist(), batch.column("levels"), None
-        for i, s in enumerate(shard):
-            if s != last:
-                ready, last = [(x["m"], x["k"], np.frombuffer(x["bits"], np.uint8)) for x in levels[i].as_py() or []], s
-            out[i] = in_cascade(ready, h1[i : i + 1], h2[i : i + 1])[0]
-        names = [n for n in batch.schema.names if n not in ("h1", "h2", "shard", "levels")]
-        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(out)], [*names, "listed"])
-
-
 def url_verdicts(pages: DataFrame, rules: list[tuple[str, str, str]], listed: DataFrame, id_col: str = "page_id", url_col: str = "url", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Per page: id, host, path, rule (or null), verdict (allow or block).
 
-    ``rules`` are (allow or block, host, path prefix); ``listed`` has a column host.
+    ``rules`` are (allow or block, host, path prefix); ``listed`` has a column host: domains to block with all below them.
     """
     pages = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"))
     pages = pages.select("id", host("url").alias("host"), path("url").alias("path"))
-    cascades, shards = host_cascades(pages.select("host").distinct(), listed.where("host != ''"))
-    rows = _keyed(pages, shards)
-    size = cascades.agg(F.coalesce(F.sum(F.length("bits")), F.lit(0))).first()[0]
-    schema = "id {}, host string, path string, listed boolean".format(dict(pages.dtypes)["id"])
-    if size <= broadcast_bytes:
-        found: dict[int, list] = {}
-        for r in cascades.orderBy("shard", "level").collect():
-            found.setdefault(r["shard"], []).append((r["m"], r["k"], bytes(r["bits"])))
-        rows = rows.mapInArrow(_probe_rows(found), schema)
-    else:
-        levels = cascades.groupBy("shard").agg(F.transform(F.array_sort(F.collect_list(F.struct("level", "m", "k", "bits"))), lambda x: F.struct(x["m"].alias("m"), x["k"].alias("k"), x["bits"].alias("bits"))).alias("levels"))
-        rows = rows.join(levels, "shard", "left").mapInArrow(_joined_rows, schema)
+    names = pages.select("host").distinct().select(F.explode(_domains("host")).alias("host"))
+    cascades, shards = host_cascades(names, listed.where("host != ''"))
+    hashes = [F.transform(_domains("host"), f).alias(n) for n, f in (("h1", lambda x: F.xxhash64(x)), ("h2", lambda x: F.xxhash64(F.reverse(x))))]
+    rows = pages.select("*", *hashes, F.lit(False).alias("listed"))
+    schema = rows.schema
+    size = 0
+    sizes = cascades.groupBy("shard").agg(F.sum(F.length("bits")).alias("n")).orderBy("shard").collect()  # one row for each shard
+    passes: list[list[int]] = [[]]
+    for r in sizes:
+        if passes[-1] and size + r["n"] > broadcast_bytes:
+            passes.append([])
+            size = 0
+        passes[-1].append(r["shard"])
+        size += r["n"]
+    for k, some in enumerate(passes):
+        held: dict[int, list] = {}
+        for r in cascades.where(F.col("shard").isin(some)).orderBy("shard", "level").collect():
+            held.setdefault(r["shard"], []).append((r["m"], r["k"], bytes(r["bits"])))
+        if k:
+            rows = written(rows, "judged")
+        rows = rows.mapInArrow(_probe_rows(pages.sparkSession.sparkContext.broadcast(held), shards), schema)
     rule, verdict = rule_of(rules, "host", "path")
     by_list = F.when(F.col("listed"), "block").otherwise("allow")
     return rows.select(F.col("id").alias(id_col), "host", "path", rule.alias("rule"), F.coalesce(verdict, by_list).alias("verdict"))
