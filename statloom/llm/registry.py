@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from . import chat_format, decontaminate, importance, jaccard_join, language_id, license_scan, packing, quality_rules, suffix_dedup, tokens, url_filter
 
@@ -60,16 +59,14 @@ URL_RULES = [
     ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
 ]
-#: Host labels of sites that are listed as unwanted.
-LISTED_LABELS = ("ads-track", "spam-farm", "casino-win", "adult-x", "cheap-pills", "free-bets")
+#: Domains that are listed as unwanted, with all below them.
+LISTED_DOMAINS = tuple(f"{name}.example.{top}" for name in ("ads-track", "spam-farm", "casino-win", "adult-x", "cheap-pills", "free-bets") for top in ("com", "net", "org"))
 
 
 def op10_url_filters(spark: SparkSession, sf: str) -> DataFrame:
-    """The verdict of each page's url: a rule's, or the cascade's over listed hosts."""
-    pages = table(spark, sf, "pages")
-    hosts = pages.select(url_filter.host("url").alias("host")).distinct()
-    listed = hosts.where(F.arrays_overlap(F.split("host", r"\."), F.array(*map(F.lit, LISTED_LABELS))))
-    return url_filter.url_verdicts(pages, URL_RULES, listed)
+    """The verdict of each page's url: a rule's, or the cascade's over listed domains."""
+    listed = spark.createDataFrame([(x,) for x in LISTED_DOMAINS], "host string")
+    return url_filter.url_verdicts(table(spark, sf, "pages"), URL_RULES, listed)
 
 
 def _url_sql() -> str:
@@ -78,18 +75,17 @@ def _url_sql() -> str:
     fits = [f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')" for _, h, p in rules]
     rule = " ".join(f"WHEN {f} THEN '{h + p}'" for f, (_, h, p) in zip(fits, rules, strict=True))
     said = " ".join(f"WHEN {f} THEN '{v}'" for f, (v, _, _) in zip(fits, rules, strict=True))
-    labels = ", ".join(f"'{x}'" for x in LISTED_LABELS)
+    listed = " OR ".join(f"host = '{x}' OR ends_with(host, '.{x}')" for x in LISTED_DOMAINS)
     return f"""WITH r AS (SELECT page_id, coalesce({rest}, '') AS rest FROM pages),
     u AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
       regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r)
     SELECT page_id, host, path, CASE {rule} END AS rule,
-      CASE {said} WHEN list_has_any(string_split(host, '.'), [{labels}]) THEN 'block' ELSE 'allow' END AS verdict FROM u"""
+      CASE {said} WHEN {listed} THEN 'block' ELSE 'allow' END AS verdict FROM u"""
 
 
 def op4_chat_formatting(spark: SparkSession, sf: str) -> DataFrame:
-    """Neighbouring conversations as chosen and rejected: shared prompt, masked completions."""
-    turns = table(spark, sf, "conversations")
-    return chat_format.segments(turns, chat_format.neighbour_pairs(turns))
+    """Each conversation against itself with another's last answer: shared prompt, masked completions."""
+    return chat_format.preference_records(table(spark, sf, "conversations"))
 
 
 def op8_license_scans(spark: SparkSession, sf: str) -> DataFrame:

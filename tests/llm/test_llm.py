@@ -3,7 +3,9 @@ import math
 import random
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -156,6 +158,34 @@ def test_language_mixtures():
     assert mix[1].tolist() == [0, 0, 0] and mix[2].tolist() == [0, 1, 0]
 
 
+def test_language_mixtures_equal_brute_force():
+    rng = np.random.default_rng(9)
+    like = rng.dirichlet(np.full(language_id.BUCKETS, 0.01), size=4).T + 1e-7
+    like /= like.sum(axis=0)
+    shares = [(1, 0, 0, 0), (0.7, 0.3, 0, 0), (0.5, 0.2, 0.3, 0), (0.9, 0.1, 0, 0), (0.25, 0.25, 0.25, 0.25), (0.97, 0, 0, 0.03)]
+    grams = [rng.choice(language_id.BUCKETS, n, p=like @ np.array(s)) for s in shares for n in (40, 300, 1500)]
+    mix = language_id.mixtures(like, np.repeat(np.arange(len(grams)), [len(g) for g in grams]), np.concatenate(grams), len(grams), 2.0)
+    for i, g in enumerate(grams):  # all sets of languages, solved to the end
+
+        def fit(names):
+            q, m = like[np.ix_(g, names)], np.full(len(names), 1 / len(names))
+            for _ in range(5000):
+                m = m * (q / (q @ m)[:, None]).mean(axis=0)
+            return np.log(q @ m).sum(), m
+
+        cost, names = 2.0 * np.log(len(g)), [0, 1, 2, 3]
+        best = fit(names)
+        while len(names) > 1:
+            fewer = [x for x, _ in sorted(zip(names, best[1], strict=True), key=lambda y: -y[1])][:-1]
+            lower = fit(fewer)
+            if lower[0] + cost < best[0]:
+                break
+            names, best = fewer, lower
+        want = np.zeros(4)
+        want[names] = best[1]
+        assert np.abs(mix[i] - want).max() < 0.03
+
+
 def test_language_held_out_accuracy(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     out = language_id.language_report(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out")
@@ -184,6 +214,27 @@ def test_chat_formatting(spark):
     assert chat_format.segments(turns.limit(0), chat_format.neighbour_pairs(turns.limit(0))).collect() == []
 
 
+def test_preference_records_of_swapped_answers(spark):
+    rows = [(0, 0, "user", "q"), (0, 1, "assistant", "a"), (0, 1, "assistant", "a"), (0, 2, "user", "more"), (0, 3, "assistant", "good"), (0, 4, "user", None)]
+    rows += [(1, 0, "user", "other"), (1, 1, "assistant", "bad"), (2, 0, "user", "no mate"), (2, 1, "assistant", "x"), (4, 0, "user", "same"), (4, 1, "assistant", "y"), (5, 7, "assistant", "y"), (6, 0, "user", "mute"), (7, 0, "assistant", "z"), (None, 1, "user", "lost")]
+    rows += [(8, t, "user" if t % 2 == 0 else "assistant", f"t{t}") for t in range(200)] + [(9, 0, "assistant", "w")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("c", F.lit(1))
+    got = {(r[0], r[1]): tuple(r)[2:] for r in chat_format.preference_records(turns).collect()}
+    say = lambda role, text: f"<|{role}|>\n{text}<|end|>\n"
+    prompt = say("user", "q") + say("assistant", "a") + say("user", "more")
+    n, m = len(say("assistant", "good")), len(say("assistant", "bad"))
+    assert got[0, 0] == (prompt, say("assistant", "good") + say("user", ""), say("assistant", "bad") + say("user", ""), f"0-{n}", f"0-{m}")
+    assert got[1, 0] == (say("user", "other"), say("assistant", "bad"), say("assistant", "good"), f"0-{m}", f"0-{n}")
+    assert got[2, 0] == (say("user", "no mate") + say("assistant", "x"), "", "", "", "")
+    assert got[4, 0] == (say("user", "same") + say("assistant", "y"), "", "", "", "")  # equal answers
+    assert got[6, 0] == (say("user", "mute"), "", "", "", "")
+    assert [k for p, k in sorted(got) if p == 8] == [0, 1, 2, 3] and got[8, 3][1] == say("assistant", "t199") and got[8, 0][1] == ""
+    assert chat_format.preference_records(turns.limit(0)).collect() == []
+    c = duckdb.connect()
+    c.register("conversations", pa.Table.from_pylist([dict(zip(("conv_id", "turn", "role", "text"), r, strict=True)) for r in rows]))
+    assert {(r[0], r[1]): r[2:] for r in c.execute(chat_format.SQL).fetchall()} == got
+
+
 # 5. repeated passages
 
 
@@ -393,6 +444,8 @@ def test_url_verdicts(spark):
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumns({"host": F.lit(1), "level": F.lit("x")})
     listed = spark.createDataFrame([("bad.net",), ("bad.com",), ("elsewhere.io",), (None,)], "host string")
     want = {0: ("", "", None, "allow"), 1: ("", "", None, "allow"), 2: ("", "", None, "allow"), 3: ("a.example.org", "/es/1", "example.org/es/", "block"), 4: ("example.org", "/en/15", "example.org/en/1", "block"), 5: ("example.org", "/en/2", "org/", "allow"), 6: ("x.com", "/fr/a", "com/fr/", "allow"), 7: ("x.com", "/de/", "com/de/", "block"), 8: ("notcom", "/de/", None, "allow"), 9: ("com", "/de/a", "com/de/", "block"), 10: ("bad.net", "", None, "block"), 11: ("bad.net", "/fr/", None, "block"), 12: ("ok.net", "", None, "allow"), 13: ("bad.com", "/fr/1", "com/fr/", "allow"), 14: ("weird", "", None, "allow"), 15: ("org", "", None, "allow")}
+    below = spark.createDataFrame([(1, "http://a.b.bad.net/x"), (2, "http://notbad.net"), (3, "http://bad.net."), (4, "http://x..bad.net")], "page_id long, url string")
+    assert {r[0]: r["verdict"] for r in url_filter.url_verdicts(below, llm_registry.URL_RULES, listed).collect()} == {1: "block", 2: "allow", 3: "allow", 4: "block"}
     for limit in (url_filter.BROADCAST_BYTES, 0):
         got = {r[0]: tuple(r)[1:] for r in url_filter.url_verdicts(pages, llm_registry.URL_RULES, listed, broadcast_bytes=limit).collect()}
         assert got == want
