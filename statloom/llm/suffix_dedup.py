@@ -23,12 +23,11 @@ longest the contexts:
     bytes to the left and ``r`` to the right covers its occurrences if
     ``l + r >= length``.  ``repeat_groups`` returns the groups themselves.
 5.  An anchor string with more than ``GROUP_LIMIT`` contexts is split by longer
-    context: a repeat's window starts ``t`` bytes before the anchor, and those
-    with ``a <= t <= b`` share ``a`` bytes to the left and ``length - b`` to the
-    right.  Groups of these longer strings go to the tree when they are small
-    enough, else the range of ``t`` is split again, down to one ``t``: then all
-    members share the window, which is the whole tree.  Nothing is left out and
-    no task gets more than ``GROUP_LIMIT`` contexts of one group.
+    context: the windows that start ``a`` to ``b`` bytes before the anchor share
+    ``a`` bytes to the left and ``length - b`` to the right.  The groups of these
+    longer strings go to the tree; one that is still too large is followed to the
+    leaves of its tree at once, which are its windows, counted by hash over all
+    tasks.  Nothing is left out.
 6.  The covered ranges of a text are merged and cut out.
 
 Matches never cross texts.  Repeats are reported up to the context's bounds;
@@ -53,9 +52,9 @@ from ._stage import discard, written
 GRAM = 64
 #: Bytes that nearly any passage of over 50 words has.
 PASSAGE = 270
-#: Different contexts of one anchor string that go to one task together; larger groups are split.
-GROUP_LIMIT = 500
-#: Parts into which a range of window starts is split.
+#: Different contexts of one anchor string that go to one task together (16 MB, 4 s); larger groups are split.
+GROUP_LIMIT = 20_000
+#: Parts into which the windows of a larger group are split.
 FAN = 4
 #: Digests of texts with shared anchors are broadcast up to this many rows (20 MB).
 BROADCAST_ROWS = 400_000
@@ -196,45 +195,39 @@ class _LeftOrder:
 
     def __init__(self, lefts: list[bytes]):
         order, prefixes = _sorted_with_prefixes(lefts)
-        self.rank = np.empty(len(lefts), np.int64)
-        self.rank[order] = np.arange(len(lefts))
+        n = len(lefts)
+        self.rank = np.empty(n, np.int64)
+        self.rank[order] = np.arange(n)
         self.order = np.array(order)
-        self.table = [prefixes]
-        step = 1
-        while 2 * step <= len(prefixes):
-            last = self.table[-1]
-            self.table.append(np.minimum(last[:-step], last[step:]))
-            step *= 2
+        self.table = np.zeros((n.bit_length(), n), np.int64)
+        self.table[0] = prefixes
+        for k in range(1, len(self.table)):
+            step, end = 1 << (k - 1), n - (1 << k) + 1
+            self.table[k, :end] = np.minimum(self.table[k - 1, :end], self.table[k - 1, step : step + end])
+
+    def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The common prefixes of the contexts at ranks a and b, a under b."""
+        level = np.frexp(b - a)[1] - 1
+        return np.minimum(self.table[level, a + 1], self.table[level, b - (1 << level) + 1])
 
     def prefixes(self, ranks: np.ndarray) -> np.ndarray:
         """The common prefix of each of some sorted ranks with the one before (first: 0)."""
-        out = np.zeros(len(ranks), np.int64)
-        a, n = ranks[:-1] + 1, np.diff(ranks)
-        level = np.log2(n).astype(np.int64)
-        for k in np.unique(level):
-            at = np.flatnonzero(level == k)
-            t = self.table[k]
-            out[at + 1] = np.minimum(t[a[at]], t[a[at] + n[at] - (1 << k)])
-        return out
+        return np.append(0, self.common(ranks[:-1], ranks[1:]))
 
 
-def interval_tree(lefts: list[bytes], rights: list[bytes], length: int):
-    """(r, members, l, child) of each interval of the suffixes ``rights`` that has a repeat of ``length`` bytes.
+def interval_tree(left: _LeftOrder, rights: list[bytes]):
+    """(r, ranks, child) of each interval of the suffixes ``rights``, inner before outer.
 
-    The members share ``r`` bytes to the right; they are in the order of their
-    left contexts.  ``l`` has the bytes that each shares with the one before,
-    ``child`` the interval below this one that each is in.
+    The members share ``r`` bytes to the right; ``ranks`` are their places in
+    the order of left contexts, ascending, and ``child`` numbers the intervals
+    below this one that they are in.
     """
     order, prefixes = _sorted_with_prefixes(rights)
-    left, order = _LeftOrder(lefts), np.array(order)
+    order = np.array(order)
     for r, first, end in _intervals(prefixes, GRAM):
-        inner = left.rank[order[first:end]]
-        by_left = np.argsort(inner)
-        ranks = inner[by_left]
-        shared = left.prefixes(ranks)
-        if shared.max() + r >= length:
-            child = np.append(0, np.cumsum(prefixes[first + 1 : end] == r))
-            yield r, left.order[ranks], shared, child[by_left]
+        ranks = left.rank[order[first:end]]
+        by_left = np.argsort(ranks)
+        yield r, ranks[by_left], np.append(0, np.cumsum(prefixes[first + 1 : end] == r))[by_left]
 
 
 def maximal_repeats(lefts: list[bytes], rights: list[bytes], length: int):
@@ -244,29 +237,48 @@ def maximal_repeats(lefts: list[bytes], rights: list[bytes], length: int):
     is maximal if its members come from more than one interval below too, so
     that the bytes after the ``r`` common ones differ as well.
     """
-    if len(lefts) == 2:  # the tree of two suffixes is one interval
-        l, r = _common(*lefts), _common(*rights)
-        if l + r >= length and r >= GRAM:
-            yield l, r, np.arange(2)
-        return
-    for r, members, shared, child in interval_tree(lefts, rights, length):
+    left = _LeftOrder(lefts)
+    for r, ranks, child in interval_tree(left, rights):
         differs = np.append(0, np.cumsum(child[1:] != child[:-1]))
-        for l, first, end in _intervals(shared, max(0, length - r)):
+        for l, first, end in _intervals(left.prefixes(ranks), max(0, length - r)):
             if differs[end - 1] > differs[first]:
-                yield l, r, members[first:end]
+                yield l, r, left.order[ranks[first:end]]
 
 
 def covered(lefts: list[bytes], rights: list[bytes], lengths: tuple[int, ...]) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each length, how far to the left and right of each anchor its maximal repeats reach; -1 for none.
 
+    The maximal repeat with the most bytes to the left of a member of an
+    interval has it and the nearest left context from another interval below.
     All repeats through an anchor hold it, so together they cover one range.
     """
     out = [(np.full(len(lefts), -1), np.full(len(lefts), -1)) for _ in lengths]
-    for l, r, members in maximal_repeats(lefts, rights, min(lengths)):
+    if len(lefts) == 2:  # the tree of two suffixes is one interval
+        l, r = _common(*lefts), _common(*rights)
         for length, (to_left, to_right) in zip(lengths, out, strict=True):
             if l + r >= length:
-                to_left[members] = np.maximum(to_left[members], l)
-                to_right[members] = np.maximum(to_right[members], r)
+                to_left[:], to_right[:] = l, r
+        return out
+    left, least = _LeftOrder(lefts), min(lengths)
+    for r, ranks, child in interval_tree(left, rights):
+        n = len(ranks)
+        edge = np.append(True, child[1:] != child[:-1])
+        first = np.flatnonzero(edge)
+        run = np.cumsum(edge) - 1
+        before, after = first[run] - 1, np.append(first[1:], n)[run]  # nearest of another interval below
+        l = np.full(n, -1)
+        some = np.flatnonzero(before >= 0)
+        l[some] = left.common(ranks[before[some]], ranks[some])
+        some = np.flatnonzero(after < n)
+        l[some] = np.maximum(l[some], left.common(ranks[some], ranks[after[some]]))
+        if l.max() + r < least:
+            continue
+        members = left.order[ranks]
+        for length, (to_left, to_right) in zip(lengths, out, strict=True):
+            far = l + r >= length
+            who = members[far]
+            to_left[who] = np.maximum(to_left[who], l[far])
+            to_right[who] = np.maximum(to_right[who], r)
     return out
 
 
@@ -337,32 +349,49 @@ def _tree_rows(solver):
     return run
 
 
-def _split(contexts: DataFrame, length: int, limit: int) -> tuple[list[DataFrame], DataFrame | None]:
-    """Groups too large for one task, split by longer context: (small groups, ranges of windows that large ones share).
+def _window_rows(length: int):
+    """128-bit hashes of the windows that start a to b bytes before an anchor."""
+
+    def run(batches):
+        for batch in batches:
+            h1, h2, keys, starts = [], [], [], []
+            for x in batch.to_pylist():
+                data = np.frombuffer(x["l"][::-1] + x["r"], np.uint8)
+                first = max(0, len(x["l"]) - x["b"])
+                at = np.arange(first, min(len(x["l"]) - x["a"], len(data) - length) + 1)
+                for out, second in ((h1, False), (h2, True)):
+                    out.append(T.mix(T.span_hash(T.prefix_hash(data, second=second), at, at + length)).view(np.int64))
+                keys += [x["k"]] * len(at)
+                starts.append(x["pos"] - len(x["l"]) + at)
+            if keys:
+                columns = [pa.array(np.concatenate(c)) for c in (h1, h2)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(keys, pa.binary()), pa.array(np.concatenate(starts).astype(np.int32))], ["w1", "w2", "k", "s"])
+
+    return run
+
+
+def _split(contexts: DataFrame, length: int, limit: int) -> tuple[DataFrame, DataFrame]:
+    """Groups too large for one task, split by longer context: (groups for the tree, windows that larger ones share).
 
-    Each level keeps, for a range a..b of window starts before the anchor, the
-    groups that agree on the bytes which all those windows have in common.
+    The windows that start ``a`` to ``b`` bytes before an anchor have ``a`` bytes
+    to the left and ``length - b`` to the right in common, so the contexts that
+    share one of them agree on these.  Where more than ``limit`` agree, the tree
+    is followed to its leaves at once: the windows themselves, counted by hash.
     """
-    small: list[DataFrame] = []
-    width = length - GRAM + 1
-    rows = contexts.select("*", F.lit(0).alias("a"), F.lit(width - 1).alias("b"))
-    while True:
-        left, right = F.expr("substring(l, 1, a)"), F.substring("r", F.lit(1), length - F.col("b"))
-        whole = (F.octet_length("l") >= F.col("a")) & (F.octet_length("r") >= length - F.col("b"))
-        key = F.md5(F.concat(F.encode(F.concat_ws(",", F.col("h").cast("string"), F.col("a").cast("string")), "UTF-8"), left, F.lit(b"\x00"), right))
-        rows = written(rows.where(whole).withColumn("g", key), "split")
-        sizes = written(rows.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "split-sizes")
-        rows = rows.join(sizes, "g")
-        small.append(rows.where(F.col("n") <= limit).select(F.xxhash64("g").alias("h"), "k", "pos", "l", "r"))
-        rows = rows.where(F.col("n") > limit).drop("g", "n")
-        if width == 1:  # all members share the window that starts a bytes before the anchor
-            start = F.col("pos") - F.col("a")
-            return small, rows.select("k", start.alias("s"), (start + length).alias("e"), F.lit(length).alias("w"))
-        if sizes.where(F.col("n") > limit).isEmpty():
-            return small, None
-        step = -(-width // FAN)
-        rows = rows.withColumn("a", F.explode(F.sequence("a", "b", F.lit(step)))).withColumn("b", F.least(F.col("a") + (step - 1), "b"))
-        width = step
+    step = -(-(length - GRAM + 1) // FAN)
+    spans = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(min(a + step - 1, length - GRAM)).alias("b")) for a in range(0, length - GRAM + 1, step)])
+    rows = contexts.select("*", F.inline(spans))
+    rows = rows.where((F.octet_length("l") >= F.col("a")) & (F.octet_length("r") >= length - F.col("b")))
+    place = F.encode(F.concat_ws(",", F.col("h").cast("string"), F.col("a").cast("string")), "UTF-8")
+    key = F.md5(F.concat(place, F.lit(b"\x00"), F.expr("substring(l, 1, a)"), F.lit(b"\x00"), F.substring("r", F.lit(1), length - F.col("b"))))
+    rows = written(rows.withColumn("g", key), "split")
+    sizes = written(rows.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "split-sizes")
+    rows = rows.join(sizes, "g")
+    small = rows.where(F.col("n") <= limit).select(F.xxhash64("g").alias("h"), "k", "pos", "l", "r")
+    windows = written(rows.where(F.col("n") > limit).select("k", "pos", "l", "r", "a", "b").mapInArrow(_window_rows(length), "w1 long, w2 long, k binary, s int"), "windows")
+    start = F.struct("k", "s")  # neighbouring anchors show one window twice
+    again = windows.groupBy("w1", "w2").agg(F.min(start).alias("x"), F.max(start).alias("y")).where("x != y").select("w1", "w2")
+    return small, windows.join(again, ["w1", "w2"]).select("k", "s", (F.col("s") + length).alias("e"), F.lit(length).alias("w"))
 
 
 def _cut_rows(lengths: tuple[int, ...]):
@@ -451,10 +480,7 @@ def repeat_cuts(docs: DataFrame, lengths: tuple[int, ...] = (400,), group_limit:
     if not hot.isEmpty():
         for length in lengths:
             small, shared = _split(hot, length, group_limit)
-            for rows in small:
-                ranges = ranges.unionByName(_solved(rows, _ranges((length,)), schema))
-            if shared is not None:
-                ranges = ranges.unionByName(shared)
+            ranges = ranges.unionByName(_solved(small, _ranges((length,)), schema)).unionByName(shared)
     spans = written(ranges.groupBy("k").agg(F.collect_list(F.struct("s", "e", "w")).alias("spans")), "spans")
     cuts = some.join(spans, "k").mapInArrow(_cut_rows(lengths), "k binary, n_removed array<long>, n_spans array<long>, sha array<string>, kept array<string>")
     return one.where("copies > 1").select("k"), written(cuts, "cuts")
@@ -478,12 +504,10 @@ def repeat_groups(docs: DataFrame, text_col: str = "text", length: int = 400, gr
     hot = contexts.where(F.col("m") > group_limit).drop("m")
     if not hot.isEmpty():
         small, shared = _split(hot, length, group_limit)
-        for rows in small:
-            out = out.unionByName(_solved(rows, _groups(length), schema))
-        if shared is not None:
-            window = shared.join(docs.select(digest("text").alias("k"), "text").dropDuplicates(["k"]), "k")
-            bytes_ = F.substring(F.encode("text", "UTF-8"), F.col("s") + 1, F.lit(length))
-            out = out.unionByName(window.select(F.xxhash64(bytes_).alias("h"), F.lit(0).alias("repeat"), F.lit(length).alias("length"), "k", F.col("s").alias("start")))
+        window = shared.join(docs.select(digest("text").alias("k"), "text").dropDuplicates(["k"]), "k")
+        bytes_ = F.substring(F.encode("text", "UTF-8"), F.col("s") + 1, F.lit(length))
+        out = out.unionByName(_solved(small, _groups(length), schema))
+        out = out.unionByName(window.select(F.xxhash64(bytes_).alias("h"), F.lit(0).alias("repeat"), F.lit(length).alias("length"), "k", F.col("s").alias("start")).distinct())
     return out
 
 
