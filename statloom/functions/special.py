@@ -221,6 +221,139 @@ def normal_two_sided(z):
     return 2 * normal_cdf(-np.abs(np.asarray(z, float)))
 
 
+def gamma_quantile(p, a):
+    """The x at which the regularised lower incomplete gamma function reaches p."""
+    p, a = np.broadcast_arrays(np.asarray(p, float), np.asarray(a, float))
+    x = solve_quantile(lambda x: gamma_p(a, x), np.clip(p, 0, 1 - 1e-16), 0.0, 100.0)
+    return np.where(p <= 0, 0.0, np.where(p >= 1, np.inf, x))
+
+
+def beta_quantile(p, a, b):
+    p = np.asarray(p, float)
+    low, high = np.zeros(np.broadcast(p, a, b).shape), np.ones(np.broadcast(p, a, b).shape)
+    for _ in range(90):
+        mid = 0.5 * (low + high)
+        under = beta_i(mid, a, b) < p
+        low, high = np.where(under, mid, low), np.where(under, high, mid)
+    return np.where(p >= 1, 1.0, 0.5 * (low + high))
+
+
+def t_pdf(x, df):
+    x, df = np.asarray(x, float), np.asarray(df, float)
+    return np.exp(-(df + 1) / 2 * np.log1p(x * x / df) - beta_ln(0.5, df / 2)) / np.sqrt(df)
+
+
+def chi2_cdf(x, df):
+    return gamma_p(np.asarray(df, float) / 2, np.asarray(x, float) / 2)
+
+
+def chi2_pdf(x, df):
+    x, df = np.asarray(x, float), np.asarray(df, float)
+    with np.errstate(all="ignore"):
+        return np.where(x > 0, np.exp((df / 2 - 1) * np.log(x) - x / 2 - df / 2 * np.log(2) - gamma_ln(df / 2)), 0.0)
+
+
+def f_cdf(f, d1, d2):
+    f, d1, d2 = (np.asarray(v, float) for v in (f, d1, d2))
+    return np.where(f > 0, beta_i(d1 * f / (d1 * f + d2), d1 / 2, d2 / 2), 0.0)
+
+
+def f_pdf(f, d1, d2):
+    f, d1, d2 = (np.asarray(v, float) for v in (f, d1, d2))
+    with np.errstate(all="ignore"):
+        log = d1 / 2 * np.log(d1 * f) + d2 / 2 * np.log(d2) - (d1 + d2) / 2 * np.log(d1 * f + d2) - np.log(f) - beta_ln(d1 / 2, d2 / 2)
+        return np.where(f > 0, np.exp(log), 0.0)
+
+
+def gamma_cdf(x, shape, rate):
+    return gamma_p(shape, np.maximum(0, np.asarray(x, float) * np.asarray(rate, float)))
+
+
+def beta_cdf(x, a, b):
+    return beta_i(x, a, b)
+
+
+_ANGLES = (np.arange(400) + 0.5) * np.pi / 400
+
+
+def bessel_i0e(x):
+    """exp(-x) I0(x), by the midpoint rule over a period, which is exact but for rounding."""
+    x = np.asarray(x, float)
+    return np.exp(x[..., None] * (np.cos(_ANGLES) - 1)).mean(axis=-1)
+
+
+def bessel_ratio(x):
+    """I1(x) / I0(x)."""
+    x = np.asarray(x, float)
+    return (np.exp(x[..., None] * (np.cos(_ANGLES) - 1)) * np.cos(_ANGLES)).mean(axis=-1) / bessel_i0e(x)
+
+
+def von_mises_cdf(x, mu, kappa):
+    """The share of angles from -pi to x: a Fourier series in the ratios of Bessel functions."""
+    x, mu, kappa = np.broadcast_arrays(*(np.asarray(v, float) for v in (x, mu, kappa)))
+    weight = np.exp(kappa[..., None] * (np.cos(_ANGLES) - 1))
+    weight = weight / weight.sum(axis=-1, keepdims=True)
+    out = (x + np.pi) / (2 * np.pi)
+    for j in range(1, 120):
+        ratio = (weight * np.cos(j * _ANGLES)).sum(axis=-1)
+        out = out + ratio * (np.sin(j * (x - mu)) + np.sin(j * (np.pi + mu))) / (j * np.pi)
+    return np.clip(out, 0, 1)
+
+
+def von_mises_quantile(p, mu, kappa):
+    low, high = np.full(np.shape(p), -np.pi), np.full(np.shape(p), np.pi)
+    for _ in range(52):
+        mid = 0.5 * (low + high)
+        under = von_mises_cdf(mid, mu, kappa) < p
+        low, high = np.where(under, mid, low), np.where(under, high, mid)
+    return 0.5 * (low + high)
+
+
+def _least_count(cdf: Callable, p, most) -> np.ndarray:
+    """The least whole number up to most whose cdf reaches p, by bisection."""
+    p = np.asarray(p, float)
+    low, high = np.full(p.shape, -1.0), np.broadcast_to(np.asarray(most, float), p.shape).copy()
+    while np.any(high - low > 1):
+        mid = np.floor(0.5 * (low + high))
+        enough = cdf(mid) >= p * (1 - 1e-13)
+        move = high - low > 1
+        low, high = np.where(move & ~enough, mid, low), np.where(move & enough, mid, high)
+    return high
+
+
+def binomial_quantile(p, n, q):
+    n, q = np.asarray(n, float), np.asarray(q, float)
+    return _least_count(lambda k: np.where(k >= n, 1.0, beta_i(1 - q, np.maximum(n - k, 1e-9), k + 1)), p, n)
+
+
+def poisson_quantile(p, rate):
+    rate = np.asarray(rate, float)
+    most = np.ceil(rate + 40 * np.sqrt(rate + 1) + 100)
+    return np.where(np.asarray(p) >= 1, np.inf, _least_count(lambda k: 1 - gamma_p(k + 1, rate), p, most))
+
+
+def negative_binomial_quantile(p, r, q):
+    r, q = np.asarray(r, float), np.asarray(q, float)
+    most = np.ceil((r * (1 - q) + 60 * np.sqrt(r * (1 - q) + 1)) / q + 100 / q)
+    return np.where(np.asarray(p) >= 1, np.inf, _least_count(lambda k: beta_i(q, r, k + 1), p, most))
+
+
+def hypergeometric_cdf(x, population, marked, draws):
+    """The chance of at most x marked ones among the draws: the probabilities summed."""
+    x, N, K, n = np.broadcast_arrays(*(np.asarray(v, float) for v in (x, population, marked, draws)))
+    out = np.zeros(x.shape)
+    for k in range(int(np.nanmax(np.minimum(n, K), initial=0)) + 1):
+        inside = (k <= x) & (k >= n - (N - K)) & (k <= np.minimum(n, K))
+        with np.errstate(all="ignore"):
+            out = out + np.where(inside, np.exp(log_binomial(K, k) + log_binomial(N - K, n - k) - log_binomial(N, n)), 0.0)
+    return np.minimum(out, 1.0)
+
+
+def hypergeometric_quantile(p, population, marked, draws):
+    most = np.minimum(np.asarray(marked, float), np.asarray(draws, float))
+    return _least_count(lambda k: hypergeometric_cdf(k, population, marked, draws), p, most)
+
+
 def kolmogorov_sf(d, n):
     """The asymptotic p-value of a Kolmogorov-Smirnov distance at effective size n."""
     d, n = np.broadcast_arrays(np.asarray(d, float), np.asarray(n, float))
@@ -230,7 +363,7 @@ def kolmogorov_sf(d, n):
     return np.clip(np.where(x < 0.2, 1.0, total), 0, 1)
 
 
-_FUNCTIONS: dict[str, Callable] = {f.__name__: f for f in (gamma_ln, gamma, log_factorial, factorial, log_binomial, binomial, beta_ln, beta, gamma_p, beta_i, erf, erfc, digamma, normal_cdf, normal_pdf, normal_quantile, t_cdf, t_two_sided, t_quantile, chi2_sf, chi2_quantile, f_sf, normal_two_sided, kolmogorov_sf)}
+_FUNCTIONS: dict[str, Callable] = {f.__name__: f for f in (gamma_ln, gamma, log_factorial, factorial, log_binomial, binomial, beta_ln, beta, gamma_p, beta_i, erf, erfc, digamma, normal_cdf, normal_pdf, normal_quantile, t_cdf, t_two_sided, t_quantile, chi2_sf, chi2_quantile, f_sf, normal_two_sided, kolmogorov_sf, gamma_quantile, beta_quantile, t_pdf, chi2_cdf, chi2_pdf, f_cdf, f_pdf, gamma_cdf, beta_cdf, bessel_i0e, bessel_ratio, von_mises_cdf, von_mises_quantile, binomial_quantile, poisson_quantile, negative_binomial_quantile, hypergeometric_cdf, hypergeometric_quantile)}
 
 
 def column(name: str, *args: Column | str | float) -> Column:
@@ -256,4 +389,6 @@ def _arity(f: Callable, n: int) -> Callable:
         return lambda a: f(a)
     if n == 2:
         return lambda a, b: f(a, b)
-    return lambda a, b, c: f(a, b, c)
+    if n == 3:
+        return lambda a, b, c: f(a, b, c)
+    return lambda a, b, c, d: f(a, b, c, d)

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import special
+from ..plans.order import staged, with_average_rank, with_row_index
 from ..plans.gram import centred
 from .descriptive import beside, observed
 from .regression import LinearModel, complete, from_moments, linear, logistic
@@ -158,3 +159,65 @@ def eggers_test(studies: DataFrame, effect: str, se: str) -> DataFrame:
     rows = studies.select((observed(effect) / observed(se)).alias("y"), (1 / observed(se)).alias("x"))
     model = ordinary(rows, ["x"], "y")
     return model.table(studies.sparkSession).where("term = '(intercept)'").drop("term")
+
+
+def forest(studies: DataFrame, effect: str, variance: str, keep: list[str], confidence: float = 0.95) -> DataFrame:
+    """Each study's effect with its interval and its weight (percent) in the random-effects mean."""
+    z = float(special.normal_quantile(0.5 + confidence / 2))
+    rows = studies.select(*keep, observed(effect).alias("effect"), observed(variance).alias("v")).dropna(subset=["effect", "v"])
+    rows = beside(rows, random_effects(studies, effect, variance).select("tau2"), [])
+    u = 1 / (F.col("v") + F.col("tau2"))
+    rows = beside(rows, rows.agg(F.sum(u).alias("all")), [])
+    half = z * F.sqrt("v")
+    return rows.select(*keep, "effect", (F.col("effect") - half).alias("low"), (F.col("effect") + half).alias("high"), (100 * u / F.col("all")).alias("weight"))
+
+
+def funnel(studies: DataFrame, effect: str, se: str, steps: int = 50, confidence: float = 0.95) -> DataFrame:
+    """The pseudo-interval around the fixed-effects mean at ``steps + 1`` standard errors from 0 to the largest."""
+    z = float(special.normal_quantile(0.5 + confidence / 2))
+    y, s = observed(effect), observed(se)
+    one = studies.agg((F.sum(y / (s * s)) / F.sum(1 / (s * s))).alias("centre"), F.max(s).alias("most"))
+    rows = one.select("centre", "most", F.explode(F.sequence(F.lit(0), F.lit(steps))).alias("step"))
+    at = F.col("most") * F.col("step") / steps
+    return rows.select("step", at.alias("se"), (F.col("centre") - z * at).alias("low"), (F.col("centre") + z * at).alias("high"))
+
+
+def beggs_test(studies: DataFrame, effect: str, variance: str) -> DataFrame:
+    """Kendall's rank correlation of standardised effects with variances: n, tau, z, p_value."""
+    from .association import kendall
+
+    rows = studies.select(observed(effect).alias("y"), observed(variance).alias("v")).dropna()
+    one = rows.agg((F.sum(F.col("y") / F.col("v")) / F.sum(1 / F.col("v"))).alias("m"), F.sum(1 / F.col("v")).alias("w"))
+    rows = beside(rows, one, [])
+    return kendall(rows.select(((F.col("y") - F.col("m")) / F.sqrt(F.col("v") - 1 / F.col("w"))).alias("t"), "v"), "t", "v")
+
+
+def trim_and_fill(studies: DataFrame, effect: str, variance: str, rounds: int = 50) -> DataFrame:
+    """Estimate of the missing studies on the side that has fewer (the estimator L0), and the mean with their mirror images.
+
+    Effects are centred at the mean of those that stay; the rank sum of those
+    above it tells how many extreme ones have no counterpart.  Columns:
+    missing, side, estimate, adjusted.
+    """
+    rows = staged(studies.select(observed(effect).alias("y"), observed(variance).alias("v")).dropna(), "studies")
+    n = rows.count()
+    if not n:
+        raise ValueError("no complete rows")
+    mean = lambda d: d.agg(F.sum(F.col("y") / F.col("v")) / F.sum(1 / F.col("v"))).first()[0]
+    plain = mean(rows)
+    third = rows.agg(F.sum(F.pow(F.col("y") - plain, 3) / F.col("v"))).first()[0]
+    sign = 1.0 if third >= 0 else -1.0  # the side with the long tail is complete
+    ranked = with_row_index(rows.withColumn("s", sign * F.col("y")), F.col("s").desc(), F.col("v"), name="place")
+    k, centre = 0, plain
+    for _ in range(rounds):
+        dist = ranked.withColumn("d", F.col("s") - sign * centre)
+        dist = with_average_rank(dist.withColumn("a", F.abs("d")), "a", "rank")
+        total = dist.agg(F.coalesce(F.sum(F.when(F.col("d") > 0, F.col("rank"))), F.lit(0.0))).first()[0]
+        new = int(max(0, min(n - 2, round((4 * total - n * (n + 1)) / (2 * n - 1)))))
+        if new == k:
+            break
+        k = new
+        centre = mean(ranked.where(F.col("place") >= k))
+    mirrored = ranked.where(F.col("place") < k).select((2 * F.lit(centre) - F.col("y")).alias("y"), "v")
+    adjusted = mean(rows.unionByName(mirrored)) if k else plain
+    return studies.sparkSession.createDataFrame([(k, "left" if sign > 0 else "right", plain, adjusted)], "missing int, side string, estimate double, adjusted double")
