@@ -90,7 +90,7 @@ def _brute_trim(y, v, rounds=50):
 @pytest.mark.parametrize("seed", [1, 4])
 def test_trim_and_fill_equals_brute_force(spark, seed):
     rng = np.random.default_rng(seed)
-    y, v = np.round(rng.exponential(1.0, 40) ** 1.5, 3), np.round(rng.uniform(0.05, 0.3, 40), 3)
+    y, v = np.round(np.append(rng.normal(0, 0.2, 30), rng.uniform(1, 2, 8)), 3), np.round(np.append(rng.uniform(0.02, 0.05, 30), rng.uniform(0.5, 1, 8)), 3)
     df = spark.createDataFrame(list(zip(y.tolist(), v.tolist(), strict=True)), "y double, v double")
     r = causal.trim_and_fill(df, "y", "v").first()
     k, adjusted = _brute_trim(y, v)
