@@ -172,3 +172,131 @@ def variogram(values: DataFrame, weights: DataFrame, width: float) -> DataFrame:
     e = weights.where(F.col("i") < F.col("j")).join(v.select(F.col("id").alias("i"), F.col("v").alias("a")), "i").join(v.select(F.col("id").alias("j"), F.col("v").alias("b")), "j")
     e = e.withColumn("bin", F.floor(F.col("d") / width))
     return e.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.avg("d").alias("distance"), (F.avg(F.pow(F.col("a") - F.col("b"), 2)) / 2).alias("gamma"))
+
+
+def graph_size(edges: DataFrame, directed: bool = False) -> DataFrame:
+    """nodes, edges (undirected ones once) and density."""
+    e = clean(edges, directed=directed)
+    m = e.agg((F.count(F.lit(1)) / (1 if directed else 2)).alias("edges"))
+    s = beside(vertices(e).agg(F.count(F.lit(1)).alias("nodes")), m, [])
+    most = F.col("nodes") * (F.col("nodes") - 1) / (1 if directed else 2)
+    return s.select("nodes", F.col("edges").cast("long").alias("edges"), F.when(most > 0, F.col("edges") / most).otherwise(0.0).alias("density"))
+
+
+def clustering_coefficient(edges: DataFrame) -> DataFrame:
+    """triangles, connected triples and three times their ratio, of an undirected graph.
+
+    Each edge points to its end of higher degree, so that a hub, which has few
+    edges of its own then, does not pair all its neighbours.
+    """
+    e = staged(clean(edges), "edges")
+    degree = e.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("k"))
+    triples = degree.agg(F.coalesce(F.sum(F.col("k") * (F.col("k") - 1) / 2), F.lit(0.0)).cast("long").alias("triples"))
+    both = e.join(degree.select(F.col("id").alias("src"), F.col("k").alias("ks")), "src").join(degree.select(F.col("id").alias("dst"), F.col("k").alias("kd")), "dst")
+    up = staged(both.where(F.struct("ks", "src") < F.struct(F.col("kd").alias("ks"), F.col("dst").alias("src"))).select("src", "dst"), "oriented")
+    wedge = up.select("src", F.col("dst").alias("a")).join(up.select("src", F.col("dst").alias("b")), "src").where("a != b")
+    closed = wedge.join(up.select(F.col("src").alias("a"), F.col("dst").alias("b")), ["a", "b"]).agg(F.count(F.lit(1)).alias("triangles"))
+    s = beside(closed, triples, [])
+    return s.withColumn("coefficient", F.when(F.col("triples") > 0, 3 * F.col("triangles") / F.col("triples")).otherwise(0.0))
+
+
+def connected_components(edges: DataFrame) -> DataFrame:
+    """Rows (id, component): the least id that a vertex reaches, by hooking and pointer jumping in a few rounds."""
+    e = staged(clean(edges), "edges")
+    label = staged(vertices(e).withColumn("component", F.col("id")), "labels")
+    while True:
+        near = e.join(label.select(F.col("id").alias("dst"), F.col("component").alias("c")), "dst").groupBy(F.col("src").alias("id")).agg(F.min("c").alias("c"))
+        hooked = label.join(near, "id", "left").select("id", "component", F.least("component", F.coalesce("c", "component")).alias("new"))
+        roots = hooked.groupBy(F.col("component").alias("root")).agg(F.min("new").alias("low"))  # a root takes the least of its members'
+        moved = staged(hooked.join(roots, hooked["component"] == roots["root"]).select("id", "component", "low"), "hooked")
+        jump = moved.select(F.col("id").alias("low"), F.col("low").alias("lower"))
+        new = staged(moved.join(jump, "low", "left").select("id", "component", F.coalesce("lower", "low").alias("new")), "labels")
+        if new.where("component != new").isEmpty():
+            return new.select("id", F.col("new").alias("component"))
+        label = new.select("id", F.col("new").alias("component"))
+
+
+def label_propagation(edges: DataFrame, rounds: int = 100) -> DataFrame:
+    """Rows (id, community): all vertices at once take the most frequent label of their neighbours and themselves, ties the least."""
+    e = staged(clean(edges), "edges")
+    v = vertices(e)
+    e = staged(e.unionByName(v.select(F.col("id").alias("src"), F.col("id").alias("dst"))), "votes")
+    label = staged(v.withColumn("community", F.col("id")), "labels")
+    for _ in range(rounds):
+        votes = e.join(label.select(F.col("id").alias("dst"), F.col("community").alias("c")), "dst").groupBy("src", "c").agg(F.count(F.lit(1)).alias("n"))
+        best = votes.groupBy(F.col("src").alias("id")).agg(F.min(F.struct((-F.col("n")).alias("n"), "c")).alias("b"))
+        new = staged(label.join(best, "id").select("id", F.col("community").alias("old"), F.col("b.c").alias("community")), "labels")
+        label = new.select("id", "community")
+        if new.where("old != community").isEmpty():
+            break
+    return label
+
+
+def diameter(edges: DataFrame) -> DataFrame:
+    """The longest of the shortest paths, in hops, between vertices that reach each other."""
+    e = clean(edges)
+    return distances_from(edges, vertices(e)).agg(F.coalesce(F.max("hops"), F.lit(0)).alias("diameter"))
+
+
+def betweenness(edges: DataFrame, sources: DataFrame | None = None) -> DataFrame:
+    """Shares of shortest paths through each vertex of an undirected graph, summed over sources (default: all) and halved.
+
+    Paths are counted forward by rounds of joins over all sources at once, and
+    dependencies summed backward by rounds.
+    """
+    e = staged(clean(edges), "edges")
+    start = vertices(e) if sources is None else sources.select("id")
+    seen = staged(start.select(F.col("id").alias("source"), "id", F.lit(0).alias("hops"), F.lit(1.0).alias("paths")), "paths")
+    edge, hop = seen, 0
+    while True:
+        hop += 1
+        step = edge.join(e, edge["id"] == e["src"]).groupBy("source", F.col("dst").alias("id")).agg(F.sum("paths").alias("paths"))
+        edge = staged(step.join(seen.select("source", "id"), ["source", "id"], "left_anti").select("source", "id", F.lit(hop).alias("hops"), "paths"), "frontier")
+        if edge.isEmpty():
+            break
+        seen = staged(seen.unionByName(edge), "paths")
+    done = staged(seen.where("hops < 0").select("source", "id", F.lit(0.0).alias("share")), "shares")
+    below = None
+    for h in range(hop - 1, 0, -1):
+        at = seen.where(F.col("hops") == h).select("source", "id", "paths")
+        if below is None:
+            own = at.withColumn("share", F.lit(0.0))
+        else:
+            own = at.join(below, ["source", "id"], "left").select("source", "id", "paths", (F.col("paths") * F.coalesce("part", F.lit(0.0))).alias("share"))
+        own = staged(own, "level")
+        done = staged(done.unionByName(own.select("source", "id", "share")), "shares")
+        if h > 1:  # what each vertex one hop nearer to the source gets, per path of its own
+            up = seen.where(F.col("hops") == h - 1).select("source", F.col("id").alias("near"))
+            flow = own.select("source", F.col("id").alias("src"), ((1 + F.col("share")) / F.col("paths")).alias("f")).join(e, "src").select("source", F.col("dst").alias("near"), "f")
+            below = flow.join(up, ["source", "near"]).groupBy("source", F.col("near").alias("id")).agg(F.sum("f").alias("part"))
+    total = done.groupBy("id").agg(F.sum("share").alias("s"))
+    return vertices(e).join(total, "id", "left").select("id", (F.coalesce("s", F.lit(0.0)) / 2).alias("betweenness"))
+
+
+def fit_variogram(bins: DataFrame, model: str = "spherical", steps: int = 40) -> tuple[float, float, float]:
+    """(nugget, sill, range) of a spherical, exponential or gaussian model, by weighted least squares over the bins of ``variogram``."""
+    shape = {
+        "spherical": lambda h, a: F.when(h < a, 1.5 * h / a - 0.5 * F.pow(h / a, 3)).otherwise(1.0),
+        "exponential": lambda h, a: 1 - F.exp(-3 * h / a),
+        "gaussian": lambda h, a: 1 - F.exp(-3 * F.pow(h / a, 2)),
+    }[model]
+    w, y, h = F.col("n").cast("double"), F.col("gamma"), F.col("distance")
+    most = bins.agg(F.max("distance")).first()[0]
+    ranges = [most * (k + 1) * 1.5 / steps for k in range(steps)]
+    terms = []
+    for k, a in enumerate(ranges):  # linear in nugget and partial sill for each range
+        g = shape(h, F.lit(float(a)))
+        terms += [F.sum(w * g).alias(f"g{k}"), F.sum(w * g * g).alias(f"gg{k}"), F.sum(w * g * y).alias(f"gy{k}")]
+    s = bins.agg(F.sum(w).alias("w"), F.sum(w * y).alias("y"), F.sum(w * y * y).alias("yy"), *terms).first()
+    best = None
+    for k, a in enumerate(ranges):
+        det = s["w"] * s[f"gg{k}"] - s[f"g{k}"] ** 2
+        slope = (s["w"] * s[f"gy{k}"] - s[f"g{k}"] * s["y"]) / det if det > 1e-12 else 0.0
+        slope = max(0.0, slope)
+        nugget = (s["y"] - slope * s[f"g{k}"]) / s["w"]
+        if nugget < 0:
+            nugget, slope = 0.0, max(0.0, s[f"gy{k}"] / s[f"gg{k}"])
+        loss = s["yy"] - 2 * nugget * s["y"] - 2 * slope * s[f"gy{k}"] + nugget**2 * s["w"] + 2 * nugget * slope * s[f"g{k}"] + slope**2 * s[f"gg{k}"]
+        if best is None or loss < best[0]:
+            best = (loss, nugget, nugget + slope, a)
+    return best[1:]

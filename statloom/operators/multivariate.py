@@ -205,3 +205,114 @@ def gaussian_mixture(df: DataFrame, x: str, k: int, rounds: int = 200, tol: floa
     finally:
         rows.unpersist()
     return df.sparkSession.createDataFrame([(j, float(w[j]), float(m[j]), float(v[j]), float(a["ll"])) for j in range(k)], "component int, weight double, mean double, variance double, log_likelihood double")
+
+
+def factor_analysis(df: DataFrame, features: list[str], k: int, rounds: int = 100, tol: float = 1e-6) -> tuple[np.ndarray, np.ndarray]:
+    """(loadings, communalities) by principal axes of the correlation matrix, which is one aggregate."""
+    n, _, s = centred(complete(df, features), features)
+    d = np.sqrt(np.diag(s))
+    r = s / np.outer(d, d)
+    h = 1 - 1 / np.diag(np.linalg.inv(r))
+    for _ in range(rounds):
+        reduced = r.copy()
+        np.fill_diagonal(reduced, h)
+        values, vectors = np.linalg.eigh(reduced)
+        top = np.argsort(values)[::-1][:k]
+        loadings = vectors[:, top] * np.sqrt(np.maximum(values[top], 0))
+        new = (loadings**2).sum(axis=1)
+        moved, h = np.abs(new - h).max(), new
+        if moved < tol:
+            break
+    sign = np.sign(loadings[np.abs(loadings).argmax(axis=0), np.arange(k)])
+    return loadings * np.where(sign == 0, 1, sign), h
+
+
+def _block_pairs(df: DataFrame, id_col: str, x: str, keep: list[str], rows: int) -> DataFrame:
+    """Each row once for every pair of blocks that its block is in; a task compares two blocks of about ``rows``."""
+    p = df.select(F.col(id_col).alias("id"), F.col(x).alias("x"), *keep)
+    n = max(1, -(-p.count() // rows))
+    p = p.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(n)))
+    left = p.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).select(F.col("b").alias("p"), F.col("c").alias("q"), F.lit(True).alias("own"), "id", "x", *keep)
+    right = p.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).select(F.col("c").alias("p"), F.col("b").alias("q"), F.lit(False).alias("own"), "id", "x", *keep)
+    return left.unionByName(right)
+
+
+def silhouettes(df: DataFrame, id_col: str, x: str, label: str, rows: int = 2000) -> DataFrame:
+    """The exact silhouette of each row (id, label, silhouette) of an array column; 0 in clusters of one.
+
+    All rows are compared with all, as the measure is defined, in blocks: a task
+    holds two of them and returns one sum for each row and cluster.
+    """
+    import pandas as pd
+
+    kind = dict(df.dtypes)
+
+    def sums(g: pd.DataFrame) -> pd.DataFrame:
+        a, b = g[g["own"]], g[~g["own"]]
+        u, v = np.stack(a["x"].to_numpy()), np.stack(b["x"].to_numpy())
+        d = np.sqrt(np.maximum(0, (u * u).sum(1)[:, None] + (v * v).sum(1) - 2 * u @ v.T))
+        d[a["id"].to_numpy()[:, None] == b["id"].to_numpy()] = 0
+        names, code = np.unique(b["label"].to_numpy(), return_inverse=True)
+        total = d @ np.eye(len(names))[code]
+        count = np.bincount(code, minlength=len(names))
+        return pd.DataFrame({"id": np.repeat(a["id"].to_numpy(), len(names)), "label": np.repeat(a["label"].to_numpy(), len(names)), "other": np.tile(names, len(a)), "s": total.ravel(), "n": np.tile(count, len(a))})
+
+    pairs = _block_pairs(df.withColumn("label", F.col(label)).where(F.col(label).isNotNull()), id_col, x, ["label"], rows)
+    parts = pairs.groupBy("p", "q").applyInPandas(sums, f"id {kind[id_col]}, label {kind[label]}, other {kind[label]}, s double, n long")
+    means = parts.groupBy("id", "label", "other").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    own = F.col("label") == F.col("other")
+    both = means.groupBy("id", "label").agg(F.max(F.when(own & (F.col("n") > 1), F.col("s") / (F.col("n") - 1))).alias("a"), F.min(F.when(~own, F.col("s") / F.col("n"))).alias("b"))
+    value = (F.col("b") - F.col("a")) / F.greatest("a", "b")
+    return both.select(F.col("id").alias(id_col), F.col("label").alias(label), F.coalesce(value, F.lit(0.0)).alias("silhouette"))
+
+
+def distance_matrix(df: DataFrame, id_col: str, x: str, rows: int = 2000) -> DataFrame:
+    """Rows (i, j, d) of all pairs i < j of an array column, block by block: the result itself has n * (n - 1) / 2 rows."""
+    import pandas as pd
+
+    kind = dict(df.dtypes)[id_col]
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        a, b = g[g["own"]], g[~g["own"]]
+        u, v = np.stack(a["x"].to_numpy()), np.stack(b["x"].to_numpy())
+        d = np.sqrt(np.maximum(0, ((u[:, None, :] - v) ** 2).sum(-1))) if len(u) * len(v) < 100_000 else np.sqrt(np.maximum(0, (u * u).sum(1)[:, None] + (v * v).sum(1) - 2 * u @ v.T))
+        i, j = np.nonzero(a["id"].to_numpy()[:, None] < b["id"].to_numpy())
+        return pd.DataFrame({"i": a["id"].to_numpy()[i], "j": b["id"].to_numpy()[j], "d": d[i, j]})
+
+    return _block_pairs(df, id_col, x, [], rows).groupBy("p", "q").applyInPandas(run, f"i {kind}, j {kind}, d double")
+
+
+def dbscan(points: DataFrame, id_col: str, x: str, y: str, eps: float, least: int = 5) -> DataFrame:
+    """Rows (id, cluster, core) of points in the plane; a cluster is named by its least core id, noise has null.
+
+    Neighbours come from grid cells of side eps, clusters are the connected
+    components of core points, and a border point joins the least cluster near it.
+    """
+    from ..plans.order import staged
+    from .graph import band_weights, connected_components
+
+    near = staged(band_weights(points, id_col, x, y, eps).select("i", "j"), "near")
+    ids = points.select(F.col(id_col).alias("id"))
+    count = near.groupBy(F.col("i").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    core = staged(ids.join(count, "id", "left").where(F.coalesce("n", F.lit(0)) + 1 >= least).select("id"), "cores")
+    linked = near.join(core.select(F.col("id").alias("i")), "i").join(core.select(F.col("id").alias("j")), "j").select(F.col("i").alias("src"), F.col("j").alias("dst"))
+    found = core.join(connected_components(linked).withColumnRenamed("component", "c"), "id", "left").select("id", F.coalesce("c", "id").alias("c"))
+    found = staged(found, "clusters")
+    border = near.join(found.select(F.col("id").alias("j"), "c"), "j").groupBy(F.col("i").alias("id")).agg(F.min("c").alias("e"))
+    out = ids.join(found, "id", "left").join(border, "id", "left")
+    return out.select(F.col("id").alias(id_col), F.coalesce("c", "e").alias("cluster"), F.col("c").isNotNull().alias("core"))
+
+
+def compositional_centre(df: DataFrame, x: str, size: int) -> DataFrame:
+    """The closed geometric mean of an array column of compositions."""
+    one = df.agg(F.array(*[F.exp(F.avg(F.ln(F.col(x)[k].cast("double")))) for k in range(size)]).alias("g"))
+    return one.select(V.closure("g").alias("centre"))
+
+
+def variation_matrix(df: DataFrame, x: str, size: int) -> DataFrame:
+    """Rows (i, j, variance) of the log ratios of each pair of parts, from one aggregate."""
+    logs = [F.ln(F.col(x)[k].cast("double")) for k in range(size)]
+    pairs = [(i, j) for i in range(size) for j in range(i + 1, size)]
+    row = df.agg(*[F.var_samp(logs[i] - logs[j]).alias(f"v{i}_{j}") for i, j in pairs])
+    cells = [F.struct(F.lit(a).alias("i"), F.lit(b).alias("j"), F.col(f"v{i}_{j}").alias("variance")) for i, j in pairs for a, b in ((i, j), (j, i))]
+    return row.select(F.inline(F.array(*cells)))

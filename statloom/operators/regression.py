@@ -258,6 +258,12 @@ def quasi(variance, link: str):
     return (variance, lambda y, m: (y - m) * (y - m) / variance(m), link, False)
 
 
+def tweedie(power: float):
+    """A family with variance mu ** power, for powers over 1 other than 2."""
+    a, b = 1 - power, 2 - power
+    return (lambda m: F.pow(m, power), lambda y, m: 2 * (F.when(y > 0, F.pow(y, b)).otherwise(0.0) / (a * b) - y * F.pow(m, a) / a + F.pow(m, b) / b), "log", False)
+
+
 def glm(df: DataFrame, features: list[str], y: str, family="gaussian", link: str | None = None, rounds: int = 25, tol: float = 1e-8) -> LinearModel:
     """Iteratively reweighted least squares; stats has deviance, dispersion and pearson."""
     variance, deviance, usual, fixed = FAMILIES[family] if isinstance(family, str) else family
@@ -271,7 +277,7 @@ def glm(df: DataFrame, features: list[str], y: str, family="gaussian", link: str
             raise ValueError("no complete rows")
         low = 1e-6
         mean = min(max(mean, low), 1 - low) if name in ("logit", "probit", "cloglog") else max(mean, low) if name in ("log", "inverse") else mean
-        start = {"identity": mean, "log": np.log(mean), "logit": np.log(mean / (1 - mean)), "inverse": 1 / mean, "cloglog": np.log(-np.log(1 - mean)) if name == "cloglog" else 0, "probit": float(special.normal_quantile(mean)) if name == "probit" else 0}[name]
+        start = {"identity": lambda m: m, "log": np.log, "logit": lambda m: np.log(m / (1 - m)), "inverse": lambda m: 1 / m, "cloglog": lambda m: np.log(-np.log(1 - m)), "probit": special.normal_quantile}[name](mean)
         b = np.append(start, np.zeros(len(features)))
         inverse, done, last = None, 0, np.inf
         while done < rounds:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import special
-from .descriptive import observed
+from .descriptive import beside, observed
 
 
 def _uniform(*parts) -> Column:
@@ -169,3 +169,129 @@ def gelman_rubin(chains: DataFrame, chain: str, x: str) -> DataFrame:
     c = chains.groupBy(chain).agg(F.count(F.lit(1)).alias("n"), F.avg(x).alias("m"), F.var_samp(x).alias("v"))
     n = F.max("n")
     return c.agg(F.sqrt(((n - 1) / n * F.avg("v") + F.var_samp("m")) / F.avg("v")).alias("r_hat"))
+
+
+def resampled_means(df: DataFrame, x: str, key: str, kind: str = "poisson", reps: int = 200, seed: int = 0) -> DataFrame:
+    """Means of replicates (rep, mean): each key has a random weight in every replicate.
+
+    Rows of one key share their weights, so the key of a block of neighbouring
+    rows gives a block bootstrap, a row's own key the usual one.  Kinds: poisson
+    counts, exponential (Bayesian bootstrap), rademacher and mammen (wild: the
+    mean of x times its sign).  Weights depend on key and seed alone.  A task
+    adds up one pair of numbers for each replicate; rows are not multiplied.
+    """
+    import pyarrow as pa
+
+    if kind not in ("poisson", "exponential", "rademacher", "mammen"):
+        raise ValueError(f"unknown kind {kind!r}")
+    golden = (5**0.5 + 1) / 2
+    limits = np.cumsum([np.exp(-1.0) / np.prod(np.arange(1, k + 1)) for k in range(16)])
+
+    def weights(k: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            h = k[:, None] * np.uint64(0x9E3779B97F4A7C15) + (np.arange(reps, dtype=np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
+            for _ in range(2):
+                h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+            u = ((h ^ (h >> np.uint64(32))) >> np.uint64(11)).astype(float) / (1 << 53)
+        if kind == "poisson":
+            return np.searchsorted(limits, u, side="right").astype(float)
+        if kind == "exponential":
+            return -np.log1p(-u)
+        if kind == "rademacher":
+            return np.where(u < 0.5, -1.0, 1.0)
+        return np.where(u < golden / 5**0.5, 1 - golden, golden)
+
+    def run(batches):
+        total = np.zeros((2, reps))
+        for batch in batches:
+            k, v = batch.column("k").to_numpy().view(np.uint64), batch.column("x").to_numpy()
+            for i in range(0, len(k), 4096):
+                w = weights(k[i : i + 4096])
+                total += w.sum(axis=0), v[i : i + 4096] @ w
+                if kind in ("rademacher", "mammen"):
+                    total[0] += len(v[i : i + 4096]) - w.sum(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(reps)), pa.array(total[0]), pa.array(total[1])], ["rep", "w", "wx"])
+
+    rows = df.select(F.xxhash64(F.lit(seed).cast("long"), key).alias("k"), observed(x).alias("x")).dropna()
+    sums = rows.mapInArrow(run, "rep long, w double, wx double").groupBy("rep").agg(F.sum("w").alias("w"), F.sum("wx").alias("wx"))
+    return sums.select("rep", F.when(F.col("w") != 0, F.col("wx") / F.col("w")).alias("mean"))
+
+
+def replicate_interval(reps: DataFrame, x: str = "mean", confidence: float = 0.95) -> DataFrame:
+    """estimate, se and percentile interval of replicates."""
+    tail = (1 - confidence) / 2
+    return reps.agg(F.avg(x).alias("estimate"), F.stddev_samp(x).alias("se"), F.percentile(x, tail).alias("low"), F.percentile(x, 1 - tail).alias("high"))
+
+
+def sign_flip_test(df: DataFrame, x: str, key: str, centre: float = 0.0, reps: int = 1000, seed: int = 0) -> DataFrame:
+    """One-sample permutation test: the share of sign flips about the centre with a mean as far from 0."""
+    rows = df.select(key, (observed(x) - centre).alias("d")).dropna()
+    seen = rows.agg(F.avg("d").alias("seen"))
+    flips = beside(resampled_means(rows, "d", key, "rademacher", reps, seed), seen, [])
+    far = F.count_if(F.abs("mean") >= F.abs("seen") - 1e-12)
+    return flips.agg(F.first("seen").alias("difference"), ((far + 1) / (F.count(F.lit(1)) + 1)).alias("p_value"))
+
+
+def bayes_factor(df: DataFrame, a: str, b: str) -> DataFrame:
+    """Harmonic-mean marginal likelihoods of two columns of log-likelihoods: log_factor, factor."""
+    x, y = observed(a), observed(b)
+    rows = df.select(x.alias("a"), y.alias("b"))
+    top = rows.agg(F.max(-F.col("a")).alias("ta"), F.max(-F.col("b")).alias("tb"))
+    s = beside(rows, top, []).agg(*[(F.ln(F.count(c)) - F.first(t) - F.ln(F.sum(F.exp(-F.col(c) - F.col(t))))).alias(f"m{c}") for c, t in (("a", "ta"), ("b", "tb"))])
+    return s.select((F.col("ma") - F.col("mb")).alias("log_factor"), F.exp(F.col("ma") - F.col("mb")).alias("factor"))
+
+
+def fit_beta(df: DataFrame, x: str, by: list[str] = ()) -> DataFrame:
+    """Shapes of a beta distribution by moments."""
+    v = observed(x)
+    s = df.groupBy(*by).agg(F.avg(v).alias("m"), F.var_samp(v).alias("s"))
+    k = F.col("m") * (1 - F.col("m")) / F.col("s") - 1
+    return s.select(*by, (F.col("m") * k).alias("alpha"), ((1 - F.col("m")) * k).alias("beta"))
+
+
+def fit_zero_inflated_poisson(df: DataFrame, x: str, rounds: int = 500, tol: float = 1e-12) -> tuple[float, float]:
+    """(rate, share of extra zeros) by expectation-maximisation over three numbers: rows, zeros and the sum."""
+    v = observed(x)
+    s = df.agg(F.count(v).alias("n"), F.count_if(v == 0).alias("z"), F.sum(v).alias("s")).first()
+    n, zeros, total = s["n"], s["z"], s["s"] or 0.0
+    if not n:
+        raise ValueError("no values")
+    share, rate = max(0.0, zeros / n - np.exp(-total / n)), max(total / n, 1e-9)
+    for _ in range(rounds):
+        extra = zeros * share / (share + (1 - share) * np.exp(-rate)) if share else 0.0
+        new = (total / max(n - extra, 1e-12), extra / n)
+        moved = max(abs(new[0] - rate), abs(new[1] - share))
+        rate, share = new
+        if moved < tol:
+            break
+    return float(rate), float(share)
+
+
+def goodness_of_fit(df: DataFrame, x: str, name: str, *parameters: float) -> DataFrame:
+    """Anderson-Darling and Cramer-von Mises statistics against a given distribution, from global ranks."""
+    from ..functions.distributions import distribution
+    from ..plans.order import with_row_index
+
+    rows = df.select(observed(x).alias("v")).dropna()
+    rows = with_row_index(rows, "v", name="i")
+    f = F.greatest(F.lit(1e-15), F.least(F.lit(1 - 1e-15), distribution(name, *parameters).cdf("v")))
+    rows = rows.select((F.col("i") + 1).cast("double").alias("i"), f.alias("f"))
+    rows = beside(rows, rows.agg(F.count(F.lit(1)).cast("double").alias("n")), [])
+    i, n = F.col("i"), F.col("n")
+    ad = (2 * i - 1) * F.ln("f") + (2 * (n - i) + 1) * F.ln(1 - F.col("f"))
+    cm = F.pow(F.col("f") - (2 * i - 1) / (2 * n), 2)
+    s = rows.agg(F.max("n").alias("n"), F.sum(ad / n).alias("a"), F.sum(cm).alias("c"))
+    return s.select(F.col("n").cast("long").alias("n"), (-F.col("n") - F.col("a")).alias("anderson_darling"), (1 / (12 * F.col("n")) + F.col("c")).alias("cramer_von_mises"))
+
+
+def effective_size(df: DataFrame, x: str, t: str, series: list[str], lags: int = 100) -> DataFrame:
+    """Draws of each chain over one plus twice its autocorrelations up to the first negative one."""
+    from .series import autocorrelation
+
+    r = autocorrelation(df, x, t, series, lags).where("lag > 0")
+    first = r.groupBy(*series).agg(F.min(F.when(F.coalesce("autocorrelation", F.lit(-1.0)) < 0, F.col("lag"))).alias("end"))
+    kept = (r.join(first, series) if series else beside(r, first, [])).where("end is null or lag < end")
+    got = kept.groupBy(*series).agg(F.sum("autocorrelation").alias("s"))
+    n = df.where(observed(x).isNotNull()).groupBy(*series).agg(F.count(F.lit(1)).alias("n"))
+    out = n.join(got, series, "left") if series else beside(n, got, [])
+    return out.select(*series, "n", F.when(F.col("n") < 10, F.col("n").cast("double")).otherwise(F.col("n") / (1 + 2 * F.coalesce("s", F.lit(0.0)))).alias("effective"))

@@ -93,3 +93,36 @@ def stream_changes(stream: DataFrame, x: str, ts: str, key: str, warmup: int = 3
     kinds = dict(rows.dtypes)
     schema = f"`{key}` {kinds[key]}, `{ts}` {kinds[ts]}, direction string, score double"
     return rows.groupBy(key).applyInPandasWithState(_detector(key, x, ts, warmup, threshold, drift), schema, "n long, mean double, m2 double, up double, down double", "append", GroupStateTimeout.NoTimeout)
+
+
+def running_moments(df: DataFrame, x: str, t: str, series: list[str]) -> DataFrame:
+    """Count, mean, variance, and adjusted skewness and excess kurtosis of a series up to each row."""
+    w = Window.partitionBy(*series).orderBy(t).rowsBetween(Window.unboundedPreceding, 0)
+    v = observed(x)
+    rows = df.withColumns({"__n": F.count(v).over(w).cast("double"), "__s": F.skewness(v).over(w), "__k": F.kurtosis(v).over(w), "n": F.count(v).over(w), "mean": F.avg(v).over(w), "variance": F.var_samp(v).over(w)})
+    n = F.col("__n")
+    skew = F.when((n > 2) & (F.col("variance") > 0), F.col("__s") * F.sqrt(n * (n - 1)) / (n - 2))
+    kurt = F.when((n > 3) & (F.col("variance") > 0), (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.col("__k") + 6))
+    return rows.withColumns({"skewness": skew, "kurtosis": kurt}).drop("__n", "__s", "__k")
+
+
+def running_covariances(df: DataFrame, columns: list[str], t: str, series: list[str]) -> DataFrame:
+    """Means, and the sample covariance and correlation of each pair of columns, up to each row."""
+    w = Window.partitionBy(*series).orderBy(t).rowsBetween(Window.unboundedPreceding, 0)
+    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
+    new = {f"mean_{c}": F.avg(observed(c)).over(w) for c in columns}
+    new |= {f"cov_{a}_{b}": F.covar_samp(observed(a), observed(b)).over(w) for a, b in pairs}
+    new |= {f"cor_{a}_{b}": F.corr(observed(a), observed(b)).over(w) for a, b in pairs if a != b}
+    return df.withColumns(new)
+
+
+def running_quantile(df: DataFrame, x: str, t: str, series: list[str], p: float = 0.5, accuracy: int = 1000) -> DataFrame:
+    """A quantile of a series up to each row, from a mergeable sketch of bounded size."""
+    w = Window.partitionBy(*series).orderBy(t).rowsBetween(Window.unboundedPreceding, 0)
+    return df.withColumn("quantile", F.percentile_approx(observed(x), p, accuracy).over(w))
+
+
+def stream_quantile(stream: DataFrame, x: str, ts: str, keys: list[str], width: str, p: float = 0.5, late: str = "10 minutes") -> DataFrame:
+    """Quantiles of event-time windows; the sketch merges in the state store."""
+    out = stream.withWatermark(ts, late).groupBy(F.window(ts, width), *keys).agg(F.count(observed(x)).alias("n"), F.percentile_approx(observed(x), p, 1000).alias("quantile"))
+    return out.select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), *keys, "n", "quantile")
