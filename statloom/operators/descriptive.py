@@ -96,9 +96,33 @@ def _tails(df: DataFrame, x: str, by: list[str], proportion: float) -> DataFrame
     return beside(stats, n, by)
 
 
+def _cut_values(df: DataFrame, x: str, proportion: float) -> tuple[DataFrame, dict]:
+    """Rows (v), and of all of them: n, k, the outermost values kept, the sum between and the counts up to and from those."""
+    from ..plans.order import values_at
+
+    if not 0 <= proportion < 0.5:
+        raise ValueError("proportion must be in [0, 0.5)")
+    rows = df.select(observed(x).alias("v")).where("v is not null")
+    n = rows.count()
+    k = int(n * proportion)
+    lo, hi = values_at(rows, "v", [k, n - 1 - k]) if n else (None, None)
+    v = F.col("v")
+    s = rows.agg(F.sum(F.when((v > F.lit(lo)) & (v < F.lit(hi)), v)).alias("s"), F.count_if(v <= F.lit(lo)).alias("low"), F.count_if(v >= F.lit(hi)).alias("high")).first()
+    return rows, {"n": n, "k": k, "lo": lo, "hi": hi, "s": s["s"] or 0.0, "low": s["low"], "high": s["high"]}
+
+
+def _one_value(df: DataFrame, name: str, value: float | None) -> DataFrame:
+    return df.sparkSession.createDataFrame([(None if value is None else float(value),)], f"{name} double")
+
+
 def trimmed_mean(df: DataFrame, x: str, by: list[str] = (), proportion: float = 0.1) -> DataFrame:
     """The mean without floor(n * proportion) values of each tail."""
     by = list(by)
+    if not by:
+        _, c = _cut_values(df, x, proportion)
+        if not c["n"] or c["lo"] == c["hi"]:
+            return _one_value(df, "trimmed_mean", c["lo"])
+        return _one_value(df, "trimmed_mean", (c["s"] + c["lo"] * (c["low"] - c["k"]) + c["hi"] * (c["high"] - c["k"])) / (c["n"] - 2 * c["k"]))
     t = _tails(df, x, by, proportion)
     kept = F.greatest(F.lit(0), F.least(F.col("before") + F.col("c"), F.col("n") - F.col("k")) - F.greatest("before", "k"))
     return t.groupBy(*by).agg((F.sum(F.col("v") * kept) / F.sum(kept)).alias("trimmed_mean"))
@@ -107,6 +131,11 @@ def trimmed_mean(df: DataFrame, x: str, by: list[str] = (), proportion: float =
 def winsorized_mean(df: DataFrame, x: str, by: list[str] = (), proportion: float = 0.1) -> DataFrame:
     """The mean with floor(n * proportion) values of each tail moved to the nearest value kept."""
     by = list(by)
+    if not by:
+        _, c = _cut_values(df, x, proportion)
+        if not c["n"] or c["lo"] == c["hi"]:
+            return _one_value(df, "winsorized_mean", c["lo"])
+        return _one_value(df, "winsorized_mean", (c["s"] + c["lo"] * c["low"] + c["hi"] * c["high"]) / c["n"])
     t = _tails(df, x, by, proportion)
     inside = (F.col("before") + F.col("c") > F.col("k")) & (F.col("before") < F.col("n") - F.col("k"))
     ends = t.where(inside).groupBy(*by).agg(F.min("v").alias("lo"), F.max("v").alias("hi"))

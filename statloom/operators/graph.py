@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import special
-from ..plans.order import staged
+from ..plans.order import staged, unstage
 from .descriptive import beside, observed
 
 
@@ -46,7 +46,7 @@ def page_rank(edges: DataFrame, directed: bool = True, damping: float = 0.85, ro
     n = v.count()
     if not n:
         return v.select("id", F.lit(0.0).alias("rank"))
-    rank = v.select("id", "k", F.lit(1.0 / n).alias("rank"))
+    rank, old = v.select("id", "k", F.lit(1.0 / n).alias("rank")), []
     for _ in range(rounds):
         flow = e.join(rank.select(F.col("id").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") / F.col("k")).alias("flow"))
         lost = rank.agg(F.sum(F.when(F.col("k").isNull(), F.col("rank")).otherwise(0.0))).first()[0]
@@ -55,6 +55,8 @@ def page_rank(edges: DataFrame, directed: bool = True, damping: float = 0.85, ro
         new = staged(new, "rank")
         moved = new.agg(F.sum(F.abs(F.col("new") - F.col("old")))).first()[0]
         rank = new.select("id", "k", F.col("new").alias("rank"))
+        unstage(*old)
+        old = [new]
         if moved < tol:
             break
     return rank.select("id", "rank")
@@ -204,6 +206,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """Rows (id, component): the least id that a vertex reaches, by hooking and pointer jumping in a few rounds."""
     e = staged(clean(edges), "edges")
     label = staged(vertices(e).withColumn("component", F.col("id")), "labels")
+    old = [label]
     while True:
         near = e.join(label.select(F.col("id").alias("dst"), F.col("component").alias("c")), "dst").groupBy(F.col("src").alias("id")).agg(F.min("c").alias("c"))
         hooked = label.join(near, "id", "left").select("id", "component", F.least("component", F.coalesce("c", "component")).alias("new"))
@@ -211,9 +214,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
         moved = staged(hooked.join(roots, hooked["component"] == roots["root"]).select("id", "component", "low"), "hooked")
         jump = moved.select(F.col("id").alias("low"), F.col("low").alias("lower"))
         new = staged(moved.join(jump, "low", "left").select("id", "component", F.coalesce("lower", "low").alias("new")), "labels")
+        unstage(moved, *old)
+        old, label = [new], new.select("id", F.col("new").alias("component"))
         if new.where("component != new").isEmpty():
-            return new.select("id", F.col("new").alias("component"))
-        label = new.select("id", F.col("new").alias("component"))
+            return label
 
 
 def label_propagation(edges: DataFrame, rounds: int = 100) -> DataFrame:
@@ -222,11 +226,14 @@ def label_propagation(edges: DataFrame, rounds: int = 100) -> DataFrame:
     v = vertices(e)
     e = staged(e.unionByName(v.select(F.col("id").alias("src"), F.col("id").alias("dst"))), "votes")
     label = staged(v.withColumn("community", F.col("id")), "labels")
+    kept = [label]
     for _ in range(rounds):
         votes = e.join(label.select(F.col("id").alias("dst"), F.col("community").alias("c")), "dst").groupBy("src", "c").agg(F.count(F.lit(1)).alias("n"))
         best = votes.groupBy(F.col("src").alias("id")).agg(F.min(F.struct((-F.col("n")).alias("n"), "c")).alias("b"))
         new = staged(label.join(best, "id").select("id", F.col("community").alias("old"), F.col("b.c").alias("community")), "labels")
         label = new.select("id", "community")
+        unstage(*kept)
+        kept = [new]
         if new.where("old != community").isEmpty():
             break
     return label
