@@ -36,8 +36,8 @@ def indexed(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     return rows.join(F.broadcast(starts), "__part").withColumn(name, F.col("__base") + F.col("__at")).drop("__m", "__part", "__at", "__base")
 
 
-def indexed_within(df: DataFrame, group: str, order: list[Column], about: DataFrame | None = None) -> DataFrame:
-    """Adds ``pos``, each row's place from 0 within its group, and ``size``, the group's rows.
+def indexed_within(df: DataFrame, group: str, order: list[Column], about: DataFrame | None = None, count: str = "size") -> DataFrame:
+    """Adds ``pos``, each row's place from 0 within its group, and ``count``, the group's rows.
 
     Ranges of the order cut large groups into many partitions.  ``about`` has at
     most one row for each group, whose other columns are added too; they come by
@@ -47,7 +47,7 @@ def indexed_within(df: DataFrame, group: str, order: list[Column], about: DataFr
     cells = written(rows.groupBy("__part", F.col(group).alias("__g")).agg(F.count(F.lit(1)).alias("__n"), F.min("__at").alias("__first")), "cells")
     whole = Window.partitionBy("__g")  # a row for each partition that holds the group
     before = whole.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    found = cells.select(F.col("__part").alias("__p"), "__g", "__first", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"), F.sum("__n").over(whole).alias("size"))
+    found = cells.select(F.col("__part").alias("__p"), "__g", "__first", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"), F.sum("__n").over(whole).alias(count))
     if about is not None:
         found = found.join(about.withColumnRenamed(group, "__a"), F.col("__g").eqNullSafe(F.col("__a"))).drop("__a")
     if cells.count() <= BROADCAST_CELLS:
