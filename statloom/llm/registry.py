@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontaminate, importance, jaccard_join, language_id, license_scan, merkle, mixing, packing, quality_rules, suffix_dedup, tokens, url_filter
+from . import chat_format, decontaminate, importance, jaccard_join, language_id, license_scan, merkle, mixing, packing, quality_rules, repair, suffix_dedup, tokens, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -93,6 +93,11 @@ def op8_license_scans(spark: SparkSession, sf: str) -> DataFrame:
     return license_scan.scan(table(spark, sf, "documents"), license_scan.known_licenses(spark))
 
 
+def op11_conversation_repair(spark: SparkSession, sf: str) -> DataFrame:
+    """Faults of each conversation after planned damage, and its cheapest repair."""
+    return repair.repair_report(table(spark, sf, "conversations"))
+
+
 def op12_source_mixing(spark: SparkSession, sf: str) -> DataFrame:
     """How many words of each document the mix takes, each source near its target."""
     return mixing.mix_sources(table(spark, sf, "documents"))
@@ -122,6 +127,7 @@ def queries() -> dict[str, Query]:
         "op8_license_scans": op8_license_scans,
         "op9_benchmark_decontamination": op9_benchmark_decontamination,
         "op10_url_filters": op10_url_filters,
+        "op11_conversation_repair": op11_conversation_repair,
         "op12_source_mixing": op12_source_mixing,
         "op13_merkle_manifest": op13_merkle_manifest,
         "pipeline": pipeline,
@@ -134,5 +140,6 @@ def oracle_sql() -> dict[str, str]:
         "op8_license_scans": license_scan.SQL,
         "op9_benchmark_decontamination": decontaminate.SQL,
         "op10_url_filters": _url_sql(),
+        "op11_conversation_repair": repair.SQL,
         "op13_merkle_manifest": merkle.SQL,
     }
