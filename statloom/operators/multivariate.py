@@ -227,6 +227,14 @@ def factor_analysis(df: DataFrame, features: list[str], k: int, rounds: int = 10
     return loadings * np.where(sign == 0, 1, sign), h
 
 
+def _distances(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Distances of all rows of u and v, from differences: no digits are lost far from the origin."""
+    d = np.zeros((len(u), len(v)))
+    for k in range(u.shape[1]):
+        d += (u[:, k, None] - v[:, k]) ** 2
+    return np.sqrt(d)
+
+
 def _block_pairs(df: DataFrame, id_col: str, x: str, keep: list[str], rows: int) -> DataFrame:
     """Each row once for every pair of blocks that its block is in; a task compares two blocks of about ``rows``."""
     p = df.select(F.col(id_col).alias("id"), F.col(x).alias("x"), *keep)
@@ -250,7 +258,7 @@ def silhouettes(df: DataFrame, id_col: str, x: str, label: str, rows: int = 2000
     def sums(g: pd.DataFrame) -> pd.DataFrame:
         a, b = g[g["own"]], g[~g["own"]]
         u, v = np.stack(a["x"].to_numpy()), np.stack(b["x"].to_numpy())
-        d = np.sqrt(np.maximum(0, (u * u).sum(1)[:, None] + (v * v).sum(1) - 2 * u @ v.T))
+        d = _distances(u, v)
         d[a["id"].to_numpy()[:, None] == b["id"].to_numpy()] = 0
         names, code = np.unique(b["label"].to_numpy(), return_inverse=True)
         total = d @ np.eye(len(names))[code]
@@ -275,7 +283,7 @@ def distance_matrix(df: DataFrame, id_col: str, x: str, rows: int = 2000) -> Dat
     def run(g: pd.DataFrame) -> pd.DataFrame:
         a, b = g[g["own"]], g[~g["own"]]
         u, v = np.stack(a["x"].to_numpy()), np.stack(b["x"].to_numpy())
-        d = np.sqrt(np.maximum(0, ((u[:, None, :] - v) ** 2).sum(-1))) if len(u) * len(v) < 100_000 else np.sqrt(np.maximum(0, (u * u).sum(1)[:, None] + (v * v).sum(1) - 2 * u @ v.T))
+        d = _distances(u, v)
         i, j = np.nonzero(a["id"].to_numpy()[:, None] < b["id"].to_numpy())
         return pd.DataFrame({"i": a["id"].to_numpy()[i], "j": b["id"].to_numpy()[j], "d": d[i, j]})
 

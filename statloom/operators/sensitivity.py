@@ -17,7 +17,15 @@ from ..functions.distributions import uniform
 from ..plans.order import with_row_index
 
 #: The first primes, bases of Halton sequences.
-PRIMES = (2, 3, 5, 7, 11, 13, 17, 19, 23, 29, 31, 37, 41, 43, 47, 53)
+def primes(n: int) -> list[int]:
+    """The first n primes, by trial division."""
+    out: list[int] = []
+    k = 2
+    while len(out) < n:
+        if all(k % p for p in out if p * p <= k):
+            out.append(k)
+        k += 1
+    return out
 
 Model = Callable[[list[Column]], Column]
 
@@ -34,7 +42,7 @@ def halton(spark: SparkSession, dimensions: int, n: int, skip: int = 0) -> DataF
     """Rows (i, x1, x2, ...) of a Halton sequence; i starts at skip + 1."""
     rows = spark.range(skip + 1, skip + n + 1).select(F.col("id").alias("i"))
     digits = max(1, (skip + n).bit_length())
-    return rows.select("i", *[radical_inverse(F.col("i"), b, math.ceil(digits / math.log2(b)) + 1).alias(f"x{k + 1}") for k, b in enumerate(PRIMES[:dimensions])])
+    return rows.select("i", *[radical_inverse(F.col("i"), b, math.ceil(digits / math.log2(b)) + 1).alias(f"x{k + 1}") for k, b in enumerate(primes(dimensions))])
 
 
 def latin_hypercube(spark: SparkSession, dimensions: int, n: int, seed: int = 0) -> DataFrame:

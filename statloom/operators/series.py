@@ -160,31 +160,71 @@ def local_level(df: DataFrame, x: str, t: str, series: list[str], q: float, r: f
     return _per_series(df, x, t, series, "state double, variance double", run)
 
 
-def mean_changepoints(df: DataFrame, x: str, t: str, series: list[str], penalty: float | None = None, least: int = 2) -> DataFrame:
-    """Adds segment: the piece of a series' optimal partition by mean (squared error, pruned dynamic program)."""
-
-    def run(v: np.ndarray) -> dict:
-        n = len(v)
-        s1, s2 = np.append(0, np.cumsum(v)), np.append(0, np.cumsum(v * v))
-        pen = penalty if penalty is not None else 2 * np.log(max(n, 2)) * max(np.var(v), 1e-12)
+def segment_cost(v: np.ndarray, kind: str = "error"):
+    """cost(a, b) of the pieces a to b (arrays or numbers) of a series, from running sums about its mean.
+
+    ``error``: squared error about the piece's mean; with n values of a piece,
+    ``mean``: n ln(variance); ``variance``: n ln(mean square about the series'
+    mean); ``mean_variance``: n (ln(2 pi variance) + 1).
+    """
+    c = v - v.mean() if len(v) else v
+    s1, s2 = np.append(0, np.cumsum(c)), np.append(0, np.cumsum(c * c))
+
+    def cost(a, b):
+        n, square = b - a, s2[b] - s2[a]
+        error = np.maximum(square - (s1[b] - s1[a]) ** 2 / n, 0)
+        if kind == "error":
+            return error
+        spread = np.log(np.maximum((square if kind == "variance" else error) / n, 1e-12))
+        return n * (spread + 1 + np.log(2 * np.pi)) if kind == "mean_variance" else n * spread
+
+    if kind not in ("error", "mean", "variance", "mean_variance"):
+        raise ValueError(f"no cost {kind!r}")
+    return cost
+
+
+def cut_penalty(v: np.ndarray, kind: str, penalty: float | None) -> float:
+    """A given penalty, or twice the log of the length (times the variance for squared errors, times the parameters else)."""
+    if penalty is not None:
+        return penalty
+    base = np.log(max(len(v), 2))
+    return 2 * base * max(np.var(v), 1e-12) if kind == "error" and len(v) else base * (2 if kind == "mean_variance" else 1)
+
+
+def piecewise(v: np.ndarray, cut) -> np.ndarray:
+    """Segment numbers of a series from the cuts of its known values; a missing value joins the one before it."""
+    known = np.isfinite(v)
+    segment = np.zeros(len(v), int)
+    cuts = np.sort(np.asarray(cut(v[known]), int))
+    place = np.maximum(np.cumsum(known) - 1, 0)
+    return np.searchsorted(cuts, place, side="right").astype(int) if len(cuts) else segment
+
+
+def mean_changepoints(df: DataFrame, x: str, t: str, series: list[str], penalty: float | None = None, least: int = 2, cost: str = "error") -> DataFrame:
+    """Adds segment: the piece of a series' optimal partition under a ``segment_cost`` (pruned dynamic program)."""
+
+    def cuts(v: np.ndarray) -> list[int]:
+        n, price, pen = len(v), segment_cost(v, cost), cut_penalty(v, cost, penalty)
+        if n < 2 * least:
+            return []
         best, prior, open_ = np.append(-pen, np.full(n, np.inf)), np.zeros(n + 1, int), np.array([0])
+        until = np.full(n + 1, n + 1)  # a start that loses to a cut here can still win till that cut's piece is long enough
         for e in range(least, n + 1):
+            open_ = open_[until[open_] > e]
             s = open_[open_ <= e - least]
-            cost = best[s] + (s2[e] - s2[s]) - (s1[e] - s1[s]) ** 2 / (e - s)
-            k = int(np.argmin(cost))
-            best[e], prior[e] = cost[k] + pen, s[k]
-            late = open_[open_ > e - least]
-            open_ = np.concatenate([s[cost <= best[e]], late, [e]]) if e - least >= 0 else open_
-        segment, e, cuts = np.zeros(n, int), n, []
-        while e > 0 and n >= least:
-            cuts.append(prior[e])
-            e = prior[e]
-        for c in cuts:
-            if c > 0:
-                segment[c:] += 1
-        return {"segment": segment}
-
-    return _per_series(df, x, t, series, "segment int", run)
+            total = best[s] + price(s, e)
+            k = int(np.argmin(total))
+            best[e], prior[e] = total[k] + pen, s[k]
+            late = s[total > best[e]]
+            until[late] = np.minimum(until[late], e + least)
+            open_ = np.append(open_, e)
+        found, e = [], n
+        while e > 0:
+            e = int(prior[e])
+            found.append(e)
+        return found[:-1]
+
+    return _per_series(df, x, t, series, "segment int", lambda v: {"segment": piecewise(v, cuts)})
 
 
 def ljung_box(acf: DataFrame, series: list[str]) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import special
 from .descriptive import observed
-from .series import _per_series
+from .series import _per_series, cut_penalty, piecewise, segment_cost
 
 
 def _each(df: DataFrame, x: str, t: str, series: list[str], fields: str, run) -> DataFrame:
@@ -259,28 +259,25 @@ def segment_costs(df: DataFrame, x: str, segment: list[str], centre: float = 0.0
     return s.select(*segment, (n * F.ln(F.greatest("v", least))).alias("mean"), (n * F.ln(F.greatest("u", least))).alias("variance"), (n * (F.ln(F.greatest("v", least)) + 1 + float(np.log(2 * np.pi)))).alias("mean_variance"))
 
 
-def binary_segmentation(df: DataFrame, x: str, t: str, series: list[str], penalty: float | None = None, least: int = 2) -> DataFrame:
-    """Adds segment: a series is cut in two where the squared error falls most, again and again while it pays."""
+def binary_segmentation(df: DataFrame, x: str, t: str, series: list[str], penalty: float | None = None, least: int = 2, cost: str = "error") -> DataFrame:
+    """Adds segment: a series is cut in two where its ``segment_cost`` falls most, again and again while it pays."""
 
-    def run(v):
-        n = len(v)
-        s1, s2 = np.append(0, np.cumsum(v)), np.append(0, np.cumsum(v * v))
-        pen = penalty if penalty is not None else 2 * np.log(max(n, 2)) * max(np.var(v), 1e-12)
-        error = lambda a, b: (s2[b] - s2[a]) - (s1[b] - s1[a]) ** 2 / (b - a)
-        cuts, open_ = [], [(0, n)]
+    def cut(v: np.ndarray) -> list[int]:
+        price, pen = segment_cost(v, cost), cut_penalty(v, cost, penalty)
+        cuts, open_ = [], [(0, len(v))]
         while open_:
             a, b = open_.pop()
             at = np.arange(a + least, b - least + 1)
             if not len(at):
                 continue
-            gain = error(a, b) - error(a, at) - error(at, b)
+            gain = price(a, b) - price(a, at) - price(at, b)
             k = int(np.argmax(gain))
             if gain[k] > pen:
                 cuts.append(int(at[k]))
                 open_ += [(a, int(at[k])), (int(at[k]), b)]
-        return {"segment": np.searchsorted(np.sort(cuts), np.arange(n), side="right").astype(int)}
+        return cuts
 
-    return _per_series(df, x, t, series, "segment int", run)
+    return _per_series(df, x, t, series, "segment int", lambda v: {"segment": piecewise(v, cut)})
 
 
 def online_changepoints(df: DataFrame, x: str, t: str, series: list[str], hazard: float = 1 / 250, floor: float = 1e-10) -> DataFrame:

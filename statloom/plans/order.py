@@ -52,26 +52,33 @@ def values_at(df: DataFrame, value: str, ranks: list[int], bins: int = 4096) ->
 
     A pass counts the rows in equal bins of the range that holds the rank and
     goes on in that bin, until it has few different values; nothing is sorted,
-    and the driver gets at most ``bins`` counts a pass.
+    and the driver gets at most about ``bins`` counts a pass.  Infinite values
+    are counted beside the bins.
     """
     v = F.col(value)
-    ends = df.agg(F.min(v).alias("lo"), F.max(v).alias("hi")).first()
+    infinite = F.lit(float("inf"))
+    ends = df.agg(F.min(F.when(F.abs(v) < infinite, v)).alias("lo"), F.max(F.when(F.abs(v) < infinite, v)).alias("hi"), F.sum((v == -infinite).cast("long")).alias("under"), F.sum((F.abs(v) < infinite).cast("long")).alias("n")).first()
+    finite, under = df.where(F.abs(v) < infinite), ends["under"] or 0
     out = []
     for rank in ranks:
-        lo, hi, rows = ends["lo"], ends["hi"], df
+        if not under <= rank < under + (ends["n"] or 0):
+            out.append(float("-inf" if rank < under else "inf"))
+            continue
+        lo, hi, rows, rank = ends["lo"], ends["hi"], finite, rank - under
         while lo < hi:
-            few = rows.groupBy(value).agg(F.count(F.lit(1)).alias("n")).limit(bins + 1).collect() if hi - lo <= abs(lo) * 1e-9 or rows is not df else None
-            if few is not None and len(few) <= bins:
-                for x, n in sorted((r[value], r["n"]) for r in few):
-                    if rank < n:
-                        lo = hi = x
-                        break
-                    rank -= n
-                break
-            width = (hi - lo) / bins
-            if not lo + width > lo:
-                raise ValueError("values too close to tell apart")
-            number = F.least(F.floor((v - F.lit(lo)) / F.lit(width)), F.lit(bins - 1))
+            width = hi / bins - lo / bins
+            close = not lo + width > lo  # then there are not many more doubles than bins
+            if close or hi - lo <= abs(lo) * 1e-9 or rows is not finite:
+                values = rows.groupBy(value).agg(F.count(F.lit(1)).alias("n"))
+                few = (values if close else values.limit(bins + 1)).collect()
+                if close or len(few) <= bins:
+                    for x, n in sorted((r[value], r["n"]) for r in few):
+                        if rank < n:
+                            lo = hi = x
+                            break
+                        rank -= n
+                    break
+            number = F.greatest(F.least(F.floor((v - F.lit(lo)) / F.lit(width)) if hi - lo < float("inf") else F.floor(v / F.lit(width) - F.lit(lo / width)), F.lit(bins - 1)), F.lit(0))
             counts = rows.groupBy(number.alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi")).collect()
             for r in sorted(counts, key=lambda r: r["b"]):
                 if rank < r["n"]:
