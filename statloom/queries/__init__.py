@@ -1,3 +1,3 @@
 """The library's queries over the test tables, by subject; importing registers them."""
 
-from . import describe, designs, inference, models, networks, sequences, structure, trees  # noqa: F401
+from . import describe, designs, inference, models, networks, sequences, structure, trees, validation  # noqa: F401
