@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import special
+from . import arma
 from .descriptive import observed
 from .series import _per_series, cut_penalty, piecewise, segment_cost
 
@@ -120,85 +121,26 @@ def state_space_em(df: DataFrame, x: str, t: str, series: list[str], model: str
     return _each(df, x, t, series, "q array<double>, r double, log_likelihood double", run)
 
 
-def _arma_errors(w, c, ar, ma):
-    e = np.zeros(len(w))
-    p, q = len(ar), len(ma)
-    for k in range(len(w)):
-        e[k] = w[k] - c - sum(ar[i] * (w[k - 1 - i] - c) for i in range(min(p, k))) - sum(ma[j] * e[k - 1 - j] for j in range(min(q, k)))
-    return e
-
-
-def _fit_arma(w, p, q):
-    """Mean, coefficients, errors: long autoregression, regression on lags and its errors (Hannan and Rissanen)."""
-    c = w.mean()
-    z = w - c
-    if p == q == 0 or len(z) < 3 * (p + q) + 5:
-        return c, np.zeros(p), np.zeros(q), z
-    e = z
-    if q:
-        m = min(max(p + q, int(len(z) ** 0.5)), len(z) // 3)
-        lags = np.column_stack([z[m - 1 - i : len(z) - 1 - i] for i in range(m)])
-        e = np.append(np.zeros(m), z[m:] - lags @ np.linalg.lstsq(lags, z[m:], rcond=None)[0])
-    start = max(p, q) + (int(len(z) ** 0.5) if q else 0)
-    cols = [z[start - 1 - i : len(z) - 1 - i] for i in range(p)] + [e[start - 1 - j : len(z) - 1 - j] for j in range(q)]
-    b = np.linalg.lstsq(np.column_stack(cols), z[start:], rcond=None)[0]
-    ma = b[p:] * min(1.0, 0.98 / max(np.abs(b[p:]).sum(), 1e-12)) if q else b[p:]
-    return c, b[:p], ma, _arma_errors(w, c, b[:p], ma)
-
-
-def _arima(v, p, d, q):
-    v = v[np.isfinite(v)]
-    w = np.diff(v, n=d)
-    c, ar, ma, e = _fit_arma(w, p, q)
-    s2 = max(float(np.mean(e**2)), 1e-300)
-    return v, w, c, ar, ma, e, s2, len(w) * np.log(s2) + 2 * (p + q + 1)
-
-
 def arima(df: DataFrame, x: str, t: str, series: list[str], p: int, d: int, q: int) -> DataFrame:
-    """Per series: ar, ma (arrays), mean of the differenced values, variance of the errors, aic."""
-
-    def run(v):
-        _, _, c, ar, ma, _, s2, aic = _arima(v, p, d, q)
-        return {"ar": [ar.tolist()], "ma": [ma.tolist()], "mean": [c], "variance": [s2], "aic": [aic]}
-
-    return _each(df, x, t, series, "ar array<double>, ma array<double>, mean double, variance double, aic double", run)
-
-
-def _forecast(fit, d, horizon, z):
-    v, w, c, ar, ma, e, s2, _ = fit
-    w, e = list(w), list(e)
-    psi = [1.0]
-    for k in range(1, horizon):
-        psi.append((ma[k - 1] if k <= len(ma) else 0.0) + sum(ar[i] * psi[k - 1 - i] for i in range(min(len(ar), k))))
-    for _ in range(d):
-        psi = np.cumsum(psi).tolist()
-    ahead = []
-    for _ in range(horizon):
-        y = c + sum(ar[i] * (w[-1 - i] - c) for i in range(min(len(ar), len(w)))) + sum(ma[j] * e[-1 - j] for j in range(min(len(ma), len(e))))
-        w.append(y)
-        e.append(0.0)
-        ahead.append(y)
-    for k in range(d, 0, -1):
-        ahead = (np.diff(v, n=k - 1)[-1] + np.cumsum(ahead)).tolist()
-    half = z * np.sqrt(s2 * np.cumsum(np.square(psi)))
-    return {"step": range(1, horizon + 1), "mean": ahead, "low": np.array(ahead) - half, "high": np.array(ahead) + half}
+    """Per series: ar, ma (arrays), mean of the differenced values, variance of the errors, aic; nulls where it is too short."""
+    return arma.sarima(df, x, t, series, arma.Orders(p, d, q)).drop("seasonal_ar", "seasonal_ma")
 
 
 def arima_forecast(df: DataFrame, x: str, t: str, series: list[str], p: int, d: int, q: int, horizon: int, confidence: float = 0.95) -> DataFrame:
     """Rows (step, mean, low, high) of each series."""
-    z = float(special.normal_quantile(0.5 + confidence / 2))
-    return _each(df, x, t, series, "step int, mean double, low double, high double", lambda v: _forecast(_arima(v, p, d, q), d, horizon, z))
+    return arma.sarima_forecast(df, x, t, series, arma.Orders(p, d, q), horizon, confidence)
 
 
 def auto_arima(df: DataFrame, x: str, t: str, series: list[str], most_p: int = 3, most_d: int = 2, most_q: int = 3) -> DataFrame:
-    """Per series: the orders of least aic, differenced while that takes a good deal off the spread."""
+    """Per series: the orders of least aic, differenced until a unit-root test at 5 % rejects; nulls where it is too short."""
 
     def run(v):
         v, d = v[np.isfinite(v)], 0
-        while d < most_d and len(v) > 10 + d and np.std(np.diff(v, n=d + 1)) < 0.9 * np.std(np.diff(v, n=d)):
+        while d < most_d and arma.unit_root(np.diff(v, n=d)) >= -2.86:
             d += 1
-        best = min((_arima(v, p, d, q)[7], p, q) for p in range(most_p + 1) for q in range(most_q + 1) if p + q)
-        return {"p": [best[1]], "d": [d], "q": [best[2]], "aic": [best[0]]}
+        fits = [(p, q, arma.fit(v, arma.Orders(p, d, q))) for p in range(most_p + 1) for q in range(most_q + 1) if p + q]
+        best = min(((f.aic, p, q) for p, q, f in fits if f is not None), default=None)
+        return {"p": [best[1]], "d": [d], "q": [best[2]], "aic": [best[0]]} if best else {c: [None] for c in ("p", "d", "q", "aic")}
 
     return _each(df, x, t, series, "p int, d int, q int, aic double", run)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import arma as A
 from ..operators import mixed as X
 from ..operators import regression as R
 from ..operators import statespace as S
@@ -40,7 +41,66 @@ def _arima(spark, sf):
     return S.arima(_events(spark, sf), "value", "event_id", ["user_id"], 1, 0, 1)
 
 
-@register("arima_forecast")
+_LAG = "WITH s AS (SELECT user_id, event_id, value AS y, lag(value, {k}) OVER (PARTITION BY user_id ORDER BY event_id) AS l FROM events), f AS (SELECT user_id, regr_slope(y, l) AS a, regr_intercept(y, l) AS b, regr_syy(y, l) * (1 - regr_r2(y, l)) AS sse, count(l) AS n FROM s GROUP BY user_id)"
+
+
+@register("arima_lags", f"{_LAG.format(k=1)} SELECT user_id, a AS lag, b / (1 - a) AS mean, sse / n AS variance, n * ln(sse / n) + 4 AS aic FROM f", rounded=("lag", "mean", "variance", "aic"), digits=4)
+def _arima_lags(spark, sf):
+    """One lag, whose conditional likelihood is a regression."""
+    return S.arima(_events(spark, sf), "value", "event_id", ["user_id"], 1, 0, 0).select("user_id", F.col("ar")[0].alias("lag"), "mean", "variance", "aic")
+
+
+@register("sarima_lags", f"{_LAG.format(k=7)} SELECT user_id, a AS lag, b / (1 - a) AS mean, sse / n AS variance, n * ln(sse / n) + 4 AS aic FROM f", rounded=("lag", "mean", "variance", "aic"), digits=4)
+def _sarima_lags(spark, sf):
+    """One seasonal lag of period 7."""
+    return A.sarima(_events(spark, sf), "value", "event_id", ["user_id"], A.Orders(0, 0, 0, 1, 0, 0, 7)).select("user_id", F.col("seasonal_ar")[0].alias("lag"), "mean", "variance", "aic")
+
+
+_WEEKS = "WITH s AS (SELECT user_id, event_id, value - lag(value, 7) OVER (PARTITION BY user_id ORDER BY event_id) AS w, value AS y, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS back FROM events), m AS (SELECT user_id, avg(w) AS c, var_pop(w) AS s2 FROM s WHERE w IS NOT NULL GROUP BY user_id)"
+
+
+@register(
+    "sarima_forecast",
+    f"{_WEEKS} SELECT user_id, (8 - back)::INT AS step, y + c AS mean, y + c - 1.959963984540054 * sqrt(s2) AS low, y + c + 1.959963984540054 * sqrt(s2) AS high FROM s JOIN m USING (user_id) WHERE back <= 7",
+    rounded=("mean", "low", "high"), digits=9,
+)
+def _sarima_forecast(spark, sf):
+    """The next week from the last one and the mean change from week to week."""
+    return A.sarima_forecast(_events(spark, sf), "value", "event_id", ["user_id"], A.Orders(0, 0, 0, 0, 1, 0, 7), 7)
+
+
+@register(
+    "broken_trend",
+    """WITH e AS (SELECT CAST(event_id AS DOUBLE) AS t, greatest(event_id - 400.0, 0) AS u, value AS y FROM events), c AS (SELECT covar_pop(t, t) AS tt, covar_pop(u, u) AS uu, covar_pop(t, u) AS tu, covar_pop(t, y) AS ty, covar_pop(u, y) AS uy, avg(t) AS mt, avg(u) AS mu, avg(y) AS my FROM e),
+    b AS (SELECT *, (ty * uu - uy * tu) / (tt * uu - tu * tu) AS s, (uy * tt - ty * tu) / (tt * uu - tu * tu) AS d FROM c)
+    SELECT event_id, my - s * mt - d * mu + s * event_id + d * greatest(event_id - 400.0, 0) AS trend, value - (my - s * mt - d * mu + s * event_id + d * greatest(event_id - 400.0, 0)) AS residual FROM events, b""",
+    rounded=("trend", "residual"), digits=5,
+)
+def _trend(spark, sf):
+    """A trend that may break at event 400, without a charge for it."""
+    t = table(spark, sf, "events")
+    return A.broken_trend(t, "value", "event_id", [400.0], penalty=0.0).apply(t, "event_id", "value").select("event_id", "trend", "residual")
+
+
+@register(
+    "seasonal_trend",
+    "SELECT event_id, 40 + 0.01 * event_id + 0.02 * greatest(event_id - 300.0, 0) - 0.05 * greatest(event_id - 700.0, 0) AS trend, 2 * cos(2 * pi() * event_id / 7) - sin(4 * pi() * event_id / 30.5) AS seasonal FROM events",
+    rounded=("trend", "seasonal"), digits=7,
+)
+def _season(spark, sf):
+    """The parts of a given model, as columns."""
+    model = A.BrokenTrend(40.0, 0.01, (300.0, 700.0), (0.02, -0.05), ((7.0, 1, 2.0, 0.0), (30.5, 2, 0.0, -1.0)))
+    return model.apply(table(spark, sf, "events"), "event_id").select("event_id", "trend", "seasonal")
+
+
+@register(
+    "arima_forecast",
+    """WITH s AS (SELECT user_id, event_id, value AS y, value - lag(value) OVER (PARTITION BY user_id ORDER BY event_id) AS w FROM events), l AS (SELECT *, lag(w) OVER (PARTITION BY user_id ORDER BY event_id) AS b FROM s),
+    f AS (SELECT user_id, regr_slope(w, b) AS a, regr_intercept(w, b) / (1 - regr_slope(w, b)) AS c, regr_syy(w, b) * (1 - regr_r2(w, b)) / count(b) AS s2, arg_max(y, event_id) AS y, arg_max(w, event_id) AS w FROM l GROUP BY user_id),
+    h AS (SELECT *, unnest(range(1, 6)) AS h FROM f), m AS (SELECT user_id, h::INT AS step, y + h * c + (w - c) * a * (1 - a ** h) / (1 - a) AS mean, 1.959963984540054 * sqrt(s2 * list_sum(list_transform(range(h), lambda j: ((1 - a ** (j + 1)) / (1 - a)) ** 2))) AS half FROM h)
+    SELECT user_id, step, mean, mean - half AS low, mean + half AS high FROM m""",
+    rounded=("mean", "low", "high"), digits=3,
+)
 def _forecast(spark, sf):
     return S.arima_forecast(_events(spark, sf), "value", "event_id", ["user_id"], 1, 1, 0, 5)
 
