@@ -377,7 +377,44 @@ def kolmogorov_sf(d, n):
     return np.clip(np.where(x < 0.2, 1.0, total), 0, 1)
 
 
-_FUNCTIONS: dict[str, Callable] = {f.__name__: f for f in (gamma_ln, gamma, log_factorial, factorial, log_binomial, binomial, beta_ln, beta, gamma_p, beta_i, erf, erfc, digamma, normal_cdf, normal_pdf, normal_quantile, t_cdf, t_two_sided, t_quantile, chi2_sf, chi2_quantile, f_sf, normal_two_sided, kolmogorov_sf, gamma_quantile, beta_quantile, t_pdf, chi2_cdf, chi2_pdf, f_cdf, f_pdf, gamma_cdf, beta_cdf, bessel_i0e, bessel_ratio, von_mises_cdf, von_mises_quantile, binomial_quantile, poisson_quantile, negative_binomial_quantile, hypergeometric_cdf, hypergeometric_quantile)}
+def f_quantile(p, d1, d2):
+    """Quantiles of F, by those of the beta distribution that it stands for."""
+    d1, d2 = np.asarray(d1, float), np.asarray(d2, float)
+    b = beta_quantile(p, d1 / 2, d2 / 2)
+    return d2 * b / (d1 * np.maximum(1 - b, 1e-300))
+
+
+#: Half shifts from which a noncentral tail is that of a normal variable.
+_FAR = 20_000.0
+
+
+def _poisson_mixture(tail: Callable, shift) -> np.ndarray:
+    """The mean of tail(k) over a Poisson number k with mean shift / 2, as far as its weights reach."""
+    mean = np.minimum(np.asarray(shift, float) / 2, _FAR)
+    most = float(np.max(mean, initial=0.0))
+    total = np.zeros(mean.shape)
+    for k in range(max(0, int(np.min(mean, initial=most) - 9 * np.sqrt(most) - 20)), int(most + 9 * np.sqrt(most) + 40)):
+        weight = np.exp(k * np.log(np.maximum(mean, 1e-300)) - mean - gamma_ln(k + 1.0))
+        total = total + np.where((mean == 0) & (k == 0), 1.0, weight) * tail(k)
+    return np.clip(total, 0, 1)
+
+
+def noncentral_chi2_sf(x, df, shift):
+    """The chance that a chi-squared variable whose mean is moved by ``shift`` exceeds x."""
+    x, df, shift = np.broadcast_arrays(*(np.asarray(v, float) for v in (x, df, shift)))
+    far = normal_cdf((df + shift - x) / np.sqrt(2 * (df + 2 * shift)))
+    return np.where(shift > 2 * _FAR, far, _poisson_mixture(lambda k: chi2_sf(x, df + 2 * k), shift))
+
+
+def noncentral_f_sf(x, d1, d2, shift):
+    """The chance that an F variable whose numerator is moved by ``shift`` exceeds x."""
+    x, d1, d2, shift = np.broadcast_arrays(*(np.asarray(v, float) for v in (x, d1, d2, shift)))
+    y = d1 * x / (d1 * x + d2)
+    far = normal_cdf((d1 + shift - d1 * x) / np.sqrt(2 * (d1 + 2 * shift) + 2 * (d1 * x) ** 2 / d2))
+    return np.where(shift > 2 * _FAR, far, _poisson_mixture(lambda k: beta_i(1 - y, d2 / 2, d1 / 2 + k), shift))
+
+
+_FUNCTIONS: dict[str, Callable] = {f.__name__: f for f in (gamma_ln, gamma, log_factorial, factorial, log_binomial, binomial, beta_ln, beta, gamma_p, beta_i, erf, erfc, digamma, normal_cdf, normal_pdf, normal_quantile, t_cdf, t_two_sided, t_quantile, chi2_sf, chi2_quantile, f_sf, normal_two_sided, kolmogorov_sf, gamma_quantile, beta_quantile, t_pdf, chi2_cdf, chi2_pdf, f_cdf, f_pdf, gamma_cdf, beta_cdf, bessel_i0e, bessel_ratio, von_mises_cdf, von_mises_quantile, binomial_quantile, poisson_quantile, negative_binomial_quantile, hypergeometric_cdf, hypergeometric_quantile, f_quantile, noncentral_chi2_sf, noncentral_f_sf)}
 
 
 def column(name: str, *args: Column | str | float) -> Column:

@@ -276,6 +276,25 @@ def complete_rows(df: DataFrame, columns: list[str]) -> DataFrame:
     return df
 
 
+def quantile_points(df: DataFrame, x: str, quantile) -> DataFrame:
+    """Rows (i, theoretical, sample) of a quantile-quantile plot: sorted values against ``quantile`` of a Column of chances.
+
+    The chance of the i-th of n values is (i + 0.6825) / (n + 0.365), from i = 0.
+    ``quantile`` may be that of a ``distributions.distribution``.
+    """
+    from ..plans.order import with_row_index
+
+    rows = with_row_index(df.select(observed(x).alias("sample")).where("sample IS NOT NULL"), "sample", name="i")
+    n = rows.agg(F.count(F.lit(1)).cast("double").alias("__n"))
+    return beside(rows, n, []).select("i", quantile((F.col("i") + 0.6825) / (F.col("__n") + 0.365)).alias("theoretical"), "sample")
+
+
+def pairs_of(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows (x_name, y_name, x, y) for each ordered pair of columns, as a matrix of scatter plots takes them; missing values stay null."""
+    cells = [F.struct(F.lit(a).alias("x_name"), F.lit(b).alias("y_name"), observed(a).alias("x"), observed(b).alias("y")) for a in columns for b in columns if a != b]
+    return df.select(F.inline(F.array(*cells)))
+
+
 def fill_with(df: DataFrame, x: str, how: str = "mean", by: list[str] = ()) -> DataFrame:
     """Fills missing values with the mean, median or mode (the least of the most frequent) of their group."""
     by = list(by)

@@ -130,6 +130,57 @@ def correlation_power(r: Column, n: Column, alpha: float = 0.05, tails: int = 2)
     return normal_power(F.atanh(r) * F.sqrt(n - 3), alpha, tails)
 
 
+def anova_power(f: Column, groups: Column | float, n: Column, alpha: float = 0.05) -> Column:
+    """Power of a one-way analysis of variance with n rows in each group, for Cohen's f."""
+    k = groups if isinstance(groups, Column) else F.lit(float(groups))
+    d1, d2 = k - 1, k * (n - 1)
+    return _p("noncentral_f_sf", _p("f_quantile", F.lit(1 - alpha), d1, d2), d1, d2, k * n * f * f)
+
+
+def chi_squared_power(w: Column, df: Column | float, n: Column, alpha: float = 0.05) -> Column:
+    """Power of a chi-squared test with n rows in all, for Cohen's w."""
+    free = df if isinstance(df, Column) else F.lit(float(df))
+    return _p("noncentral_chi2_sf", _p("chi2_quantile", F.lit(1 - alpha), free), free, n * w * w)
+
+
+def observed_power(df: DataFrame, x: str, group: str, alpha: float = 0.05) -> DataFrame:
+    """One row: groups, n (harmonic mean of their sizes), Cohen's f of the group means and the power of their comparison."""
+    v = observed(x)
+    s = df.groupBy(group).agg(F.count(v).alias("n"), F.avg(v).alias("m"), F.var_pop(v).alias("v")).where("n > 0")
+    n, m = F.col("n"), F.col("m")
+    t = s.agg(F.count(F.lit(1)).alias("groups"), (F.count(F.lit(1)) / F.sum(1 / n)).alias("n"), F.sum(n).alias("all"), F.sum(n * F.col("v")).alias("within"), (F.sum(n * m * m) - F.pow(F.sum(n * m), 2) / F.sum(n)).alias("between"))
+    t = t.select("groups", "n", F.sqrt(F.col("between") / F.col("within")).alias("f"))
+    return t.withColumn("power", anova_power(F.col("f"), F.col("groups").cast("double"), F.col("n"), alpha))
+
+
+def least_n(table: DataFrame, power_of, power: float = 0.8, low: int = 2, doublings: int = 20) -> DataFrame:
+    """Adds n: for each row of a table, the least whole number (``low`` at least) whose power, ``power_of`` of a Column, reaches ``power``.
+
+    Doublings of ``low`` are tried first, all in one pass; each further pass tries
+    64 numbers of a row's own interval.  Null where ``doublings`` don't reach it.
+    """
+    rows = table.withColumn("__id", F.monotonically_increasing_id())
+    names = [F.col(c) for c in rows.columns]
+    reached = power_of(F.col("__m").cast("double")) >= power
+
+    def tried(rows: DataFrame, numbers: Column) -> DataFrame:
+        """The least number tried that reaches the power, and the largest below it."""
+        out = rows.withColumn("__m", F.explode(numbers)).withColumn("__ok", F.coalesce(reached, F.lit(False))).groupBy(*names)
+        out = out.agg(F.min(F.when(F.col("__ok"), F.col("__m"))).alias("__hi"), F.sort_array(F.collect_list("__m")).alias("__all"))
+        return out.withColumn("__lo", F.coalesce(F.array_max(F.filter("__all", lambda m: m < F.col("__hi"))), F.lit(low - 1).cast("long"))).drop("__all")
+
+    rows = tried(rows, F.array(*[F.lit(low << k).cast("long") for k in range(doublings + 1)]))
+    width = low << doublings
+    while width > 1:
+        step = F.greatest(F.ceil((F.col("__hi") - F.col("__lo")) / 64), F.lit(1)).cast("long")
+        numbers = F.when(F.col("__hi").isNotNull(), F.array_union(F.sequence(F.least(F.col("__lo") + step, F.col("__hi")), F.col("__hi"), step), F.array("__hi"))).otherwise(F.array(F.lit(low).cast("long")))
+        base = rows.select(*names, "__hi", "__lo").withColumnsRenamed({"__hi": "__h", "__lo": "__l"})
+        found = tried(rows, numbers).withColumnsRenamed({"__id": "__i"}).select("__i", "__hi", "__lo")
+        rows = base.join(found, base["__id"] == found["__i"]).select(*names, F.when(F.col("__h").isNotNull(), F.col("__hi")).alias("__hi"), F.greatest("__l", "__lo").alias("__lo"))
+        width = -(-width // 64)
+    return rows.select(*[F.col(c) for c in table.columns], F.col("__hi").alias("n"))
+
+
 def sample_size(spark, power_of, power: float = 0.8, most: int = 1_000_000) -> DataFrame:
     """The least n (column n) whose power, ``power_of`` of a Column, reaches ``power``; null beyond ``most``.
 

@@ -57,6 +57,11 @@ class LinearModel:
     def transform(self, df: DataFrame, name: str = "prediction") -> DataFrame:
         return df.withColumn(name, linear(self.coefficients, self.features))
 
+    def intervals(self, spark, confidence: float = 0.95) -> DataFrame:
+        """``table`` with the low and high end of each coefficient's t interval."""
+        half = float(special.t_quantile(0.5 + confidence / 2, self.n - len(self.features) - 1))
+        return self.table(spark).withColumns({"low": F.col("estimate") - half * F.col("se"), "high": F.col("estimate") + half * F.col("se")})
+
 
 def simple_linear(df: DataFrame, x: str, y: str, by: list[str] = ()) -> DataFrame:
     """n, slope, intercept and R squared of y on x for each group, in one aggregate."""
@@ -65,6 +70,26 @@ def simple_linear(df: DataFrame, x: str, y: str, by: list[str] = ()) -> DataFram
     return df.where(both).groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.regr_slope(v, u).alias("slope"), F.regr_intercept(v, u).alias("intercept"), F.regr_r2(v, u).alias("r2"))
 
 
+def simple_intervals(df: DataFrame, x: str, y: str, confidence: float = 0.95, by: list[str] = ()) -> DataFrame:
+    """Rows (term, estimate, se, statistic, p_value, low, high) of the intercept and slope of each group, from one aggregate.
+
+    Groups with fewer than three complete rows, or one x only, have nulls from se on.
+    """
+    u, v = observed(x), observed(y)
+    both = u.isNotNull() & v.isNotNull()
+    s = df.where(both).groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(u).alias("m"), F.regr_sxx(v, u).alias("sxx"), F.regr_syy(v, u).alias("syy"), F.regr_sxy(v, u).alias("sxy"), F.regr_slope(v, u).alias("b"), F.regr_intercept(v, u).alias("a"))
+    free = F.when((F.col("n") > 2) & (F.col("sxx") > 0), (F.col("n") - 2).cast("double"))
+    s = s.withColumn("df", free).withColumn("mse", F.greatest(F.col("syy") - F.col("b") * F.col("sxy"), F.lit(0.0)) / F.col("df"))
+    terms = F.array(
+        F.struct(F.lit("(intercept)").alias("term"), F.col("a").alias("estimate"), F.sqrt(F.col("mse") * (1 / F.col("n") + F.col("m") * F.col("m") / F.col("sxx"))).alias("se")),
+        F.struct(F.lit(x).alias("term"), F.col("b").alias("estimate"), F.sqrt(F.col("mse") / F.col("sxx")).alias("se")),
+    )
+    rows = s.select(*by, "df", F.inline(terms)).withColumn("statistic", F.col("estimate") / F.col("se"))
+    half = special.column("t_quantile", F.lit(0.5 + confidence / 2), F.col("df")) * F.col("se")
+    rows = rows.withColumns({"p_value": special.column("t_two_sided", F.col("statistic"), F.col("df")), "__h": half})
+    return rows.select(*by, "term", "estimate", "se", "statistic", "p_value", (F.col("estimate") - F.col("__h")).alias("low"), (F.col("estimate") + F.col("__h")).alias("high"))
+
+
 def from_moments(features: list[str], n: int, mean: np.ndarray, s: np.ndarray) -> LinearModel:
     """Ordinary least squares from centred sums of products; the last column is the response."""
     p = len(features)
