@@ -1,8 +1,8 @@
 """Licence scans by digests of canonical texts.
 
-A text is brought to a canonical form: lower case, copyright lines out,
-equivalent spellings made one, everything but letters and digits a single
-space.  The digest of the whole canonical text is hash-joined with the digests
+A text is brought to a canonical form: lower case, copyright statements and
+titles out (whole lines that say no more), equivalent spellings made one,
+everything but letters and digits a single space.  The digest of the whole canonical text is hash-joined with the digests
 of known licence texts.  Each line of a text is looked up whole in the same way,
 which finds the notices that authors put into a text.
 
@@ -65,13 +65,25 @@ KNOWN = (
 )
 
 
-def canonical(text: str | Column) -> Column:
-    """The canonical form of a text; empty for a null."""
+#: Lines that only say whose work it is: the word and then a year, a sign or "by"; or a sign and then a year.
+_OWNER = r"(^|\n)[ \t*#/;-]*(copyright[ \t]*(\(c\)|©|&copy;|<|\[|[0-9]{4}|by )[^\n]*|(\(c\)|©|&copy;)[ \t]*[0-9]{4}[^\n]*|all rights reserved\.?[ \t\r]*)"
+#: Lines that only name a licence.
+_TITLE = r"(^|\n)[ \t*#/;-]*(the )?(mit|isc|zlib|zlib/libpng|unlicense|apache|bsd|0bsd|bsd[ -](zero|[0-4])[ -]clause( [\"']?(simplified|new|revised)[\"']?( or [\"']?(revised|freebsd)[\"']?)?)?) licen[sc]e( \((mit|isc|zlib|0bsd|x11)\)|,? version 2\.0)?:?[ \t\r]*(\n|$)"
+
+
+def _canonical_lines(text: str | Column) -> Column:
+    """The canonical form of a text, line by line: words and single spaces."""
     out = F.lower(F.coalesce(text, F.lit("")))
-    out = F.regexp_replace(out, r"(^|\n)[ \t]*(copyright|\(c\)|©)[^\n]*", "\n")
+    out = F.regexp_replace(out, _TITLE, "\n")
+    out = F.regexp_replace(out, _OWNER, "\n")
     for old, new in SPELLINGS:
         out = F.replace(out, F.lit(old), F.lit(new))
-    return F.btrim(F.regexp_replace(out, r"[^\p{L}\p{N}]+", " "))
+    return F.regexp_replace(out, r"[^\p{L}\p{N}\n]+", " ")
+
+
+def canonical(text: str | Column) -> Column:
+    """The canonical form of a text; empty for a null."""
+    return F.btrim(F.regexp_replace(_canonical_lines(text), r"[ \n]+", " "))
 
 
 def digest(text: str | Column) -> Column:
@@ -92,9 +104,9 @@ def scan(docs: DataFrame, licenses: DataFrame, id_col: str = "doc_id", text_col:
     known = licenses.groupBy(digest("text").alias("digest")).agg(F.min("name").alias("name")).where(F.col("digest") != F.sha2(F.lit(""), 256))
     known = F.broadcast(known) if licenses.count() <= BROADCAST_ROWS else known
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    lines = rows.select(F.md5(F.col("text").cast("binary")).alias("k"), "text").select("k", F.explode(F.split("text", "\n")).alias("line"))
-    lines = lines.where(F.length("line") > 0)
-    found = lines.select("k", digest("line").alias("digest")).join(known, "digest")
+    lines = rows.select(F.md5(F.col("text").cast("binary")).alias("k"), F.explode(F.split(_canonical_lines("text"), "\n")).alias("line"))
+    lines = lines.select("k", F.btrim("line").alias("line")).where("line <> ''")
+    found = lines.select("k", F.sha2("line", 256).alias("digest")).join(known, "digest")
     found = found.groupBy("k", "name").agg(F.count(F.lit(1)).alias("n"))
     found = found.groupBy("k").agg(F.sum("n").alias("n"), F.array_join(F.array_sort(F.collect_set("name")), ",").alias("notices"))
     copies = rows.select(F.md5(F.col("text").cast("binary")).alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("copies"))
@@ -105,7 +117,9 @@ def scan(docs: DataFrame, licenses: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def _sql_canonical(text: str) -> str:
-    out = f"regexp_replace(lower(coalesce({text}, '')), '(^|\\n)[ \\t]*(copyright|\\(c\\)|©)[^\\n]*', chr(10), 'g')"
+    out = f"lower(coalesce({text}, ''))"
+    for pattern in (_TITLE, _OWNER):
+        out = "regexp_replace({}, '{}', chr(10), 'g')".format(out, pattern.replace("'", "''"))
     for old, new in SPELLINGS:
         out = f"replace({out}, '{old}', '{new}')"
     return f"trim(regexp_replace({out}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' ')"
