@@ -26,6 +26,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._order import indexed_within
+
 #: Turn numbers of one row of ``records``.
 CHUNK_TURNS = 64
 
@@ -51,8 +53,14 @@ def _turns(conversations: DataFrame, conv_col: str, turn_col: str, role_col: str
 
 
 def paired_turns(conversations: DataFrame, pairs: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """Different turns (pair_id, turn, role, text) of pairs (pair_id, chosen, rejected); c and r: whether either side has them."""
+    """Different turns (pair_id, turn, role, text) of pairs (pair_id, chosen, rejected); c and r: whether either side has them.
+
+    ``turn`` is a turn's place in its conversation, from 0, whatever its number:
+    sides whose numbers begin elsewhere or have gaps are compared place by place.
+    """
     turns = _turns(conversations, conv_col, turn_col, role_col, text_col)
+    places = indexed_within(turns.select("conv", "turn").distinct(), "conv", [F.col("turn").asc()]).select(F.col("conv").alias("__c"), F.col("turn").alias("__t"), "pos")
+    turns = turns.join(places, (F.col("conv") == F.col("__c")) & (F.col("turn") == F.col("__t"))).select("conv", F.col("pos").alias("turn"), "role", "text")
     sides = pairs.select("pair_id", F.explode(F.array(F.struct(F.lit(1).alias("c"), F.lit(0).alias("r"), F.col("chosen").alias("conv")), F.struct(F.lit(0).alias("c"), F.lit(1).alias("r"), F.col("rejected").alias("conv")))).alias("s")).select("pair_id", "s.c", "s.r", "s.conv")
     return turns.join(sides, "conv").groupBy("pair_id", "turn", "role", "text").agg(F.max("c").alias("c"), F.max("r").alias("r"))
 
