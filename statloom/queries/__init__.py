@@ -1,3 +1,3 @@
 """The library's queries over the test tables, by subject; importing registers them."""
 
-from . import causes, describe, designs, inference, models, networks, points, sequences, structure, trees, validation  # noqa: F401
+from . import causes, describe, designs, inference, models, networks, points, sequences, structure, trees, validation, vectors  # noqa: F401
