@@ -22,20 +22,9 @@ def _uniform(*parts) -> Column:
 
 
 def poisson_bootstrap(df: DataFrame, x: str, id_col: str, replicates: int = 200, seed: int = 0, confidence: float = 0.95) -> DataFrame:
-    """Bootstrap of the mean with Poisson(1) weights of rows: estimate, bias, se and percentile interval.
-
-    A row yields its weights for all replicates at once and is summed before the shuffle, so the shuffle has
-    ``replicates`` rows for each task.
-    """
+    """Bootstrap of the mean with Poisson(1) weights of rows: estimate, bias, se and percentile interval."""
     rows = df.select(F.col(id_col).alias("i"), observed(x).alias("v")).where("v is not null")
-    reps = rows.select("v", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("b"), "i")
-    u = _uniform(F.lit(seed), "b", "i")
-    weight, tail, p = F.lit(0), 0.0, float(np.exp(-1.0))
-    for k in range(12):  # inverse of the Poisson(1) distribution function; the rest has probability 1e-9
-        tail += p
-        weight = weight + F.when(u > tail, 1).otherwise(0)
-        p /= k + 1
-    means = reps.withColumn("w", weight).groupBy("b").agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("m"))
+    means = resampled_means(rows, "v", "i", "poisson", replicates, seed).select(F.col("mean").alias("m"))
     low = (1 - confidence) / 2
     s = means.agg(F.avg("m").alias("m"), F.stddev_samp("m").alias("se"), F.percentile("m", [low, 1 - low]).alias("q"))
     whole = rows.agg(F.avg("v").alias("estimate"))
@@ -47,8 +36,9 @@ def permutation_test(df: DataFrame, x: str, group: str, a, b, id_col: str, repli
     """Two-sided test of a difference of means: labels are dealt again in each replicate with the groups' shares."""
     rows = df.where(F.col(group).isin(a, b)).select(F.col(id_col).alias("i"), observed(x).alias("v"), (F.col(group) == F.lit(a)).alias("g")).where("v is not null")
     s = rows.agg(F.avg(F.col("g").cast("double")).alias("share"), (F.avg(F.when(F.col("g"), F.col("v"))) - F.avg(F.when(~F.col("g"), F.col("v")))).alias("d")).first()
-    reps = rows.select("v", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("b"), "i").withColumn("g", _uniform(F.lit(seed), "b", "i") < float(s["share"] or 0))
-    d = reps.groupBy("b").agg((F.avg(F.when(F.col("g"), F.col("v"))) - F.avg(F.when(~F.col("g"), F.col("v")))).alias("d"))
+    total = rows.agg(F.count("v").cast("double").alias("n"), F.sum("v").alias("t"))
+    sums = beside(_resampled_sums(rows.select(F.xxhash64(F.lit(seed).cast("long"), "i").alias("k"), F.col("v").alias("x")), "share", replicates, float(s["share"] or 0)), total, [])
+    d = sums.where("w > 0 AND w < n").select((F.col("wx") / F.col("w") - (F.col("t") - F.col("wx")) / (F.col("n") - F.col("w"))).alias("d"))
     return d.agg(F.lit(s["d"]).alias("statistic"), ((F.count_if(F.abs("d") >= abs(s["d"] or 0.0)) + 1) / (F.count(F.lit(1)) + 1)).alias("p_value"))
 
 
@@ -180,10 +170,16 @@ def resampled_means(df: DataFrame, x: str, key: str, kind: str = "poisson", reps
     mean of x times its sign).  Weights depend on key and seed alone.  A task
     adds up one pair of numbers for each replicate; rows are not multiplied.
     """
-    import pyarrow as pa
-
     if kind not in ("poisson", "exponential", "rademacher", "mammen"):
         raise ValueError(f"unknown kind {kind!r}")
+    rows = df.select(F.xxhash64(F.lit(seed).cast("long"), key).alias("k"), observed(x).alias("x")).dropna()
+    return _resampled_sums(rows, kind, reps).select("rep", F.when(F.col("w") != 0, F.col("wx") / F.col("w")).alias("mean"))
+
+
+def _resampled_sums(rows: DataFrame, kind: str, reps: int, share: float = 0.5) -> DataFrame:
+    """Rows (rep, w, wx): sums of weights and of weights times x over rows (k, x); ``share``: weight 1 with that chance, else 0."""
+    import pyarrow as pa
+
     golden = (5**0.5 + 1) / 2
     limits = np.cumsum([np.exp(-1.0) / np.prod(np.arange(1, k + 1)) for k in range(16)])
 
@@ -197,6 +193,8 @@ def resampled_means(df: DataFrame, x: str, key: str, kind: str = "poisson", reps
             return np.searchsorted(limits, u, side="right").astype(float)
         if kind == "exponential":
             return -np.log1p(-u)
+        if kind == "share":
+            return (u < share).astype(float)
         if kind == "rademacher":
             return np.where(u < 0.5, -1.0, 1.0)
         return np.where(u < golden / 5**0.5, 1 - golden, golden)
@@ -212,9 +210,7 @@ def resampled_means(df: DataFrame, x: str, key: str, kind: str = "poisson", reps
                     total[0] += len(v[i : i + 4096]) - w.sum(axis=0)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(reps)), pa.array(total[0]), pa.array(total[1])], ["rep", "w", "wx"])
 
-    rows = df.select(F.xxhash64(F.lit(seed).cast("long"), key).alias("k"), observed(x).alias("x")).dropna()
-    sums = rows.mapInArrow(run, "rep long, w double, wx double").groupBy("rep").agg(F.sum("w").alias("w"), F.sum("wx").alias("wx"))
-    return sums.select("rep", F.when(F.col("w") != 0, F.col("wx") / F.col("w")).alias("mean"))
+    return rows.mapInArrow(run, "rep long, w double, wx double").groupBy("rep").agg(F.sum("w").alias("w"), F.sum("wx").alias("wx"))
 
 
 def replicate_interval(reps: DataFrame, x: str = "mean", confidence: float = 0.95) -> DataFrame:
