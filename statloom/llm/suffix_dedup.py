@@ -30,8 +30,9 @@ longest the contexts:
     tasks.  Nothing is left out.
 6.  The covered ranges of a text are merged and cut out.
 
-Matches never cross texts.  Repeats are reported up to the context's bounds;
-longer ones show as overlapping chains, which makes no difference to coverage.
+Matches never cross texts.  The tree sees repeats up to the context's bounds,
+longer ones as overlapping chains, which makes no difference to coverage;
+``repeat_groups`` joins the chains.
 Nulls count as empty texts; a null or repeated id keeps its rows, because texts
 are followed by their digest and never by id.
 """
@@ -42,7 +43,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _text as T
@@ -92,8 +93,11 @@ def anchors(data: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray,
 _ANCHOR = "k binary, h array<long>, c array<long>, d array<long>, pos array<int>, lo array<int>, hi array<int>, s array<int>, e array<int>"
 
 
-def _anchor_rows(shortest: int, longest: int):
-    """Each text's anchors with a hash of their context, and ranges that repeat within the text."""
+def _anchor_rows(shortest: int, longest: int, every: bool = False):
+    """Each text's anchors with a hash of their context, and ranges that repeat within the text.
+
+    Of a text's equal contexts the first stands for all, unless ``every`` one is asked for.
+    """
 
     def lists(ends: np.ndarray, *values: np.ndarray) -> list[pa.Array]:
         return [pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(v)) for v in values]
@@ -114,7 +118,7 @@ def _anchor_rows(shortest: int, longest: int):
                 d = T.mix(T.span_hash(T.prefix_hash(part, second=True), pos - lo, pos + hi) + bounds)
                 _, first, inverse, count = np.unique(T.mix(c ^ h) + text.astype(np.uint64) * T._BASE, return_index=True, return_inverse=True, return_counts=True)
                 twice = np.flatnonzero((count[inverse] > 1) & (lo + hi >= shortest))
-                one = np.sort(first)
+                one = np.arange(len(h)) if every else np.sort(first)
                 place = pos - o[text]
                 kept = lists(np.searchsorted(text[one], np.arange(j - i + 1)), *(x[one].view(np.int64) for x in (h, c, d)), *(x[one].astype(np.int32) for x in (place, lo, hi)))
                 own = lists(np.searchsorted(text[twice], np.arange(j - i + 1)), (place - lo)[twice].astype(np.int32), (place + hi)[twice].astype(np.int32))
@@ -306,8 +310,8 @@ def _groups(length: int):
         out: list[tuple] = []
         for h, keys, pos, lefts, rights in groups:
             for n, (l, r, members) in enumerate(maximal_repeats(lefts, rights, length)):
-                out.extend((h, n, l + r, keys[x], pos[x] - l) for x in members.tolist())
-        kinds = [("h", pa.int64()), ("repeat", pa.int32()), ("length", pa.int32()), ("k", pa.binary()), ("start", pa.int32())]
+                out.extend((h, n, l + r, keys[x], pos[x], pos[x] - l) for x in members.tolist())
+        kinds = [("h", pa.int64()), ("repeat", pa.int32()), ("length", pa.int32()), ("k", pa.binary()), ("pos", pa.int32()), ("start", pa.int32())]
         cols = list(zip(*out, strict=True)) if out else [[] for _ in kinds]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, kinds, strict=True)], [n for n, _ in kinds])
 
@@ -354,7 +358,7 @@ def _window_rows(length: int):
 
     def run(batches):
         for batch in batches:
-            h1, h2, keys, starts = [], [], [], []
+            h1, h2, keys, starts, pos = [], [], [], [], []
             for x in batch.to_pylist():
                 data = np.frombuffer(x["l"][::-1] + x["r"], np.uint8)
                 first = max(0, len(x["l"]) - x["b"])
@@ -362,10 +366,11 @@ def _window_rows(length: int):
                 for out, second in ((h1, False), (h2, True)):
                     out.append(T.mix(T.span_hash(T.prefix_hash(data, second=second), at, at + length)).view(np.int64))
                 keys += [x["k"]] * len(at)
+                pos.append(np.full(len(at), x["pos"]))
                 starts.append(x["pos"] - len(x["l"]) + at)
             if keys:
                 columns = [pa.array(np.concatenate(c)) for c in (h1, h2)]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(keys, pa.binary()), pa.array(np.concatenate(starts).astype(np.int32))], ["w1", "w2", "k", "s"])
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(keys, pa.binary()), *(pa.array(np.concatenate(c).astype(np.int32)) for c in (starts, pos))], ["w1", "w2", "k", "s", "pos"])
 
     return run
 
@@ -388,10 +393,10 @@ def _split(contexts: DataFrame, length: int, limit: int) -> tuple[DataFrame, Dat
     sizes = written(rows.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "split-sizes")
     rows = rows.join(sizes, "g")
     small = rows.where(F.col("n") <= limit).select(F.xxhash64("g").alias("h"), "k", "pos", "l", "r")
-    windows = written(rows.where(F.col("n") > limit).select("k", "pos", "l", "r", "a", "b").mapInArrow(_window_rows(length), "w1 long, w2 long, k binary, s int"), "windows")
+    windows = written(rows.where(F.col("n") > limit).select("k", "pos", "l", "r", "a", "b").mapInArrow(_window_rows(length), "w1 long, w2 long, k binary, s int, pos int"), "windows")
     start = F.struct("k", "s")  # neighbouring anchors show one window twice
     again = windows.groupBy("w1", "w2").agg(F.min(start).alias("x"), F.max(start).alias("y")).where("x != y").select("w1", "w2")
-    return small, windows.join(again, ["w1", "w2"]).select("k", "s", (F.col("s") + length).alias("e"), F.lit(length).alias("w"))
+    return small, windows.join(again, ["w1", "w2"]).select("k", "s", (F.col("s") + length).alias("e"), F.lit(length).alias("w"), "w1", "w2", "pos")
 
 
 def _cut_rows(lengths: tuple[int, ...]):
@@ -480,35 +485,133 @@ def repeat_cuts(docs: DataFrame, lengths: tuple[int, ...] = (400,), group_limit:
     if not hot.isEmpty():
         for length in lengths:
             small, shared = _split(hot, length, group_limit)
-            ranges = ranges.unionByName(_solved(small, _ranges((length,)), schema)).unionByName(shared)
+            ranges = ranges.unionByName(_solved(small, _ranges((length,)), schema)).unionByName(shared.drop("w1", "w2", "pos"))
     spans = written(ranges.groupBy("k").agg(F.collect_list(F.struct("s", "e", "w")).alias("spans")), "spans")
     cuts = some.join(spans, "k").mapInArrow(_cut_rows(lengths), "k binary, n_removed array<long>, n_spans array<long>, sha array<string>, kept array<string>")
     return one.where("copies > 1").select("k"), written(cuts, "cuts")
 
 
-def repeat_groups(docs: DataFrame, text_col: str = "text", length: int = 400, group_limit: int = GROUP_LIMIT) -> DataFrame:
-    """The maximal repeats of ``length`` bytes or more, with all their occurrences.
-
-    One row for each occurrence: h (anchor string), repeat (number of the
-    repeat at that anchor), length (bytes, up to twice ``length`` less 64), k
-    (digest of the text), start (byte offset).  Equal contexts are one
-    occurrence, that of the least text; a repeat with several anchors shows at
-    each.  An anchor with over ``group_limit`` contexts shows under the hashes
-    of the longer strings that it is split by.
-    """
-    docs = docs.select(F.col(text_col).cast("string").alias("text"))
-    _, _, _, contexts = _shared_contexts(docs, (length,))
-    schema = "h long, repeat int, length int, k binary, start int"
-    contexts = written(contexts, "all-contexts")
-    out = _solved(contexts.where(F.col("m") <= group_limit).drop("m"), _groups(length), schema)
+#: Bytes that are compared on both sides of a repeat at first.
+REACH = 1024
+
+
+def _reach_rows(reach: int):
+    """For each occurrence (g, start, end) of a text: the bytes before it, reversed, and those after it."""
+
+    def run(batches):
+        for batch in batches:
+            texts, spots = (batch.column(c) for c in ("text", "spots"))
+            gs, lefts, rights, held = [], [], [], 0
+            for i in range(len(texts)):
+                raw = texts[i].as_py().encode()
+                for x in spots[i].as_py():
+                    gs.append(x["g"])
+                    lefts.append(raw[max(0, x["start"] - reach) : x["start"]][::-1])
+                    rights.append(raw[x["end"] : x["end"] + reach])
+                    held += len(lefts[-1]) + len(rights[-1])
+                if held > 4 << 20:
+                    yield pa.RecordBatch.from_arrays([pa.array(gs, pa.int64()), pa.array(lefts, pa.binary()), pa.array(rights, pa.binary())], ["g", "l", "r"])
+                    gs, lefts, rights, held = [], [], [], 0
+            if gs:
+                yield pa.RecordBatch.from_arrays([pa.array(gs, pa.int64()), pa.array(lefts, pa.binary()), pa.array(rights, pa.binary())], ["g", "l", "r"])
+
+    return run
+
+
+def _common_rows(batches):
+    """What the least and the greatest of a group's contexts share, all of them share."""
+    for batch in batches:
+        sides = [[_common(a, b) for a, b in zip(batch.column(f"{c}0").to_pylist(), batch.column(f"{c}1").to_pylist(), strict=True)] for c in "lr"]
+        yield pa.RecordBatch.from_arrays([batch.column("g"), *(pa.array(s, pa.int32()) for s in sides)], ["g", "left", "right"])
+
+
+def _occurrences(texts: DataFrame, length: int, group_limit: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Rows (group, k, s, e): every occurrence of repeats as far as their anchors' contexts show them, and the tables below."""
+    found = texts.mapInArrow(_anchor_rows(length, length, True), _ANCHOR).select("k", F.inline(F.arrays_zip("h", "c", "d", "pos", "lo", "hi")))
+    found = written(found, "every-anchor")
+    same = written(found.groupBy("h", "c", "d").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k", "pos")).alias("rep")).select("*", F.col("rep.k").alias("rk"), F.col("rep.pos").alias("rp")), "classes")
+    spots = written(found.join(same.drop("rep"), ["h", "c", "d"]), "members")
+    # a class of equal contexts is a repeat itself
+    whole = spots.where((F.col("n") > 1) & (F.col("lo") + F.col("hi") >= length))
+    whole = whole.select(F.xxhash64(F.lit(0), "h", "c", "d").alias("group"), "k", (F.col("pos") - F.col("lo")).alias("s"), (F.col("pos") + F.col("hi")).alias("e"))
+    groups = same.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    reps = same.join(groups, "h").groupBy(F.col("rk").alias("k")).agg(F.collect_list(F.struct("h", F.col("rp").alias("pos"), "m")).alias("spots"))
+    contexts = written(texts.join(reps, "k").mapInArrow(_context_rows(length), "h long, m long, k binary, pos int, l binary, r binary"), "all-contexts")
+    schema = "h long, repeat int, length int, k binary, pos int, start int"
+    parts = [_solved(contexts.where(F.col("m") <= group_limit).drop("m"), _groups(length), schema)]
     hot = contexts.where(F.col("m") > group_limit).drop("m")
+    windows = None
     if not hot.isEmpty():
-        small, shared = _split(hot, length, group_limit)
-        window = shared.join(docs.select(digest("text").alias("k"), "text").dropDuplicates(["k"]), "k")
-        bytes_ = F.substring(F.encode("text", "UTF-8"), F.col("s") + 1, F.lit(length))
-        out = out.unionByName(_solved(small, _groups(length), schema))
-        out = out.unionByName(window.select(F.xxhash64(bytes_).alias("h"), F.lit(0).alias("repeat"), F.lit(length).alias("length"), "k", F.col("s").alias("start")).distinct())
-    return out
+        small, windows = _split(hot, length, group_limit)
+        parts.append(_solved(small, _groups(length), schema))
+    rows = None
+    for n, part in enumerate(parts):
+        part = part.select(F.xxhash64(F.lit(n + 1), "h", "repeat").alias("group"), "k", "pos", F.col("start").alias("s"), (F.col("start") + F.col("length")).alias("e"))
+        rows = part if rows is None else rows.unionByName(part)
+    if windows is not None:
+        rows = rows.unionByName(windows.select(F.xxhash64(F.lit(9), "w1", "w2").alias("group"), "k", "pos", "s", "e"))
+    # what holds for a context holds for all that equal it
+    rows = rows.withColumnsRenamed({"k": "rk", "pos": "rp"}).join(spots.select("rk", "rp", "k", "pos"), ["rk", "rp"])
+    moved = F.col("pos") - F.col("rp")
+    return rows.select("group", "k", (F.col("s") + moved).alias("s"), (F.col("e") + moved).alias("e")).unionByName(whole).distinct(), [found, same, spots, contexts]
+
+
+def repeat_groups(docs: DataFrame, text_col: str = "text", length: int = 400, group_limit: int = GROUP_LIMIT) -> DataFrame:
+    """The maximal repeats of ``length`` bytes or more, with all their occurrences, however long they are.
+
+    One row for each occurrence: h and repeat (numbers of the set of places and of
+    the repeat), length (bytes), n (occurrences), k (digest of the text), start
+    (byte offset), copies (documents with that text).  A text that occurs more than once is a repeat from end to
+    end, with one row.  Repeats show at each of their anchors as far as a context
+    goes; those with the same occurrences, some bytes further on, are one, and
+    grow on both sides while all their occurrences agree, which the least and the
+    greatest of the neighbouring bytes tell.  Of an anchor string with over
+    ``group_limit`` contexts that ``_split`` can't part, repeats are taken from
+    the windows that have the same occurrences.  A repeat longer than a context
+    is listed by itself if one of its contexts has its occurrences and no others;
+    one that is all made of more frequent pieces shows as these.
+    """
+    docs = docs.select(F.col(text_col).cast("string").alias("text")).where(F.octet_length("text") >= length)
+    texts = written(docs.groupBy(digest("text").alias("k")).agg(F.any_value("text").alias("text"), F.count(F.lit(1)).alias("copies")), "texts")
+    found, held = _occurrences(texts.select("k", "text"), length, group_limit)
+    found = written(found, "occurrences")
+    discard(*held)
+    # occurrences relative to the first one, as a digest: equal for one set of occurrences wherever it is seen
+    first = found.groupBy("group").agg(F.min(F.struct("k", "s", "e")).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1").select("group", "n", F.col("f.k").alias("fk"), F.col("f.s").alias("fs"), F.col("f.e").alias("fe"))
+    apart = found.join(first, "group").withColumn("d", F.col("s") - F.col("fs"))
+    sets = written(apart.groupBy("group", "n", "fk", "fs", "fe").agg(*[F.bit_xor(F.xxhash64(F.lit(seed), "k", "d")).alias(f"x{seed}") for seed in (1, 2)]), "sets")
+    own = ["x1", "x2", "n", "fk"]
+    before = Window.partitionBy(*own).orderBy("fs", "fe").rowsBetween(Window.unboundedPreceding, -1)
+    runs = sets.withColumn("new", (F.coalesce(F.max("fe").over(before), F.lit(-1)) < F.col("fs")).cast("int"))
+    runs = runs.withColumn("run", F.sum("new").over(Window.partitionBy(*own).orderBy("fs", "fe").rowsBetween(Window.unboundedPreceding, 0)))
+    runs = runs.groupBy(*own, "run").agg(F.min(F.struct("fs", "group")).alias("f"), F.max("fe").alias("fe"))
+    runs = written(runs.select(F.xxhash64(*own, "run").alias("g"), *own, F.col("f.group").alias("group"), F.col("f.fs").alias("fs"), "fe"), "runs")
+    spans = written(runs.join(found, "group").select("g", "k", "s", (F.col("s") + F.col("fe") - F.col("fs")).alias("e")), "spans")
+    grown = written(runs.select("g", F.lit(0).alias("left"), F.lit(0).alias("right")), "grown")
+    open_, reach = grown, REACH
+    while True:
+        at = spans.join(open_, "g").groupBy("k").agg(F.collect_list(F.struct("g", (F.col("s") - F.col("left")).alias("start"), (F.col("e") + F.col("right")).alias("end"))).alias("spots"))
+        sides = at.join(texts, "k").mapInArrow(_reach_rows(reach), "g long, l binary, r binary")
+        ends = sides.groupBy("g").agg(*[f(c).alias(f"{c}{i}") for c in "lr" for i, f in enumerate((F.min, F.max))])
+        step = written(ends.mapInArrow(_common_rows, "g long, left int, right int"), "step")
+        more = step.withColumnsRenamed({"left": "l", "right": "r"})
+        grown = written(grown.join(more, "g", "left").select("g", (F.col("left") + F.coalesce("l", F.lit(0))).alias("left"), (F.col("right") + F.coalesce("r", F.lit(0))).alias("right")), "grown")
+        open_ = grown.join(step.where((F.col("left") == reach) | (F.col("right") == reach)).select("g"), "g", "left_semi")
+        if open_.isEmpty():
+            break
+        reach *= 2
+    # a run that grew over another one with the same occurrences is the same repeat
+    final = runs.join(grown, "g").select("g", *own, (F.col("fs") - F.col("left")).alias("fs"), (F.col("fe") + F.col("right")).alias("fe"))
+    one = final.groupBy(*own, "fs", "fe").agg(F.min("g").alias("g"))
+    # contexts that end with their texts may be found apart from longer ones that hold them: the largest set has all occurrences
+    string = F.md5(F.substring(F.encode("text", "UTF-8"), F.col("fs") + 1, F.col("fe") - F.col("fs")))
+    one = one.join(texts.select(F.col("k").alias("fk"), "text"), "fk").select("g", "n", "x1", string.alias("string"))
+    one = one.groupBy("string").agg(F.max(F.struct("n", "g", "x1")).alias("b")).select("b.*")
+    out = spans.join(one.select("g", "n", "x1").join(grown, "g"), "g").join(texts.select("k", "copies"), "k")
+    start, size = F.col("s") - F.col("left"), F.col("e") - F.col("s") + F.col("left") + F.col("right")
+    out = out.select(F.col("x1").alias("h"), F.col("g").alias("repeat"), size.cast("int").alias("length"), F.col("n").cast("long").alias("n"), "k", start.cast("int").alias("start"), "copies")
+    copied = texts.where("copies > 1").select(F.xxhash64("k").alias("h"), F.xxhash64("k").alias("repeat"), F.octet_length("text").alias("length"), F.lit(1).cast("long").alias("n"), "k", F.lit(0).alias("start"), "copies")
+    return out.unionByName(copied)
 
 
 def repeat_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, passage: int | None = None, group_limit: int = GROUP_LIMIT) -> DataFrame:
