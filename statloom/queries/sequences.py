@@ -26,7 +26,13 @@ def _smoother(spark, sf):
     return S.kalman(_events(spark, sf), "value", "event_id", ["user_id"], [[1.0, 1.0], [0.0, 1.0]], [1.0, 0.0], [[1.0, 0.0], [0.0, 0.1]], 100.0, smooth=True).select("user_id", "t", F.col("state")[0].alias("level"))
 
 
-@register("kalman_predict")
+@register(
+    "kalman_predict",
+    """WITH RECURSIVE e AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events), k(user_id, i, m, p) AS (SELECT user_id, 0, 0.0::DOUBLE, 1e7::DOUBLE FROM e WHERE i = 1
+      UNION ALL SELECT e.user_id, e.i, m + (p + 1) / (p + 101) * (value - m), (1 - (p + 1) / (p + 101)) * (p + 1) FROM k JOIN e ON e.user_id = k.user_id AND e.i = k.i + 1), z AS (SELECT user_id, arg_max(m, i) AS m, arg_max(p, i) AS p, unnest(range(1, 6)) AS h FROM k GROUP BY user_id)
+    SELECT user_id, h::INT AS step, m AS mean, m - 1.96 * sqrt(p + h + 100) AS low, m + 1.96 * sqrt(p + h + 100) AS high FROM z""",
+    rounded=("mean", "low", "high"), digits=5,
+)
 def _predict(spark, sf):
     return S.kalman_predict(_events(spark, sf), "value", "event_id", ["user_id"], [[1.0]], [1.0], [[1.0]], 100.0, 5)
 

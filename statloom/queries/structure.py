@@ -82,12 +82,27 @@ def _cusum(spark, sf):
     return S.cusum(_events(spark, sf), "value", "ts", ["user_id"]).select("user_id", "statistic")
 
 
-@register("holt_linear")
+_IN_ORDER = f"WITH RECURSIVE e AS (SELECT user_id, ts, value AS y, row_number() OVER ({_USER}) AS i, lead(value) OVER ({_USER}) AS next FROM events)"
+
+
+@register(
+    "holt_linear",
+    f"""{_IN_ORDER}, h AS (SELECT user_id, ts AS t, i, y AS x, y AS level, coalesce(next - y, 0.0) AS trend, y AS fitted FROM e WHERE i = 1
+      UNION ALL SELECT e.user_id, e.ts, e.i, e.y, 0.5 * e.y + 0.5 * (level + trend), 0.1 * (0.5 * e.y + 0.5 * (level + trend) - level) + 0.9 * trend, level + trend FROM h JOIN e ON e.user_id = h.user_id AND e.i = h.i + 1)
+    SELECT user_id, t, x, level, trend, fitted FROM h""",
+    rounded=("level", "trend", "fitted"), digits=8,
+)
 def _holt(spark, sf):
     return S.holt(_events(spark, sf), "value", "ts", ["user_id"], 0.5, 0.1)
 
 
-@register("kalman_local_level")
+@register(
+    "kalman_local_level",
+    f"""{_IN_ORDER}, k AS (SELECT user_id, 0 AS i, NULL::TIMESTAMP AS t, NULL::DOUBLE AS x, 0.0::DOUBLE AS state, 1e7::DOUBLE AS variance FROM e WHERE i = 1
+      UNION ALL SELECT e.user_id, e.i, e.ts, e.y, state + (variance + 0.1) / (variance + 0.6) * (e.y - state), (1 - (variance + 0.1) / (variance + 0.6)) * (variance + 0.1) FROM k JOIN e ON e.user_id = k.user_id AND e.i = k.i + 1)
+    SELECT user_id, t, x, state, variance FROM k WHERE i > 0""",
+    rounded=("state", "variance"), digits=5,
+)
 def _kalman(spark, sf):
     return S.local_level(_events(spark, sf), "value", "ts", ["user_id"], 0.1, 0.5)
 
@@ -103,7 +118,13 @@ def _granger(spark, sf):
     return S.granger(rows, "k", "value", "ts", ["user_id"], 2)
 
 
-@register("unit_root")
+@register(
+    "unit_root",
+    f"""WITH l AS (SELECT *, value - lag(value) OVER ({_USER}) AS d, lag(value) OVER ({_USER}) AS x FROM events), r AS (SELECT d AS y, x, lag(d) OVER ({_USER}) AS z FROM l), c AS (SELECT count(*) AS n, covar_pop(x, x) AS xx, covar_pop(z, z) AS zz, covar_pop(x, z) AS xz, covar_pop(x, y) AS xy, covar_pop(z, y) AS zy, covar_pop(y, y) AS yy FROM r WHERE z IS NOT NULL),
+    b AS (SELECT *, xx * zz - xz * xz AS det, (xy * zz - zy * xz) / (xx * zz - xz * xz) AS b, (zy * xx - xy * xz) / (xx * zz - xz * xz) AS g FROM c), t AS (SELECT n, b / sqrt((yy - b * xy - g * zy) * n / (n - 3) * zz / (det * n)) AS statistic FROM b)
+    SELECT statistic, 1::BIGINT AS lags, n, statistic < -2.86 AS stationary FROM t""",
+    rounded=("statistic",), digits=6,
+)
 def _adf(spark, sf):
     return S.unit_root(_events(spark, sf), "value", "ts", ["user_id"])
 
@@ -152,12 +173,27 @@ def _k_means(spark, sf):
     return M.assign(docs, "embedding", centres).groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("davies_bouldin")
+_CENTRES = "l AS (SELECT vec_id, label AS k, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS j FROM embeddings), c AS (SELECT k, j, avg(v) AS m FROM l GROUP BY 1, 2), n AS (SELECT label AS k, count(*) AS n FROM embeddings GROUP BY 1)"
+
+
+@register(
+    "davies_bouldin",
+    f"""WITH {_CENTRES}, d AS (SELECT vec_id, k, sqrt(sum((v - m) ** 2)) AS d FROM l JOIN c USING (k, j) GROUP BY 1, 2), s AS (SELECT k, avg(d) AS s FROM d GROUP BY 1),
+    p AS (SELECT a.k AS a, b.k AS b, sqrt(sum((a.m - b.m) ** 2)) AS d FROM c AS a JOIN c AS b ON a.j = b.j AND a.k <> b.k GROUP BY 1, 2)
+    SELECT avg(r) AS davies_bouldin FROM (SELECT a, max((x.s + y.s) / d) AS r FROM p JOIN s AS x ON x.k = a JOIN s AS y ON y.k = b GROUP BY a)""",
+    rounded=("davies_bouldin",), digits=6,
+)
 def _db(spark, sf):
     return M.davies_bouldin(table(spark, sf, "embeddings"), "embedding", "label")
 
 
-@register("centroid_silhouette")
+@register(
+    "centroid_silhouette",
+    f"""WITH {_CENTRES}, d AS (SELECT l.vec_id, l.k, c.k AS o, sum((v - m) ** 2) AS d FROM l JOIN c USING (j) GROUP BY 1, 2, 3), w AS (SELECT k, avg(d) AS w FROM d WHERE k = o GROUP BY 1), f AS (SELECT vec_id, d.k, o, d + w AS f FROM d JOIN w ON w.k = o),
+    ab AS (SELECT vec_id, f.k, max(CASE WHEN o = f.k THEN f * n / (n - 1) END) AS a, min(CASE WHEN o <> f.k THEN f END) AS b, any_value(n) AS n FROM f JOIN n ON n.k = f.k GROUP BY 1, 2)
+    SELECT avg(CASE WHEN n > 1 THEN (b - a) / greatest(a, b) ELSE 0 END) AS silhouette FROM ab""",
+    rounded=("silhouette",), digits=6,
+)
 def _silhouette(spark, sf):
     return M.centroid_silhouette(table(spark, sf, "embeddings"), "embedding", "label")
 
