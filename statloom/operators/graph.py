@@ -27,6 +27,27 @@ def vertices(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("dst").alias("id"))).distinct()
 
 
+def edge_weights(edges: DataFrame, weight: str | None = None, directed: bool = False) -> DataFrame:
+    """Rows (src, dst, weight): the sum of an edge's weights, 1 for each row without one.
+
+    An undirected edge has the rows of both directions together and shows in
+    both; loops and missing ends are left out.
+    """
+    w = F.coalesce(observed(weight), F.lit(1.0)) if weight else F.lit(1.0)
+    rows = edges.select("src", "dst", w.alias("weight")).dropna(subset=["src", "dst"]).where("src != dst")
+    if not directed:
+        rows = rows.unionByName(rows.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
+    return rows.groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
+
+
+def strength(edges: DataFrame, weight: str | None = None, directed: bool = False) -> DataFrame:
+    """Rows (id, strength): the weights of the edges that leave a vertex, 0 where none does."""
+    w = edge_weights(edges, weight, directed)
+    out = w.groupBy(F.col("src").alias("id")).agg(F.sum("weight").alias("strength"))
+    all_ = w.select(F.col("src").alias("id")).unionByName(w.select(F.col("dst").alias("id"))).distinct()
+    return all_.join(out, "id", "left").select("id", F.coalesce("strength", F.lit(0.0)).alias("strength"))
+
+
 def degree_centrality(edges: DataFrame, directed: bool = False) -> DataFrame:
     """Out-degree (degree if undirected) over the number of other vertices."""
     e = clean(edges, directed=directed)

@@ -296,11 +296,42 @@ def dbscan(points: DataFrame, id_col: str, x: str, y: str, eps: float, least: in
     Neighbours come from grid cells of side eps, clusters are the connected
     components of core points, and a border point joins the least cluster near it.
     """
+    from .graph import band_weights
+
+    return _density_clusters(points.select(F.col(id_col).alias("id")), band_weights(points, id_col, x, y, eps), least).withColumnRenamed("id", id_col)
+
+
+def dbscan_vectors(points: DataFrame, id_col: str, x: str, eps: float, least: int = 5, axes: int = 3) -> DataFrame:
+    """``dbscan`` of an array column of any dimension: near pairs meet in grid cells of the first ``axes`` elements."""
+    near = vector_band(points, id_col, x, eps, axes)
+    return _density_clusters(points.select(F.col(id_col).alias("id")), near, least).withColumnRenamed("id", id_col)
+
+
+def vector_band(points: DataFrame, id_col: str, x: str, threshold: float, axes: int = 3) -> DataFrame:
+    """Pairs (i, j, d), in both directions, of array columns at most ``threshold`` apart.
+
+    Points that are near are near in each element, so cells of the first ``axes``
+    elements, and their neighbours, hold all pairs.  Rows with a missing array are left out.
+    """
+    if threshold <= 0 or axes < 1:
+        raise ValueError("threshold and axes must be positive")
+    p = points.select(F.col(id_col).alias("id"), F.transform(x, lambda v: v.cast("double")).alias("x")).where("x IS NOT NULL")
+    cell = lambda k: F.coalesce(F.floor(F.get("x", F.lit(k)) / threshold), F.lit(0))
+    names = [f"c{k}" for k in range(axes)]
+    p = p.withColumns({c: cell(k) for k, c in enumerate(names)})
+    around = p.select(F.col("id").alias("j"), F.col("x").alias("y"), *names)
+    for c in names:
+        around = around.withColumn(c, F.explode(F.array(*[F.col(c) + s for s in (-1, 0, 1)])))
+    d = V.euclidean("x", "y")
+    return p.join(around, names).where(F.col("id") != F.col("j")).select(F.col("id").alias("i"), "j", d.alias("d")).where(F.col("d") <= threshold)
+
+
+def _density_clusters(ids: DataFrame, pairs: DataFrame, least: int) -> DataFrame:
+    """Rows (id, cluster, core) from the pairs (i, j) of points near each other."""
     from ..plans.order import staged
-    from .graph import band_weights, connected_components
+    from .graph import connected_components
 
-    near = staged(band_weights(points, id_col, x, y, eps).select("i", "j"), "near")
-    ids = points.select(F.col(id_col).alias("id"))
+    near = staged(pairs.select("i", "j"), "near")
     count = near.groupBy(F.col("i").alias("id")).agg(F.count(F.lit(1)).alias("n"))
     core = staged(ids.join(count, "id", "left").where(F.coalesce("n", F.lit(0)) + 1 >= least).select("id"), "cores")
     linked = near.join(core.select(F.col("id").alias("i")), "i").join(core.select(F.col("id").alias("j")), "j").select(F.col("i").alias("src"), F.col("j").alias("dst"))
@@ -308,7 +339,7 @@ def dbscan(points: DataFrame, id_col: str, x: str, y: str, eps: float, least: in
     found = staged(found, "clusters")
     border = near.join(found.select(F.col("id").alias("j"), "c"), "j").groupBy(F.col("i").alias("id")).agg(F.min("c").alias("e"))
     out = ids.join(found, "id", "left").join(border, "id", "left")
-    return out.select(F.col("id").alias(id_col), F.coalesce("c", "e").alias("cluster"), F.col("c").isNotNull().alias("core"))
+    return out.select("id", F.coalesce("c", "e").alias("cluster"), F.col("c").isNotNull().alias("core"))
 
 
 def compositional_centre(df: DataFrame, x: str, size: int) -> DataFrame:

@@ -291,3 +291,13 @@ def effective_size(df: DataFrame, x: str, t: str, series: list[str], lags: int =
     n = df.where(observed(x).isNotNull()).groupBy(*series).agg(F.count(F.lit(1)).alias("n"))
     out = n.join(got, series, "left") if series else beside(n, got, [])
     return out.select(*series, "n", F.when(F.col("n") < 10, F.col("n").cast("double")).otherwise(F.col("n") / (1 + 2 * F.coalesce("s", F.lit(0.0)))).alias("effective"))
+
+
+def chain_diagnostics(chains: DataFrame, chain: str, x: str, t: str, lags: int = 100) -> DataFrame:
+    """Rows (chain, n, mean, sd, effective, r_hat): each chain's moments and effective size, and the scale reduction of all of them."""
+    v = observed(x)
+    own = chains.groupBy(chain).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd"))
+    size = effective_size(chains, x, t, [chain], lags)
+    size = size.select(F.col(chain).alias("__c"), "effective")
+    both = own.join(size, F.col(chain) == F.col("__c"), "left").drop("__c")
+    return beside(both, gelman_rubin(chains.where(v.isNotNull()), chain, x), [])

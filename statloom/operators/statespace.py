@@ -356,3 +356,39 @@ def arch_test(df: DataFrame, x: str, t: str, series: list[str], lags: int = 5) -
     model = ordinary(rows, [f"__q_{k}" for k in range(1, lags + 1)], "__q")
     s = model.n * model.stats["r2"]
     return df.sparkSession.createDataFrame([(float(s), float(lags), float(special.chi2_sf(s, float(lags))))], "statistic double, df double, p_value double")
+
+
+def volatility_diagnostics(df: DataFrame, z: str, t: str, series: list[str], lags: int = 10) -> DataFrame:
+    """Per series of standardised residuals: n, mean, variance, skewness, kurtosis, ljung_box, ljung_box_squared, arch, arch_lags.
+
+    The Ljung-Box statistics of the residuals and their squares are over ``lags``
+    lags; ``arch`` is n times R squared of the squares on their lags, at most a
+    third of the series.  Missing values are left out; what a series is too short
+    for is null.
+    """
+
+    def box(v: np.ndarray) -> float | None:
+        n, c = len(v), v - v.mean()
+        total = c @ c
+        if n <= lags or total < 1e-14 * n:
+            return 0.0 if n > lags else None
+        return float(n * (n + 2) * sum((c[k:] @ c[:-k] / total) ** 2 / (n - k) for k in range(1, lags + 1)))
+
+    def run(v: np.ndarray) -> dict:
+        v = v[np.isfinite(v)]
+        n = len(v)
+        if n < 2:
+            return {"n": [n], "mean": [float(v[0]) if n else None], **{c: [None] for c in ("variance", "skewness", "kurtosis", "ljung_box", "ljung_box_squared", "arch", "arch_lags")}}
+        m, s = v.mean(), v.var(ddof=1)
+        k, q = min(lags, n // 3), v * v
+        arch = None
+        if k and n - k > k + 1:
+            x = np.column_stack([np.ones(n - k), *(q[k - i : n - i] for i in range(1, k + 1))])
+            y = q[k:]
+            r = y - x @ np.linalg.lstsq(x, y, rcond=None)[0]
+            spread = ((y - y.mean()) ** 2).sum()
+            arch = float((n - k) * (1 - r @ r / spread)) if spread > 0 else 0.0
+        third, fourth = ((v - m) ** 3).mean(), ((v - m) ** 4).mean()
+        return {"n": [n], "mean": [m], "variance": [s], "skewness": [third / s**1.5 if s > 0 else None], "kurtosis": [fourth / s**2 - 3 if s > 0 else None], "ljung_box": [box(v)], "ljung_box_squared": [box(q)], "arch": [arch], "arch_lags": [k]}
+
+    return _each(df, z, t, series, "n long, mean double, variance double, skewness double, kurtosis double, ljung_box double, ljung_box_squared double, arch double, arch_lags int", run)
