@@ -13,7 +13,7 @@ QUERIES = (
     "describe_by_group", "describe_prices", "percentiles", "trimmed_mean", "hinges", "weighted_stats", "t_welch", "anova_two_way", "mann_whitney", "kruskal_wallis",
     "chi_squared_independence", "adjust_benjamini_hochberg", "spearman", "kendall", "linear_multiple", "logistic", "influence", "kaplan_meier", "log_rank", "score_matching",
     "autocorrelation", "seasonal_decompose", "running_stats", "event_time_windows", "principal_components", "vector_distances", "page_rank_rounds", "moran", "bootstrap_mean", "cross_validate_linear",
-    "winsorized_mean", "cox_regression", "clustering_coefficient", "connected_components", "distribution_functions", "mixed_intercepts",
+    "winsorized_mean", "cox_regression", "clustering_coefficient", "connected_components", "distribution_functions", "mixed_intercepts", "nested_cross_validation", "family_scores", "nearest_points", "smooth_curves", "arima_lags",
 )
 
 
