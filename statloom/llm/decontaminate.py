@@ -83,26 +83,31 @@ def plain(word: Column, shape: Column) -> Column:
     return F.when(shape == "<name>", F.lower(word)).otherwise(shape)
 
 
-def _windows(codes: str, width: int) -> Column:
-    n = F.size(codes)
-    hashed = F.transform(F.sequence(F.lit(1), n - width + 1), lambda i: F.xxhash64(F.slice(codes, i, width)))
-    return F.when(n >= width, hashed)
-
-
-def _salted(codes: str, width: int) -> Column:
-    """Hashes of plain windows; a template window of the same words has another hash."""
-    n = F.size(codes)
-    hashed = F.transform(F.sequence(F.lit(1), n - width + 1), lambda i: F.xxhash64(F.slice(codes, i, width), F.lit("plain")))
-    return F.when(n >= width, hashed)
-
-
 def _coded(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Codes of the templates and of the plain words of each text that has words."""
-    df = df.select(key, _bare(text).alias("bare")).where(F.length("bare") > 0)
+    """The number of words of each text, and their codes: those of the templates, then those of the plain words.
+
+    A text without words has one empty word, which no item has.  A filter here would repeat the regular expressions.
+    """
+    df = df.select(key, _bare(text).alias("bare"))
     df = df.select(key, F.split("bare", _BLANKS).alias("own"), F.split(F.lower("bare"), _BLANKS).alias("low"))
     df = df.select(key, "low", F.zip_with("own", "low", lambda t, l: F.xxhash64(_shape(t, l))).alias("codes"))
     name = F.xxhash64(F.lit("<name>"))
-    return df.select(key, "codes", F.zip_with("codes", "low", lambda c, l: F.when(c == name, F.xxhash64(l)).otherwise(c)).alias("plains"))
+    plains = F.zip_with("codes", "low", lambda c, l: F.when(c == name, F.xxhash64(l)).otherwise(c))
+    return df.select(key, F.size("codes").alias("n"), F.concat("codes", plains).alias("codes"))
+
+
+def _places(coded: DataFrame) -> DataFrame:
+    """A row for each place p in codes.
+
+    Outer, because Spark puts a filter on the size of what an inner one explodes below all the work that makes it, which then runs twice.
+    """
+    return coded.select("*", F.posexplode_outer("codes").alias("p", "code"))
+
+
+def _window(width: int) -> Column:
+    """The hash of the window at place p; null if the text ends in it.  Plain windows, which start at n, have other hashes."""
+    p, n = F.col("p"), F.col("n")
+    return F.when(F.pmod(p, n) + width <= n, F.xxhash64(*[F.get("codes", p + i) for i in range(width)], p >= n))
 
 
 def _judged(runs: DataFrame) -> DataFrame:
@@ -132,28 +137,22 @@ def alignments(docs: DataFrame, items: DataFrame, width: int = WIDTH, literals:
     items = items.select(_digest("text").alias("item"), "text").dropDuplicates(["item"]).withColumn("tokens", words("text")).where(F.size("tokens") >= MIN_WORDS)
     items = items.select("item", "tokens", F.transform("tokens", template).alias("shape"))
     items = written(items.withColumn("low", F.zip_with("tokens", "shape", plain)), "items")
-    sizes = items.select(F.least(F.size("shape"), F.lit(width)).alias("w")).distinct()
-    lengths = sorted(r["w"] for r in sizes.collect())  # at most width values
+    items = items.withColumn("w", F.least(F.size("shape"), F.lit(width)))
+    widths = sorted(r["w"] for r in items.select("w").distinct().collect())  # at most width values
     texts = docs.select(_digest("text").alias("k"), "text").where("text is not null")
-    coded = _coded(texts, "k", "text")
-    hits = None
-    for w in lengths:
-        whole = items.where(F.size("shape") >= w) if w == width else items.where(F.size("shape") == w)
-        base = None
-        for kind, (shape, hashed) in enumerate([("shape", _windows), ("low", _salted)]):
-            side = whole.select("item", F.col(shape).alias("words"), F.transform(shape, lambda t: F.xxhash64(t)).alias("codes"))
-            side = side.select("item", "words", F.posexplode(hashed("codes", w)).alias("at", "h"))
-            literal = F.size(F.filter(F.slice("words", F.col("at") + 1, w), lambda t: ~t.isin("<num>", "<unit>", "<name>")))
-            side = side.where(literal >= min(literals, w)).select("item", "at", "h", F.lit(kind).alias("kind"))
-            base = side if base is None else base.unionByName(side)
-        base = written(base, "windows")
+    if widths:
+        both = items.select("item", "w", F.size("shape").alias("n"), F.concat("shape", "low").alias("words"))
+        both = _places(both.withColumn("codes", F.transform("words", lambda t: F.xxhash64(t))))
+        side = both.withColumn("h", F.coalesce(*[F.when(F.col("w") == w, _window(w)) for w in widths])).where("h is not null")
+        literal = F.size(F.filter(F.slice("words", F.col("p") + 1, F.col("w")), lambda t: ~t.isin("<num>", "<unit>", "<name>")))
+        side = side.where(literal >= F.least(F.lit(literals), F.col("w")))
+        base = written(side.select("h", "item", "w", F.pmod("p", "n").alias("at"), (F.col("p") >= F.col("n")).cast("int").alias("kind")), "windows")
         base = F.broadcast(base) if base.count() <= BROADCAST_ROWS else base
-        both = F.concat(_windows("codes", w), _salted("plains", w))
-        found = coded.select("k", F.size("codes").alias("n"), F.posexplode(both).alias("p", "h")).join(base, "h")
-        pos = F.col("p") - F.col("kind") * (F.col("n") - (w - 1))
-        found = found.select("k", "item", "kind", pos.alias("pos"), (pos - F.col("at")).alias("shift"), F.lit(w).alias("w"))
-        hits = found if hits is None else hits.unionByName(found)
-    if hits is None:
+        # one pass over the documents for all widths
+        found = _places(_coded(texts, "k", "text")).select("k", "n", "p", F.explode_outer(F.array(*[_window(w) for w in widths])).alias("h"))
+        pos = F.pmod("p", "n")
+        hits = found.join(base, "h").select("k", "item", "kind", pos.alias("pos"), (pos - F.col("at")).alias("shift"), "w")
+    else:
         hits = texts.sparkSession.createDataFrame([], "k binary, item binary, kind int, pos int, shift int, w int")
     runs = hits.groupBy("k", "item", "shift", "kind").agg(F.collect_set("pos").alias("at"), F.max("w").alias("w"))
     runs = written(runs.withColumns({"lo": F.array_min("at"), "hi": F.array_max("at") + F.col("w")}), "runs")

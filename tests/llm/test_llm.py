@@ -436,6 +436,28 @@ def test_decontamination_by_parts_and_item_texts(spark):
     assert [r["doc_id"] for r in left.collect()] == [6]
 
 
+def test_decontamination_makes_words_once_for_all_widths(spark, monkeypatch):
+    plans = {}
+
+    def noted(df, name):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return stage(df, name)
+
+    stage = decontaminate.written
+    monkeypatch.setattr(decontaminate, "written", noted)
+    texts = {n: X.prose(n, 90 + n) for n in (5, 6, 8, 9, 10, 11, 14)}
+    items = spark.createDataFrame([*texts.items(), (15, "!? - ...")], "item_id long, text string")
+    rows = [(n, f"{X.prose(12, n)} {t.upper() if n % 2 else t}: {X.prose(7, 3 * n)}") for n, t in texts.items()]
+    rows += [(20, "; ".join(texts.values())), (21, X.prose(300, 190)), (22, " .,! "), (23, ""), (24, None), (25, " ".join(texts[8].split()[:7])), (26, texts[8])]
+    found = decontaminate.benchmark_matches(X.frame(spark, rows), items).collect()
+    got = {(r["doc_id"], r["item_id"]): (r["n_windows"], r["changed"]) for r in found}
+    n_windows = {n: (max(1, n - 9), False) for n in texts}
+    assert got == {**{(n, n): n_windows[n] for n in texts}, **{(20, n): n_windows[n] for n in texts}, (26, 8): n_windows[8]}
+    assert len(found) == len(got)
+    # the job over all documents: one scan, punctuation goes once, no filter repeats the work
+    assert plans["runs"].count("regexp_replace(") == 1
+
+
 # 10. url filters
 
 
