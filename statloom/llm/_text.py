@@ -14,8 +14,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-#: Bytes of text that are hashed at once.
-CHUNK_BYTES = 2 << 20
+#: Bytes of text that are hashed at once; their arrays take up to ninety times as much.
+CHUNK_BYTES = 256 << 10
 
 _SEP = np.zeros(256, dtype=bool)
 _SEP[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True

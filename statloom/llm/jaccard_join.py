@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._stage import written
+from ._stage import small_batches, written
 
 #: Ids of candidate texts are broadcast up to this many rows (16 MB), else joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
@@ -218,6 +218,7 @@ def jaccard_links(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, Dat
     Inside a component they are a connecting subset, not all similar pairs: pairs
     that are connected already are not verified, so no number of links is given.
     """
+    small_batches(docs.sparkSession)
     classes = (
         _hash_sets(docs, n, percent, "prefix")
         .where("a > 0 and id is not null")

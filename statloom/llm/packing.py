@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._stage import written
+from ._stage import small_batches, written
 from .tokens import encoder
 
 
@@ -135,6 +135,7 @@ def best_fit_pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
     """One row per piece: id, piece, start, length, ids_crc32, sequence_id, offset."""
     if capacity < 1:
         raise ValueError("capacity must be positive")
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     pieces = docs.mapInArrow(_piece_rows(tokenizer, end_id, capacity), "id long, piece long, start long, length long, crc long")
     pieces = written(pieces, "pieces")

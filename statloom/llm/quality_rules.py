@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
+from ._stage import small_batches
 
 #: Hashed features of each kind: words, word pairs, four-byte strings.
 BITS = 14
@@ -229,6 +230,7 @@ def _calibrate(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = 1500, l2: float = 1e-3, steps: int = 150) -> QualityModel | None:
     """A model from at most ``rows`` labelled texts of each label (1 is good); None without both labels."""
+    small_batches(docs.sparkSession)
     y = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y in (0, 1)")
     y = y.groupBy("id").agg(F.max("y").alias("y"))
     parts = [y.where(F.col("y") == k).orderBy(F.xxhash64("id"), "id").limit(rows) for k in (0, 1)]

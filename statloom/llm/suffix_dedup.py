@@ -47,7 +47,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._stage import discard, written
+from ._stage import discard, small_batches, written
 
 #: Bytes of an anchor string.
 GRAM = 64
@@ -440,6 +440,7 @@ def _shared_contexts(docs: DataFrame, lengths: tuple[int, ...]) -> tuple[DataFra
     shortest, longest = min(lengths), max(lengths)
     if shortest <= GRAM:
         raise ValueError(f"length must be over {GRAM}")
+    small_batches(docs.sparkSession)
     texts = docs.select(digest("text").alias("k"), "text").where(F.octet_length("text") >= shortest)
     found = texts.mapInArrow(_anchor_rows(shortest, longest), _ANCHOR).groupBy("k").agg(
         F.count(F.lit(1)).alias("copies"), F.any_value(F.arrays_zip("h", "c", "d", "pos", "lo", "hi")).alias("at"), F.any_value(F.arrays_zip("s", "e")).alias("own")
@@ -571,6 +572,7 @@ def repeat_groups(docs: DataFrame, text_col: str = "text", length: int = 400, gr
     is listed by itself if one of its contexts has its occurrences and no others;
     one that is all made of more frequent pieces shows as these.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col(text_col).cast("string").alias("text")).where(F.octet_length("text") >= length)
     texts = written(docs.groupBy(digest("text").alias("k")).agg(F.any_value("text").alias("text"), F.count(F.lit(1)).alias("copies")), "texts")
     found, held = _occurrences(texts.select("k", "text"), length, group_limit)

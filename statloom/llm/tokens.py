@@ -19,8 +19,8 @@ import pyarrow as pa
 
 from . import _text as T
 
-#: Different words that a worker keeps; beyond, it starts afresh.
-CACHE_WORDS = 1_000_000
+#: Different words that a worker keeps (some 20 MB, in arrays); beyond, it starts afresh.
+CACHE_WORDS = 400_000
 #: The pre-token pattern that the fast path stands for.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _SIZE = 0x2028
@@ -55,24 +55,26 @@ class Encoder:
         self.whole = Tokenizer.from_file(path)
         import json
 
-        said = json.loads(self.whole.to_str())
-        steps = said["pre_tokenizer"].get("pretokenizers", [{}])
-        kinds = [n["type"] for n in (said["normalizer"] or {}).get("normalizers", [])]
+        # the parts' own settings: those of the whole have the vocabulary in them
+        split, normal = (json.loads(x.__getstate__()) if x else {} for x in (self.whole.pre_tokenizer, self.whole.normalizer))
+        steps = split.get("pretokenizers", [{}])
+        kinds = [n["type"] for n in normal.get("normalizers", [])]
         self.fast = steps[0].get("pattern") == {"Regex": SPLIT} and [s["type"] for s in steps] == ["Split", "ByteLevel"] and kinds == ["NFC", "Replace", "Lowercase"]
-        self.special = [t["content"] for t in said["added_tokens"]]
+        self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.signs = _byte_signs()
         self.clear()
 
     def clear(self) -> None:
-        self.at: dict[int, int] = {}
+        self.keys = np.zeros(0, np.uint64)  # of all words, ascending
+        self.numbers = np.zeros(0, np.int32)  # of the words of these keys
         self.flat = np.zeros(1 << 16, np.uint32)
         self.ends = np.zeros(1 << 14, np.int64)  # ends[i + 1]: where word i ends
-        self.used = 0
+        self.words = self.used = 0
 
-    def _add(self, key: int, word: str) -> int:
+    def _add(self, word: str) -> int:
         signs = self.signs
         ids = [t.id for t in self.whole.model.tokenize("".join([signs[b] for b in word.encode()]))]
-        n = len(self.at)
+        n = self.words
         end = self.used + len(ids)
         if end > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(ids)), np.uint32)])
@@ -80,9 +82,23 @@ class Encoder:
             self.ends = np.concatenate([self.ends, np.zeros(len(self.ends), np.int64)])
         self.flat[self.used : end] = ids
         self.ends[n + 1] = self.used = end
-        self.at[key] = n
+        self.words = n + 1
         return n
 
+    def _numbers(self, keys: np.ndarray, first: np.ndarray, word) -> np.ndarray:
+        """The numbers of words by their keys, which ascend; ``word(f)`` is a word that begins at ``f``."""
+        at = np.searchsorted(self.keys, keys)
+        known = at < len(self.keys)
+        known[known] = self.keys[at[known]] == keys[known]
+        out = np.empty(len(keys), np.int64)
+        out[known] = self.numbers[at[known]]
+        new = np.flatnonzero(~known)
+        if len(new):
+            out[new] = [self._add(word(f)) for f in first[new].tolist()]
+            self.keys = np.insert(self.keys, at[new], keys[new])
+            self.numbers = np.insert(self.numbers, at[new], out[new])
+        return out
+
     def encode_rows(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
         """(row, ids) of each text, nulls as empty texts, in any order."""
         _, off = T.string_buffers(column)
@@ -138,11 +154,9 @@ class Encoder:
         sums = np.zeros(len(code) + 1, np.uint64)
         np.cumsum(T.mix(np.arange(0x10000, dtype=np.uint64) + np.uint64(1))[code] * up[: len(code)], out=sums[1:])
         keys, first, inverse = np.unique(T.mix(T.span_hash(sums, starts, ends)), return_index=True, return_inverse=True)
-        if len(self.at) > CACHE_WORDS:
+        if self.words > CACHE_WORDS:
             self.clear()
-        get, add = self.at.get, self._add
-        index = np.fromiter((x if (x := get(k)) is not None else add(k, joined[starts[f] : ends[f]]) for k, f in zip(keys.tolist(), first.tolist(), strict=True)), np.int64, len(keys))
-        index = index[inverse]
+        index = self._numbers(keys, first, lambda f: joined[starts[f] : ends[f]])[inverse]
         begin, size = self.ends[index], self.ends[index + 1] - self.ends[index]
         total = np.cumsum(size)
         where = np.repeat(begin - total + size, size) + np.arange(total[-1] if len(total) else 0)
