@@ -191,11 +191,11 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
         two = both(now)
         low = two.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
         large = two.join(low, F.col("u") == F.col("k")).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        large = written(large, "large-star")
+        large = written(large, "large-star", 2 * seen[0])
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         low = down.groupBy("u").agg(F.min("v").alias("m"))
         kept = down.join(low.withColumnRenamed("u", "k"), F.col("u") == F.col("k")).where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = written(low.select("u", F.col("m").alias("v")).unionByName(kept).where("u != v").distinct(), "small-star")
+        now = written(low.select("u", F.col("m").alias("v")).unionByName(kept).where("u != v").distinct(), "small-star", 2 * seen[0])
         was, seen = seen, check(now)
         if was == seen:
             break

@@ -1,5 +1,6 @@
 """What a Python worker holds of its texts: small batches, small arrays, and words in arrays."""
 
+import os
 import tracemalloc
 
 import numpy as np
@@ -7,7 +8,7 @@ import pyarrow as pa
 import pytest
 
 from statloom.llm import jaccard_join, packing, quality_rules, suffix_dedup, tokens
-from statloom.llm._stage import BATCH_BYTES
+from statloom.llm._stage import BATCH_BYTES, written
 from tests.llm import texts as X
 
 KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -77,3 +78,13 @@ def test_operators_hold_arrow_batches_small(spark, step):
     quality_rules.fit_quality(docs, labels)
     assert spark.conf.get(KEY) == "1000000"
     spark.conf.unset(KEY)
+
+
+def test_written_tables_have_few_files(spark):
+    many = spark.range(0, 5_000, 1, 40)
+    wide, small = written(many, "wide"), written(many, "small", 5_000)
+    files = [os.listdir(t._written_at.removeprefix("file:")) for t in (wide, small)]
+    assert not [f for names in files for f in names if f.endswith(".crc")]
+    parts = [sum(f.startswith("part-") for f in names) for names in files]
+    assert parts == [40, 2 * spark.sparkContext.defaultParallelism]
+    assert small.agg({"id": "sum"}).first()[0] == wide.agg({"id": "sum"}).first()[0] == 12_497_500
