@@ -33,14 +33,22 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+def in_few(df: DataFrame, rows: int) -> DataFrame:
+    """About ``rows`` narrow rows in few partitions, so that what is written of them has few files."""
+    return df.coalesce(max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-rows // FILE_ROWS)))
+
+
+def written(df: DataFrame, name: str, rows: int | None = None, narrow: bool = False) -> DataFrame:
     """Write a table to the shared folder and read it back: no shuffle is repeated for it.
 
-    ``rows``, about the number of narrow rows, keeps a small table from many files.
+    ``rows``, about the number of narrow rows, keeps a small table from many files.  ``narrow``: their number is not
+    known before; many tasks make them, a shuffle without a key brings them into few files.
     """
     spark = df.sparkSession
     if rows is not None:
-        df = df.coalesce(max(2 * spark.sparkContext.defaultParallelism, -(-rows // FILE_ROWS)))
+        df = in_few(df, rows)
+    elif narrow:
+        df = df.repartition(2 * spark.sparkContext.defaultParallelism)
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     with tidy_shuffles(spark):
         df.write.options(compression="zstd", **_PLAIN).parquet(path)

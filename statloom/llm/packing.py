@@ -2,7 +2,7 @@
 
 1.  Each text is tokenized once, in Arrow batches; an end token follows, and a
     sequence over ``capacity`` tokens is cut into pieces.  Only lengths and
-    checksums are written, in the folder that executors share.
+    checksums are written, in few files of the folder that executors share.
 2.  The number of pieces of each length (at most ``capacity`` rows) goes to the
     driver.  Best fit decreasing runs over these *counts*: a step puts as many
     pieces of one length as fit into all sequences with the least sufficient
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._stage import small_batches, written
+from ._stage import in_few, small_batches, written
 from .tokens import encoder
 
 
@@ -138,8 +138,9 @@ def best_fit_pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
     small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     pieces = docs.mapInArrow(_piece_rows(tokenizer, end_id, capacity), "id long, piece long, start long, length long, crc long")
-    pieces = written(pieces, "pieces")
+    pieces = written(pieces, "pieces", narrow=True)
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most capacity rows
     plan = best_fit_plan(counts, capacity)
-    out = ranked(pieces, sum(counts.values())).mapInArrow(_slot_rows(plan), "id long, piece long, start long, length long, crc long, sequence long, offset long")
-    return out.select(F.col("id").alias(id_col), F.col("piece").cast("int").alias("piece"), "start", "length", F.col("crc").alias("ids_crc32"), F.col("sequence").alias("sequence_id"), "offset")
+    total = sum(counts.values())
+    out = ranked(pieces, total).mapInArrow(_slot_rows(plan), "id long, piece long, start long, length long, crc long, sequence long, offset long")
+    return in_few(out, total).select(F.col("id").alias(id_col), F.col("piece").cast("int").alias("piece"), "start", "length", F.col("crc").alias("ids_crc32"), F.col("sequence").alias("sequence_id"), "offset")
