@@ -17,12 +17,12 @@ _BITS = 33  # of monotonically_increasing_id that number a partition's rows
 BROADCAST_CELLS = 100_000
 
 
-def _sorted(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+def _sorted(df: DataFrame, order: list[Column], name: str, rows: int | None = None) -> DataFrame:
     """The table in ranges of the order, written; equal rows are dealt out by a random last key, so no key is one task."""
     keys = [*order, F.col("__tie").asc()]
-    rows = df.withColumn("__tie", F.rand(11)).repartitionByRange(*keys).sortWithinPartitions(*keys).drop("__tie")
-    rows = written(rows.withColumn("__m", F.monotonically_increasing_id()), name)
-    return rows.withColumns({"__part": F.shiftright("__m", _BITS), "__at": F.col("__m").bitwiseAND(F.lit((1 << _BITS) - 1))})
+    out = df.withColumn("__tie", F.rand(11)).repartitionByRange(*keys).sortWithinPartitions(*keys).drop("__tie")
+    out = written(out.withColumn("__m", F.monotonically_increasing_id()), name, rows)
+    return out.withColumns({"__part": F.shiftright("__m", _BITS), "__at": F.col("__m").bitwiseAND(F.lit((1 << _BITS) - 1))})
 
 
 def indexed(df: DataFrame, order: list[Column], name: str) -> DataFrame:
@@ -36,15 +36,16 @@ def indexed(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     return rows.join(F.broadcast(starts), "__part").withColumn(name, F.col("__base") + F.col("__at")).drop("__m", "__part", "__at", "__base")
 
 
-def indexed_within(df: DataFrame, group: str, order: list[Column], about: DataFrame | None = None, count: str = "size") -> DataFrame:
+def indexed_within(df: DataFrame, group: str, order: list[Column], about: DataFrame | None = None, count: str = "size", rows: int | None = None) -> DataFrame:
     """Adds ``pos``, each row's place from 0 within its group, and ``count``, the group's rows.
 
     Ranges of the order cut large groups into many partitions.  ``about`` has at
     most one row for each group, whose other columns are added too; they come by
-    (partition, group), so that a group's size skews no join.
+    (partition, group), so that a group's size skews no join.  ``rows``, the
+    number of narrow rows where it is known, keeps what is written from many files.
     """
-    rows = _sorted(df, [F.col(group).asc(), *order], "within")
-    cells = written(rows.groupBy("__part", F.col(group).alias("__g")).agg(F.count(F.lit(1)).alias("__n"), F.min("__at").alias("__first")), "cells")
+    placed = _sorted(df, [F.col(group).asc(), *order], "within", rows)
+    cells = written(placed.groupBy("__part", F.col(group).alias("__g")).agg(F.count(F.lit(1)).alias("__n"), F.min("__at").alias("__first")), "cells", rows)
     whole = Window.partitionBy("__g")  # a row for each partition that holds the group
     before = whole.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     found = cells.select(F.col("__part").alias("__p"), "__g", "__first", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"), F.sum("__n").over(whole).alias(count))
@@ -52,8 +53,8 @@ def indexed_within(df: DataFrame, group: str, order: list[Column], about: DataFr
         found = found.join(about.withColumnRenamed(group, "__a"), F.col("__g").eqNullSafe(F.col("__a"))).drop("__a")
     if cells.count() <= BROADCAST_CELLS:
         found = F.broadcast(found)
-    rows = rows.join(found, (F.col("__part") == F.col("__p")) & F.col(group).eqNullSafe(F.col("__g")))
-    return rows.withColumn("pos", F.col("__base") + F.col("__at") - F.col("__first")).drop("__m", "__part", "__p", "__g", "__at", "__first", "__base")
+    placed = placed.join(found, (F.col("__part") == F.col("__p")) & F.col(group).eqNullSafe(F.col("__g")))
+    return placed.withColumn("pos", F.col("__base") + F.col("__at") - F.col("__first")).drop("__m", "__part", "__p", "__g", "__at", "__first", "__base")
 
 
 def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:

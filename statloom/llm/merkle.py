@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._order import batches_of, groups_of, indexed_within, rows_of
-from ._stage import discard, written
+from ._stage import discard, in_few, written
 
 FANOUT = 3
 #: Open peaks that meet in one task, on average.
@@ -101,16 +101,16 @@ def tree_nodes(leaves: DataFrame) -> tuple[DataFrame, DataFrame, list[DataFrame]
     ``leaves``: key, size (leaves of the tree), i and digest.
     """
     nodes = leaves.select("key", "size", F.lit(0).alias("level"), "i", "digest").sortWithinPartitions("key", "i")
-    made = [written(nodes.mapInArrow(_stack_rows, _STACKED_DDL), "peaks")]
-    most = leaves.agg(F.max("size")).first()[0] or 0
-    found = made[0].agg(F.sum(F.col("open").cast("long")).alias("open")).first()
     total = leaves.count()
-    span = max(FANOUT**BAND, total * PEAKS // max(1, found["open"] or 0))
+    made = [written(nodes.mapInArrow(_stack_rows, _STACKED_DDL), "peaks", total)]
+    most = leaves.agg(F.max("size")).first()[0] or 0
+    met = made[0].where("open").count()
+    span = max(FANOUT**BAND, total * PEAKS // max(1, met))
     start = F.col("i") * F.pow(F.lit(float(FANOUT)), F.col("level")).cast("long")
     while True:
         peaks = made[-1].where("open").withColumn("__at", start).withColumn("__g", F.floor(F.col("__at") / span))
         peaks = peaks.repartition("key", "__g").sortWithinPartitions("key", "__g", "__at").select("key", "size", "level", "i", "digest")
-        made.append(written(peaks.mapInArrow(_stack_rows, _STACKED_DDL), "peaks"))
+        made.append(written(peaks.mapInArrow(_stack_rows, _STACKED_DDL), "peaks", met))
         if span >= most:
             break
         span *= 64
@@ -184,11 +184,11 @@ def _levels(size: Column) -> Column:
     return sum((F.when(size > FANOUT**k, 1).otherwise(0) for k in range(40)), F.lit(0))
 
 
-def tree_paths(leaves: DataFrame, parents: DataFrame, ups: DataFrame, last: str) -> tuple[DataFrame, list[DataFrame]]:
+def tree_paths(leaves: DataFrame, parents: DataFrame, ups: DataFrame, last: str, rows: int) -> tuple[DataFrame, list[DataFrame]]:
     """What ``last`` names ("leaf": the siblings left and right of each level; "proof": their digest and the folded root) for each leaf.
 
-    ``leaves``: key, size, i, digest, tag, other.  ``ups``: key, size, the path
-    above each tree (left, right), subroot, root.
+    ``leaves``: key, size, i, digest, tag, other; ``rows``: their number.
+    ``ups``: key, size, the path above each tree (left, right), subroot, root.
     """
     deepest = ups.agg(F.max(_levels(F.col("size")))).first()[0] or 0
     nodes = leaves.select("key", F.lit(0).alias("level"), "i", "size", "digest", "tag", "other")
@@ -205,9 +205,9 @@ def tree_paths(leaves: DataFrame, parents: DataFrame, ups: DataFrame, last: str)
         block = F.floor(F.col("i") / F.pow(F.lit(float(FANOUT)), F.lit(low + BAND) - F.col("level")).cast("long"))
         none = empty.cast("array<string>")
         own = nodes.where((F.col("level") >= low) & (F.col("level") < low + BAND)).select("key", block.alias("block"), F.lit(1).alias("kind"), "level", "i", F.lit(0).alias("x"), "size", "digest", none.alias("left"), none.alias("right"), empty.cast("string").alias("subroot"), empty.cast("string").alias("root"), "tag", "other")
-        rows = path.unionByName(own).repartition("key", "block").sortWithinPartitions("key", "block", "kind", "level", "i")
+        both = path.unionByName(own).repartition("key", "block").sortWithinPartitions("key", "block", "kind", "level", "i")
         how = last if not band else "path"
-        out = rows.mapInArrow(_band_rows(low, how), {"path": _PATH_DDL, "leaf": _LEAF_DDL, "proof": _PROOF_DDL}[how])
+        out = in_few(both.mapInArrow(_band_rows(low, how), {"path": _PATH_DDL, "leaf": _LEAF_DDL, "proof": _PROOF_DDL}[how]), rows)
         if band:
             above = written(out, "paths")
             made.append(above)
@@ -221,21 +221,23 @@ def merkle_manifest(docs: DataFrame, leaf: Column, tampered: Column, group: Colu
     null stands for a row that nobody tampered with.
     """
     kind = docs.select(ident.alias("v")).schema[0].dataType
-    rows = written(docs.select(group.cast("string").alias("key"), ident.alias("id"), leaf.alias("digest"), F.when(tampered != leaf, tampered).alias("other")), "leaves")
+    rows = written(docs.select(group.cast("string").alias("key"), ident.alias("id"), leaf.alias("digest"), F.when(tampered != leaf, tampered).alias("other")), "leaves", narrow=True)
+    total = rows.count()
     # one source after another, ids ascending, nulls first; ties by digest
-    leaves = indexed_within(rows, "key", [F.col("id").asc(), F.col("digest").asc()])
-    leaves = written(leaves.select("key", "size", F.col("pos").alias("i"), "digest", F.col("id").cast("string").alias("tag"), "other"), "leaves")
+    leaves = indexed_within(rows, "key", [F.col("id").asc(), F.col("digest").asc()], rows=total)
+    leaves = written(leaves.select("key", "size", F.col("pos").alias("i"), "digest", F.col("id").cast("string").alias("tag"), "other"), "leaves", total)
     parents, tops, held = tree_nodes(leaves)
 
-    sources = indexed_within(tops.select(F.lit(None).cast("string").alias("one"), "key", F.col("size").alias("n"), "digest"), "one", [F.col("key").asc()])
-    sources = written(sources.select(F.col("one").alias("key"), "size", F.col("pos").alias("i"), "digest", F.col("key").alias("tag"), F.col("n").cast("string").alias("other")), "sources")
+    trees = tops.count()
+    sources = indexed_within(tops.select(F.lit(None).cast("string").alias("one"), "key", F.col("size").alias("n"), "digest"), "one", [F.col("key").asc()], rows=trees)
+    sources = written(sources.select(F.col("one").alias("key"), "size", F.col("pos").alias("i"), "digest", F.col("key").alias("tag"), F.col("n").cast("string").alias("other")), "sources", trees)
     over, root, held2 = tree_nodes(sources)
     none = F.array().cast("array<string>")
     top = root.select("key", "size", none.alias("left"), none.alias("right"), F.lit(None).cast("string").alias("subroot"), F.col("digest").alias("root"))
-    found, held3 = tree_paths(sources, over, top, "leaf")
+    found, held3 = tree_paths(sources, over, top, "leaf", trees)
     ups = written(found.select(F.col("tag").alias("key"), F.col("other").cast("long").alias("size"), "left", "right", F.col("digest").alias("subroot"), "root"), "ups")
     discard(rows, sources, *held2, *held3)
-    out, _ = tree_paths(leaves, parents, ups, "proof")
+    out, _ = tree_paths(leaves, parents, ups, "proof", total)
     return out.select(
         F.col("tag").cast(kind).alias("id"), F.col("digest").alias("leaf"), "subroot", "root", F.col("proof").alias("proof_sha256"), F.col("folded").alias("folded_root"), (F.col("folded") == F.col("root")).alias("verified")
     )

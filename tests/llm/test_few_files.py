@@ -3,7 +3,8 @@
 import os
 from contextlib import contextmanager
 
-from statloom.llm import packing, tokens
+from statloom.llm import merkle, packing, tokens
+from statloom.llm._stage import shared_dir
 from tests.llm import texts as X
 
 PARTS = 48
@@ -45,3 +46,18 @@ def test_packing_has_few_files(spark, tmp_path):
         assert r["offset"] == ends.get(r["sequence_id"], 0)
         ends[r["sequence_id"]] = r["offset"] + r["length"]
     assert max(ends.values()) <= 64
+
+
+def test_manifest_has_few_files(spark, tmp_path):
+    rows = [(k, f"s{k % 5}", "en", k, X.prose(9, k) + "\n") for k in range(960)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, lang string, n_chars long, text string").repartition(PARTS)
+    before = set(os.listdir(shared_dir(spark).removeprefix("file:")))
+    with many_partitions(spark):
+        out = merkle.document_manifest(docs)
+        tables = [t for t in os.listdir(shared_dir(spark).removeprefix("file:")) if t not in before]
+        assert {t.split("-")[0] for t in tables} >= {"leaves", "within", "cells", "peaks", "ups"}
+        for t in tables:
+            files = os.listdir(os.path.join(shared_dir(spark).removeprefix("file:"), t))
+            assert sum(f.startswith("part-") for f in files) <= few(spark), t
+        assert len(part_files(out, str(tmp_path / "out"))) <= few(spark)
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 960
