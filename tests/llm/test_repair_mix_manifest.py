@@ -256,3 +256,12 @@ def test_stack_at_any_cut():
             made.add(node[2:])
             assert not is_open or merkle._count(size, node[2]) == 1
         assert made == want
+
+
+def test_manifest_of_bytes_that_are_no_utf8(spark):
+    docs = spark.range(12).selectExpr("id AS doc_id", "'a' AS source", "'en' AS lang", "1L AS n_chars", "CAST(IF(id < 6, X'61FF62', X'61FF0A62') AS STRING) AS text")
+    rows = merkle.document_manifest(docs).collect()
+    # line breaks go, all other bytes stay: only rows that have some can be told from what was listed
+    assert {r["doc_id"] for r in rows if not r["verified"]} == {k for k in range(6, 12) if zlib.crc32(str(k).encode()) % 2 == 0}
+    field = lambda v: b"%d:%b" % (len(v), v)
+    assert rows[0]["leaf"] == hashlib.sha256(field(b"0") + field(b"a") + field(b"en") + field(b"1") + field(b"a\xffb")).hexdigest()
