@@ -294,8 +294,7 @@ def _band(spark, sf):
     rounded=("i", "expected", "variance"), digits=8,
 )
 def _moran(spark, sf):
-    p = _points(spark, sf)
-    return G.moran(p.select("id", "v"), G.band_weights(p, "id", "x", "y", 1.5)).select("i", "expected", "variance")
+    return G.band_moran(_points(spark, sf), "id", "x", "y", "v", 1.5).select("i", "expected", "variance")
 
 
 @register("geary", f"{_POINTS}, m AS (SELECT count(*) * 1.0 AS n, var_pop(v) * count(*) AS m2 FROM p) SELECT any_value(n - 1) * sum((a.v - b.v) ** 2) / (2 * count(*) * any_value(m2)) AS c FROM w JOIN p a ON a.id = i JOIN p b ON b.id = j, m", rounded=("c",))
