@@ -299,8 +299,7 @@ def _moran(spark, sf):
 
 @register("geary", f"{_POINTS}, m AS (SELECT count(*) * 1.0 AS n, var_pop(v) * count(*) AS m2 FROM p) SELECT any_value(n - 1) * sum((a.v - b.v) ** 2) / (2 * count(*) * any_value(m2)) AS c FROM w JOIN p a ON a.id = i JOIN p b ON b.id = j, m", rounded=("c",))
 def _geary(spark, sf):
-    p = _points(spark, sf)
-    return G.geary(p.select("id", "v"), G.band_weights(p, "id", "x", "y", 1.5))
+    return G.band_geary(_points(spark, sf), "id", "x", "y", "v", 1.5)
 
 
 @register("variogram", f"{_POINTS} SELECT CAST(floor(d / 0.25) AS BIGINT) AS bin, count(*) AS n, avg(d) AS distance, avg((a.v - b.v) ** 2) / 2 AS gamma FROM w JOIN p a ON a.id = i JOIN p b ON b.id = j WHERE i < j GROUP BY 1", rounded=("distance", "gamma"))
