@@ -304,8 +304,7 @@ def _geary(spark, sf):
 
 @register("variogram", f"{_POINTS} SELECT CAST(floor(d / 0.25) AS BIGINT) AS bin, count(*) AS n, avg(d) AS distance, avg((a.v - b.v) ** 2) / 2 AS gamma FROM w JOIN p a ON a.id = i JOIN p b ON b.id = j WHERE i < j GROUP BY 1", rounded=("distance", "gamma"))
 def _variogram(spark, sf):
-    p = _points(spark, sf)
-    return G.variogram(p.select("id", "v"), G.band_weights(p, "id", "x", "y", 1.5), 0.25)
+    return G.band_variogram(_points(spark, sf), "id", "x", "y", "v", 1.5, 0.25)
 
 
 @register("prediction_scores", "WITH r AS (SELECT l_returnflag, l_extendedprice AS a, l_quantity * 2100 AS p FROM lineitem) SELECT l_returnflag, avg((a - p) ** 2) AS mse, sqrt(avg((a - p) ** 2)) AS rmse, avg(abs(a - p)) AS mae, 1 - sum((a - p) ** 2) / (var_pop(a) * count(*)) AS r2 FROM r GROUP BY 1", rounded=("mse", "rmse", "mae", "r2"), digits=2)
