@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..plans.gram import centred
+from . import bands
 from .descriptive import beside, observed
 from .regression import complete
 
@@ -313,17 +314,7 @@ def vector_band(points: DataFrame, id_col: str, x: str, threshold: float, axes:
     Points that are near are near in each element, so cells of the first ``axes``
     elements, and their neighbours, hold all pairs.  Rows with a missing array are left out.
     """
-    if threshold <= 0 or axes < 1:
-        raise ValueError("threshold and axes must be positive")
-    p = points.select(F.col(id_col).alias("id"), F.transform(x, lambda v: v.cast("double")).alias("x")).where("x IS NOT NULL")
-    cell = lambda k: F.coalesce(F.floor(F.get("x", F.lit(k)) / threshold), F.lit(0))
-    names = [f"c{k}" for k in range(axes)]
-    p = p.withColumns({c: cell(k) for k, c in enumerate(names)})
-    around = p.select(F.col("id").alias("j"), F.col("x").alias("y"), *names)
-    for c in names:
-        around = around.withColumn(c, F.explode(F.array(*[F.col(c) + s for s in (-1, 0, 1)])))
-    d = V.euclidean("x", "y")
-    return p.join(around, names).where(F.col("id") != F.col("j")).select(F.col("id").alias("i"), "j", d.alias("d")).where(F.col("d") <= threshold)
+    return bands.near_pairs(bands.vectors(points, id_col, x), threshold, axes)
 
 
 def _density_clusters(ids: DataFrame, pairs: DataFrame, least: int) -> DataFrame:
