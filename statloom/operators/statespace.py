@@ -94,11 +94,64 @@ def kalman_predict(df: DataFrame, x: str, t: str, series: list[str], transition,
     return _each(df, x, t, series, "step int, mean double, low double, high double", run)
 
 
+def _level_em(v: np.ndarray, rounds: int, tol: float) -> tuple[float, float, float]:
+    """(q, r, log-likelihood) of a local level by EM: ``_filter`` and ``_smooth`` with numbers in place of matrices."""
+    seen = np.isfinite(v)
+    some, whole = seen.tolist(), bool(seen.all())
+    y = np.where(seen, v, 0.0).tolist()
+    spread = max(np.nanvar(v), 1e-9)
+    q, r, last, ll = spread / 2, spread / 2, -np.inf, 0.0
+    for _ in range(rounds):
+        before, after, gains, p = [], [], [], 1e7  # variances of the state before and after each value
+        for known in some:
+            pp = p + q
+            gain = pp / (pp + r) if known else 0.0
+            new = pp - gain * pp
+            before.append(pp)
+            after.append(new)
+            gains.append(gain)
+            if whole and new == p:  # and so it stays
+                more = len(y) - len(before)
+                before += [pp] * more
+                after += [new] * more
+                gains += [gain] * more
+                break
+            p = new
+        means, errors, m = [], [], 0.0
+        for value, gain in zip(y, gains, strict=True):
+            e = value - m
+            m += gain * e
+            errors.append(e)
+            means.append(m)
+        s, e = np.array(before)[seen] + r, np.array(errors)[seen]
+        ll = -0.5 * float((np.log(2 * np.pi * s) + e * e / s).sum())
+        if ll - last < tol * (1 + abs(ll)):
+            break
+        last = ll
+        back = [a / b for a, b in zip(after, before[1:], strict=False)]
+        p = after[-1]
+        smooth, spreads = [m], [p]
+        for k in range(len(y) - 2, -1, -1):
+            gain = back[k]
+            m = means[k] + gain * (m - means[k])  # the mean before the next value is the mean after this one
+            p = after[k] + gain * (p - before[k + 1]) * gain
+            smooth.append(m)
+            spreads.append(p)
+        m, p = np.array(smooth[::-1]), np.array(spreads[::-1])
+        r = max(float(np.mean((v[seen] - m[seen]) ** 2 + p[seen])), 1e-12)
+        total = float((np.diff(m) ** 2 + p[1:] - 2 * p[1:] * np.array(back) + p[:-1]).sum())
+        q = np.maximum(total / max(1, len(y) - 1), 1e-12)
+    return float(q), r, ll
+
+
 def state_space_em(df: DataFrame, x: str, t: str, series: list[str], model: str = "level", rounds: int = 100, tol: float = 1e-6) -> DataFrame:
     """Per series: state variances q (array), noise variance r and log-likelihood of a local level or trend, by EM."""
     f, h = MODELS[model]
 
     def run(v):
+        if model == "level":
+            q, r, ll = _level_em(v, rounds, tol)
+            return {"q": [[q]], "r": [r], "log_likelihood": [ll]}
         spread = max(np.nanvar(v), 1e-9)
         q, r, last, ll = np.eye(len(h)) * spread / 2, spread / 2, -np.inf, 0.0
         for _ in range(rounds):
